@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curvelake.llm.density_peaks import density_clusters, describe_clusters
 from curvelake.llm.knn import k_nearest
+from curvelake.llm.visual import distinct_forms, look_same_pairs
 from curvelake.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return density_clusters(table(spark, d, "spectra")).select("cluster_id", "id")
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return describe_clusters(density_clusters(table(spark, d, "spectra")))
+
+
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return k_nearest(table(spark, d, "spectra"))
 
@@ -17,5 +27,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_neighbours(spark, d).select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
-QUERIES = {"p5_found": p5_found, "p5_neighbours": p5_neighbours}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return look_same_pairs(table(spark, d, "documents"))
+
+
+def p8_forms(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"))
+    forms = distinct_forms(table(spark, d, "documents"))
+    return docs.join(forms, ["k1", "k2"]).select("doc_id", "form")
+
+
+QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p8_found": p8_found, "p8_forms": p8_forms}
 ORACLE: dict[str, str] = {}
