@@ -6,9 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelake.llm.density_peaks import density_clusters, describe_clusters
+from curvelake.llm.digests import build_digests, certified, curve_cells, estimates, merge_digests
 from curvelake.llm.knn import k_nearest
+from curvelake.llm.mixing import mix, text_quality
+from curvelake.llm.packing import pack, pack_summary
+from curvelake.llm.tokens import with_token_counts
 from curvelake.llm.visual import distinct_forms, look_same_pairs
-from curvelake.session import table
+from curvelake.session import checkpoint, table
+
+
+def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    cells = curve_cells(*[table(spark, d, t) for t in ("station_days", "spectra", "sources", "grid_meta")])
+    keys = ["dataset", "grouping", "key"]
+    merged = merge_digests(build_digests(cells, keys), keys)
+    return certified(cells, estimates(merged, keys), keys)
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text").withColumn("quality", text_quality(F.col("text")))
+    return checkpoint(with_token_counts(docs, "doc_id", "text", ["source", "quality"]))
+
+
+def p6_packs(spark: SparkSession, d: str) -> DataFrame:
+    return pack(_sizes(spark, d), table(spark, d, "pack_sizes"))
+
+
+def p6_summary(spark: SparkSession, d: str) -> DataFrame:
+    return pack_summary(p6_packs(spark, d))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(_sizes(spark, d), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(_sizes(spark, d), table(spark, d, "mix_targets"))[1]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,5 +69,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(forms, ["k1", "k2"]).select("doc_id", "form")
 
 
-QUERIES = {"p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p8_found": p8_found, "p8_forms": p8_forms}
+QUERIES = {
+    "p2_percentiles": p2_percentiles, "p6_packs": p6_packs, "p6_summary": p6_summary, "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p8_found": p8_found, "p8_forms": p8_forms}
 ORACLE: dict[str, str] = {}
