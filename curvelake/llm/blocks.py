@@ -34,9 +34,11 @@ class BlockSettings:
     most_pivots: int = 1024
     rows_per_pivot: int = 64
     #: bounds of the rows in a shard, and of the queries in a task
-    least_shard: int = 2048
+    least_shard: int = 8192
     most_shard: int = 32_768
-    shards_wanted: int = 24
+    shards_wanted: int = 12
+    #: rows further from their pivot than this multiple of the sample's median are kept apart
+    far_ratio: float = 2.5
     queries_per_task: int = 16_384
     seed: int = 7
 
@@ -127,19 +129,27 @@ def build_index(vectors: DataFrame, dimension: int, settings: BlockSettings | No
     if not rows:
         return BlockIndex(vectors.select("id", "vec", F.lit(0).alias("cell"), F.lit(0).alias("shard")), np.zeros((0, dimension)), np.zeros((0, 3), int), np.zeros(0), dimension, 0, s)
     sample = vectors.orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(s.sample_rows).toPandas()
-    pivots = _fit_pivots(matrix(sample["vec"], dimension), max(1, min(s.most_pivots, rows // s.rows_per_pivot)), s.seed)
+    sample = matrix(sample["vec"], dimension)
+    pivots = _fit_pivots(sample, max(1, min(s.most_pivots, rows // s.rows_per_pivot)), s.seed)
+    # rows far from every pivot would blow up the radius of a cell of close rows: they get cells, and shards, of
+    # their own, so that close rows are not sent to all shards
+    owner, far = nearest_pivot(sample, pivots)
+    count, n_own = len(pivots), np.bincount(owner, minlength=len(pivots))
+    cut = np.array([s.far_ratio * np.median(far[owner == k]) if n_own[k] > 2 else 0.0 for k in range(count)])
+    pivots = np.concatenate([pivots, pivots])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            owner, far = nearest_pivot(matrix(b["vec"], dimension), pivots)
-            yield b[["id", "vec"]].assign(cell=owner.astype("int32"), far=far)
+            owner, far = nearest_pivot(matrix(b["vec"], dimension), pivots[:count])
+            yield b[["id", "vec"]].assign(cell=(owner + count * (far > cut[owner])).astype("int32"), far=far)
 
     placed = vectors.mapInPandas(place, "id bigint, vec array<double>, cell int, far double")
     sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
     want = min(s.most_shard, max(s.least_shard, rows // s.shards_wanted))
     # neighbouring cells share shards: cells in the order of the pivots' first principal direction
-    centred = pivots - pivots.mean(0)
-    order = np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0]) if len(pivots) > 1 else np.zeros(1, int)
+    centred = pivots[:count] - pivots[:count].mean(0)
+    order = np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0]) if count > 1 else np.zeros(1, int)
+    order = np.concatenate([order, order + count])
     first, parts_of, shard, room = np.zeros(len(pivots), int), np.ones(len(pivots), int), 0, want
     for cell in order:
         n = sizes.get(int(cell), 0)
@@ -287,11 +297,12 @@ def routed(
     distance over the remaining cells must then not exceed the radius.
     """
     s, d = index.settings, index.dimension
-    shard_of, cell_of, reach, pivots = index.parts[:, 0], index.parts[:, 1], index.radius, index.pivots
+    half = max(1, len(index.pivots) // 2)  # the second half repeats the pivots, for the far rows
+    shard_of, cell_of, reach, pivots = index.parts[:, 0], index.parts[:, 1] % half, index.radius, index.pivots[:half]
     starts = np.flatnonzero(np.r_[True, shard_of[1:] != shard_of[:-1]])
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.select("id", "vec", "radius", *extra).schema)
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for whole in batches:
             for a in range(0, len(whole), 2048):
                 b = whole.iloc[a : a + 2048]
@@ -304,15 +315,23 @@ def routed(
                 else:
                     far = pivot_distances(x, pivots)
                 slack = b["radius"].to_numpy(float)[:, None] * (1 + 1e-6) + 1e-6 + 1e-7 * far
-                need = np.logical_or.reduceat(far[:, cell_of] - reach[None] <= slack[:, cell_of] if slack.shape[1] > 1 else far[:, cell_of] - reach[None] <= slack, starts, axis=1)
+                need = np.logical_or.reduceat(far[:, cell_of] - reach[None] <= slack[:, cell_of], starts, axis=1)
                 if skip_own:
                     own = np.searchsorted(shard_of[starts], b["shard"].to_numpy())
                     need[np.arange(len(b)), own] = False
-                i, k = np.nonzero(need)
-                yield b.iloc[i][["id", "vec", "radius", *extra]].assign(to=shard_of[starts][k].astype("int32"))
+                yield b, need
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, need in needed(batches):
+            i, k = np.nonzero(need)
+            yield b.iloc[i][["id", "vec", "radius", *extra]].assign(to=shard_of[starts][k].astype("int32"))
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = sum((need.sum(0) for _, need in needed(batches)), np.zeros(len(starts), np.int64))
+        yield pd.DataFrame({"to": shard_of[starts].astype("int32"), "n": total.astype(np.int64)})
 
     sent = queries.mapInPandas(send, kind + ", to int")
-    counts = {r["to"]: r["count"] for r in sent.groupBy("to").count().collect()}
+    counts = {r["to"]: r["n"] for r in queries.mapInPandas(tally, "to int, n bigint").groupBy("to").agg(F.sum("n").alias("n")).collect()}
     salts = [-(-counts.get(k, 0) // s.queries_per_task) for k in range(index.shards)]
     if not sum(salts):
         return index.placed.sparkSession.createDataFrame([], schema)
