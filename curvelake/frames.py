@@ -376,7 +376,7 @@ class Irregular:
         left = F.last(here, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         right = F.first(here, True).over(w.rowsBetween(0, Window.unboundedFollowing))
         every = every.withColumn("l", left).withColumn("r", right).where("ask = 1")
-        line = F.col("l.v") + F.coalesce(F.try_divide((F.col("r.v") - F.col("l.v")) * (F.col("t") - F.col("l.t")), F.col("r.t") - F.col("l.t")), F.lit(0.0))
+        line = F.col("l.v") + F.try_divide((F.col("r.v") - F.col("l.v")) * (F.col("t") - F.col("l.t")), F.col("r.t") - F.col("l.t"))
         value = F.when(F.col("l.t") == F.col("t"), F.col("l.v")).otherwise(line)
         if extrapolation == "bounds":
             value = F.coalesce(value, F.col("l.v"), F.col("r.v"))
