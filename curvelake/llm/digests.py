@@ -74,13 +74,15 @@ def build_digests(values: DataFrame, keys: list[str], value_column: str = "value
                 v, w = np.r_[centroids[key][0], v], np.r_[centroids[key][1], w]
             centroids[key] = cluster(v, w, s.delta)
 
-        def emit() -> pd.DataFrame:
+        def emit() -> Iterator[pd.DataFrame]:
             for key in list(waiting):
                 squeeze(key)
-            names = list(zip(*centroids)) if centroids else [()] * len(keys)
+            if not centroids:
+                return
+            names = zip(*centroids)
             out = pd.DataFrame({**{k: list(n) for k, n in zip(keys, names)}, "part": part, "means": [c[0] for c in centroids.values()], "weights": [c[1] for c in centroids.values()]})
             centroids.clear()
-            return out
+            yield out
 
         for b in batches:
             v = b["value"].to_numpy(float)
@@ -97,8 +99,8 @@ def build_digests(values: DataFrame, keys: list[str], value_column: str = "value
             held += len(v)
             if held > s.task_buffer or len(centroids) * s.delta > s.task_buffer:
                 held = 0
-                yield emit()
-        yield emit()
+                yield from emit()
+        yield from emit()
 
     kind = ", ".join(f"{k} string" for k in keys)
     rows = values.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(value_column).cast("double").alias("value"))
