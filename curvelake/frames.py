@@ -306,6 +306,44 @@ class Irregular:
         both = self.df.join(other.df.select("id", "t", F.col("v").alias("_o")), ["id", "t"])
         return Irregular(both.withColumn("v", f(F.col("v"), F.col("_o"))).drop("_o"), self.domain)
 
+    def _with(self, other, f) -> Irregular:
+        """With a number or a column of the frame, or with another set at the same ids and points."""
+        if isinstance(other, Irregular):
+            return self.combine(other, f)
+        value = other if isinstance(other, Column) else F.lit(float(other))
+        return self.map(lambda v: f(v, value))
+
+    def __add__(self, other):
+        return self._with(other, lambda a, b: a + b)
+
+    def __sub__(self, other):
+        return self._with(other, lambda a, b: a - b)
+
+    def __mul__(self, other):
+        return self._with(other, lambda a, b: a * b)
+
+    def __truediv__(self, other):
+        return self._with(other, F.try_divide)
+
+    __radd__, __rmul__ = __add__, __mul__
+
+    def __rsub__(self, other):
+        return self._with(other, lambda a, b: b - a)
+
+    def __rtruediv__(self, other):
+        return self._with(other, lambda a, b: F.try_divide(b, a))
+
+    def __neg__(self):
+        return self.map(lambda v: -v)
+
+    def ranges(self) -> DataFrame:
+        """``(id, low, high)``: first and last point of each curve."""
+        return self.df.groupBy("id").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+
+    def hull(self) -> tuple[float, float]:
+        r = self.df.agg(F.min("t"), F.max("t")).first()
+        return r[0], r[1]
+
     def isna(self) -> DataFrame:
         return self.df.groupBy("id").agg((F.count("v") == 0).alias("missing"))
 
@@ -443,6 +481,24 @@ class BasisCurves:
 
     __rmul__ = __mul__
 
+    def __truediv__(self, other):
+        """By a number or a column; division of functions leaves the basis."""
+        return NotImplemented if isinstance(other, BasisCurves) else self._combine(other, F.try_divide)
+
+    def __neg__(self):
+        return self * -1.0
+
+    def mean(self) -> DataFrame:
+        """``(k, value)``: mean coefficients."""
+        return self.df.select(F.posexplode("coef").alias("k", "c")).groupBy("k").agg(F.avg("c").alias("value"))
+
+    def coefficient_covariance(self, correction: int = 0) -> np.ndarray:
+        """Covariance of the coefficients; with values B(s), B(t) it is that of the functions."""
+        from curvelake.operators.stats import covariance
+
+        n = self.basis.n_basis
+        return covariance(Curves(self.df.withColumnRenamed("coef", "data"), GridMeta.regular(n, 0, max(1, n - 1))), correction)
+
     def inner_product(self, other: BasisCurves) -> DataFrame:
         """``(id, inner)``: the inner product of the functions of the same id."""
         gram = self.basis.inner(other.basis)
