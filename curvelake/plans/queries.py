@@ -651,3 +651,173 @@ def made_warpings(spark, d):
 @query()
 def sampled_irregular(spark, d):
     return gn.irregular_sample(embeddings(spark, d), 10).df
+
+
+# -- further operators ----------------------------------------------------------------------------
+_BANDS = f"""with {S}, x as (select id, list(v order by pos) as v from s group by id), n as (select count(*) as n from x),
+    p as (select a.id as i, b.id as j, list_transform(list_zip(a.v, b.v), lambda z: least(z[1], z[2])) as lo, list_transform(list_zip(a.v, b.v), lambda z: greatest(z[1], z[2])) as hi from x a join x b on a.id < b.id),
+    h as (select x.id, count(*) filter (where list_bool_and(list_transform(list_zip(x.v, p.lo, p.hi), lambda z: z[1] >= z[2] and z[1] <= z[3]))) as c from x cross join p group by 1)
+    select id, round(c / (n * (n - 1) / 2), 6) as depth from h, n"""
+QUERIES["depth_band"] = lambda spark, d: dp.band_depth(supplier_months(spark, d)).select("id", _r("depth").alias("depth"))
+ORACLE["depth_band"] = _BANDS
+
+
+@query(_PAIRS + f""", g as (select query as j, max(d) as kd from (select dd.*, row_number() over (partition by query order by d, neighbour) as rank from
+        (select a.id as query, b.id as neighbour, round(sqrt(sum((a.v - b.v) * (a.v - b.v) * w)), 10) as d from e a join e b on a.pos = b.pos join w on w.pos = a.pos where a.id <> b.id group by 1, 2) dd) where rank <= 10 group by 1),
+    r as (select query as j, neighbour as m, d from (select dd.*, row_number() over (partition by query order by d, neighbour) as rank from
+        (select a.id as query, b.id as neighbour, round(sqrt(sum((a.v - b.v) * (a.v - b.v) * w)), 10) as d from e a join e b on a.pos = b.pos join w on w.pos = a.pos where a.id <> b.id group by 1, 2) dd) where rank <= 10),
+    lrd as (select r.j, 1 / (avg(greatest(r.d, g.kd)) + 1e-10) as lrd from r join g on g.j = r.m group by 1)
+    select r.j as id, round(avg(o.lrd) / max(m.lrd), 6) as lof from r join lrd o on o.j = r.m join lrd m on m.j = r.j where r.j % 20 = 0 group by 1""")
+def outliers_local_factor(spark, d):  # noqa: F811
+    e = embeddings(spark, d)
+    return dp.local_outlier_factor(_queries(e), e, 10).select("id", _r("lof").alias("lof"))
+
+
+@query(_PAIRS + """, near as (select * from dd where d <= 0.15), votes as (select query as id, label, count(*) as n from near group by 1, 2), best as (select id, arg_min(label, (-n, label)) as predicted from votes group by id)
+    select i.id, coalesce(predicted, -1) as predicted from (select distinct id from q) i left join best using (id)""")
+def classify_radius(spark, d):
+    e = embeddings(spark, d)
+    return cl.radius_classify(_queries(e), e, "label", 0.15, outlier_label=-1)
+
+
+@query(_PAIRS + """, near as (select query as id, avg(label) as predicted from dd where d <= 0.15 group by 1) select i.id, round(predicted, 6) as predicted from (select distinct id from q) i left join near using (id)""")
+def regress_radius(spark, d):
+    e = embeddings(spark, d)
+    return rr.radius_regress(_queries(e), e, "label", 0.15).select("id", _r("predicted").alias("predicted"))
+
+
+@query(_PAIRS + " select query as id, round(sum(label / d) / sum(1 / d), 6) as predicted from k where rank <= 5 group by 1")
+def regress_neighbours_weighted(spark, d):
+    e = embeddings(spark, d)
+    return rr.knn_regress(_queries(e), e, "label", 5, weights="distance").select("id", _r("predicted").alias("predicted"))
+
+
+@query(_PAIRS + " select query, e.pos, round(avg(e.v), 6) as v from k join e on e.id = k.neighbour where rank <= 3 group by 1, 2")
+def regress_neighbours_curves(spark, d):
+    e = embeddings(spark, d)
+    return rr.knn_regress_curves(_queries(e), e, e, 3).long().select(F.col("id").alias("query"), "pos", _r("v").alias("v"))
+
+
+@query(f"""with {E}, {WE}, x as (select a.id, a.pos, a.v - b.v as d from e a join e b on a.id = b.id and b.pos = 63 - a.pos)
+    select id, round(sum(abs(d) * w), 6) as l1, round(sqrt(sum(d * d * w)), 6) as l2, round(max(abs(d)), 6) as sup, round(cbrt(sum(abs(d * d * d) * w)), 6) as l3 from x join w using (pos) group by id""")
+def distances_lp(spark, d):
+    e = embeddings(spark, d)
+    off = e - e.with_df(e.df.withColumn("data", F.reverse("data")))
+    w = e.weights()
+    return off.df.select("id", *[_r(mt.lp_norm_column(F.col("data"), w, p)).alias(n) for n, p in (("l1", 1), ("l2", 2), ("sup", float("inf")), ("l3", 3))])
+
+
+@query(f"""with {E}, {_matrix(nm.difference_matrix(E_GRID.points))}, {WE}, g as (select id, i as pos, sum(v * c) as v from e join m using (pos) group by 1, 2), q as (select id, pos, sign(v) * sqrt(abs(v)) as v from g),
+    back as (select id, 63 - pos as pos, v from e), g2 as (select id, i as pos, sum(v * c) as v from back join m using (pos) group by 1, 2), q2 as (select id, pos, sign(v) * sqrt(abs(v)) as v from g2)
+    select a.id, round(sqrt(sum((a.v - b.v) * (a.v - b.v) * w)), 5) as distance from q a join q2 b on a.id = b.id and a.pos = b.pos join w on w.pos = a.pos group by 1""")
+def distances_fisher_rao(spark, d):
+    e = embeddings(spark, d)
+    return mt.fisher_rao_distance(e, e.with_df(e.df.withColumn("data", F.reverse("data")))).select("id", _r("distance", 5).alias("distance"))
+
+
+@query(f"with {E}, {WE}, a as (select id, sum(v * w) as m from e join w using (pos) group by id) select id, round(sum((v - m) * (v - m) * w), 6) as c2, round(sum(exp(v) * w), 6) as ex from e join w using (pos) join a using (id) group by id")
+def feature_expectations(spark, d):
+    e = embeddings(spark, d)
+    return ft.central_moment(e, 2).select("id", _r("value").alias("c2")).join(ft.average_value(e, F.exp).select("id", _r("value").alias("ex")), "id")
+
+
+@query(f"with {E}, s0 as (select id, pos, v - 0.05 as v from e where v <> 0.05), s1 as (select id, sign(v) as a, lag(sign(v)) over (partition by id order by pos) as b from s0) select id, count(*) filter (where b < 0 and a > 0) as crossings from s1 group by id")
+def feature_crossings_up(spark, d):
+    return ft.crossings(embeddings(spark, d), 0.05, "up").select("id", F.col("crossings").cast("bigint").alias("crossings"))
+
+
+_KERN = np.array([[np.exp(-abs(s - t)) for s in E_GRID.points] for t in np.linspace(0, 1, 5)]) * nm.simpson_weights(E_GRID.points)[None]
+
+
+@query(f"with {E}, {_matrix(_KERN)} select id, i as pos, round(sum(v * c), 6) as v from e join m using (pos) group by 1, 2")
+def operator_integral(spark, d):
+    from curvelake.operators.linear import integral_transform
+
+    return integral_transform(embeddings(spark, d), lambda s, t: np.exp(-np.abs(s - t)), np.linspace(0, 1, 5)).long().select("id", "pos", _r("v").alias("v"))
+
+
+_LDO = np.diag(S_GRID.points) + 2 * nm.difference_matrix(S_GRID.points, 2)
+
+
+@query(f"with {S}, {_matrix(_LDO)} select id, i as pos, round(sum(v * c), 2) as v from s join m using (pos) group by 1, 2")
+def operator_differential(spark, d):
+    from curvelake.operators.linear import differential_operator
+
+    return differential_operator(supplier_months(spark, d), [lambda t: t, 0.0, 2.0]).long().select("id", "pos", _r("v", 2).alias("v"))
+
+
+@query(f"""with {E}, {WE}, m as (select pos, avg(v) as m, var_pop(v) as vv from e group by pos), z as (select pos, avg(abs(v - m) / greatest(abs(v), 2.220446049250313e-16)) as ape, 1 - (avg((v - m) * (v - m)) - avg(v - m) * avg(v - m)) / any_value(vv) as ev from e join m using (pos) group by pos)
+    select pos, round(ape, 4) as percentage, round(ev, 6) as explained from z""")
+def scores_raw(spark, d):
+    e = embeddings(spark, d)
+    mean = [r["v"] for r in e.long().groupBy("pos").agg(F.avg("v").alias("v")).orderBy("pos").collect()]
+    pred = e.with_df(e.df.withColumn("data", F.array(*[F.lit(v) for v in mean])))
+    a = sc.pointwise_error(e, pred, "percentage", raw=True).select("pos", _r("score", 4).alias("percentage"))
+    return a.join(sc.explained_variance(e, pred, raw=True).select("pos", _r("score").alias("explained")), "pos")
+
+
+@query(f"""with {S}, {WS}, c as (select dense_rank() over (order by id) - 1 as k, pos, v as c from s where id in (select id from s group by id order by id limit 3)),
+    dd as (select s.id, k, sqrt(sum((v - c) * (v - c) * w)) as d from s join c using (pos) join w using (pos) group by 1, 2), z as (select id, min(d) as z from dd group by id),
+    u as (select id, k, case when z = 0 then case when d = 0 then 1.0 else 0.0 end else pow(d, -2) end as u from dd join z using (id))
+    select id, k, round(u / sum(u) over (partition by id), 6) as membership from u""")
+def cluster_membership(spark, d):
+    s = supplier_months(spark, d)
+    init = np.array([r["data"] for r in s.df.orderBy("id").limit(3).collect()])
+    return ct.memberships(s, init).select("id", F.posexplode("membership").alias("k", "m")).select("id", "k", _r("m").alias("membership"))
+
+
+@query(f"with {E}, {_matrix(_WAVES(np.linspace(0, 1, 9)) @ _WAVES.fit_matrix(E_GRID.points))} select id, i as pos, round(sum(v * c), 6) as v from e join m using (pos) group by 1, 2")
+def basis_values(spark, d):
+    return embeddings(spark, d).to_basis(_WAVES).to_grid(np.linspace(0, 1, 9)).long().select("id", "pos", _r("v").alias("v"))
+
+
+@query(f"with {I} select id, round(min(t), 6) as low, round(max(t), 6) as high, count(*) as n from i group by id")
+def irregular_ranges(spark, d):
+    i = user_stream(spark, d)
+    return i.ranges().join(i.df.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id").select("id", _r("low").alias("low"), _r("high").alias("high"), "n")
+
+
+@query(f"with {U}, k as (select id from u group by id having count(v) = 24) select cast(pos as double) as t, round(sum(v), 3) as value from u join k using (id) group by pos")
+def irregular_common(spark, d):
+    u = user_hours(spark, d)
+    return u.where(F.forall("data", lambda x: x.isNotNull())).to_irregular().sum().select("t", _r("value", 3).alias("value"))
+
+
+@query(f"with {O} select id, t, round(2 * v - ln(v), 2) as v from o")
+def irregular_arithmetic(spark, d):
+    o = customer_orders(spark, d)
+    return (2 * o - o.map(F.ln)).df.select("id", "t", _r("v", 2).alias("v"))
+
+
+@query(f"with {U}, k as (select id, count(v) as n from u group by id) select u.id, pos, round(v, 4) as v from u join k using (id) where v is not null and n >= 20")
+def irregular_from_grid(spark, d):
+    u = user_hours(spark, d)
+    full = u.where(F.size(F.filter("data", lambda x: x.isNotNull())) >= 20)
+    return full.to_irregular().df.select("id", F.col("t").cast("int").alias("pos"), _r("v", 4).alias("v"))
+
+
+@query("""with r as (select user_id as id, ts, value from events where value is not null), w as (select id, time_bucket(interval '1 day', ts) as s, least(3, cast(floor(date_diff('microsecond', time_bucket(interval '1 day', ts), ts) * 4 / 86400e6) as int)) as pos, value from r)
+    select id, s as window_start, pos, round(avg(value), 4) as v from w group by 1, 2, 3""")
+def stream_windows(spark, d):
+    from curvelake.session import table
+    from curvelake.streaming.windows import windowed_curves
+
+    made = windowed_curves(table(spark, d, "events"), "user_id", "ts", "value", "1 day", 4)
+    cells = made.select("id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.posexplode("data").alias("pos", "v"))
+    return cells.where("v is not null").select("id", "window_start", "pos", _r("v", 4).alias("v"))
+
+
+@query()
+def mixed_effects(spark, d):
+    from curvelake.operators.mixed_effects import fit_mixed_effects
+
+    i = user_stream(spark, d)
+    return fit_mixed_effects(i, FourierBasis((0.0, 31.0), 3), 10).transform(i).df
+
+
+@query()
+def covariance_parameters(spark, d):
+    from curvelake.operators.covariance_fit import fit_covariance
+
+    p, _ = fit_covariance(embeddings(spark, d), lambda v, s: cv.Exponential(v, s), (0.1, 0.1))
+    return spark.createDataFrame([p], "variance double, length_scale double, noise double")
