@@ -99,6 +99,12 @@ def pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * x @ pivots.T, 0))
 
 
+def rounding_slack(x: np.ndarray, pivots: np.ndarray) -> float:
+    """More than ``pivot_distances`` may be off: the root of the rounding error of the squared norms."""
+    largest = max(np.nan_to_num(x * x).sum(1).max(initial=0), (pivots * pivots).sum(1).max(initial=0))
+    return 1e-9 + float(np.sqrt(largest)) * 1e-6
+
+
 def nearest_pivot(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     owner = np.concatenate([pivot_distances(x[a : a + 4096], pivots).argmin(1) for a in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
     return owner, np.sqrt(((x - pivots[owner]) ** 2).sum(1))
@@ -213,6 +219,7 @@ class Candidates:
                 pivot = pivots[cells[a]]
                 residual = self.rows[lo:hi] - pivot
                 self.tiles.append((lo, hi, pivot, np.sqrt((residual**2).sum(1)).max(), quantise(residual)))
+        self.centres = np.array([t[2] for t in self.tiles]).reshape(len(self.tiles), -1)
 
 
 def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -228,10 +235,13 @@ def visit(queries: np.ndarray, radius: np.ndarray, found: Candidates, do: Callab
     """
     for a in range(0, len(queries), chunk):
         q = queries[a : a + chunk]
-        far = [np.sqrt(((q - t[2]) ** 2).sum(1)) for t in found.tiles]
-        for k in np.argsort([f.min() for f in far]) if far else ():
+        if not found.tiles:
+            continue
+        far = pivot_distances(q, found.centres)
+        slack = rounding_slack(q, found.centres)
+        for k in np.argsort(far.min(0), kind="stable"):
             lo, hi, pivot, reach, packed = found.tiles[k]
-            mine = np.flatnonzero(far[k] - reach <= radius[a : a + chunk] * (1 + 1e-9) + 1e-9)
+            mine = np.flatnonzero(far[:, k] - reach <= radius[a : a + chunk] + slack)
             if not len(mine):
                 continue
             near, bound = _tile(quantise(q[mine] - pivot), packed)
@@ -314,8 +324,8 @@ def routed(
                     far = np.sqrt(np.maximum((x0 * x0).sum(1)[:, None] + seen @ (pivots * pivots).T - 2 * x0 @ pivots.T, 0))
                 else:
                     far = pivot_distances(x, pivots)
-                slack = b["radius"].to_numpy(float)[:, None] * (1 + 1e-6) + 1e-6 + 1e-7 * far
-                need = np.logical_or.reduceat(far[:, cell_of] - reach[None] <= slack[:, cell_of], starts, axis=1)
+                reachable = b["radius"].to_numpy(float)[:, None] + rounding_slack(x, pivots)
+                need = np.logical_or.reduceat(far[:, cell_of] - reach[None] <= reachable, starts, axis=1)
                 if skip_own:
                     own = np.searchsorted(shard_of[starts], b["shard"].to_numpy())
                     need[np.arange(len(b)), own] = False
