@@ -78,20 +78,26 @@ def matrix(column: pd.Series, dimension: int) -> np.ndarray:
 def _fit_pivots(sample: np.ndarray, count: int, seed: int) -> np.ndarray:
     """Farthest-first starts among random rows, then a few rounds of k-means."""
     rng = np.random.default_rng(seed)
+    norms = (sample * sample).sum(1)
+    to = lambda i: np.maximum(norms + norms[i] - 2 * (sample @ sample[i]), 0)
     first = [int(rng.integers(len(sample)))]
-    near = ((sample - sample[first[0]]) ** 2).sum(1)
+    near = to(first[0])
+    near[first[0]] = 0
     while len(first) < count and near.max() > 0:
         pool = rng.choice(len(sample), size=min(len(sample), 64), replace=False)
         pick = int(pool[near[pool].argmax()])
         if near[pick] == 0:
             pick = int(near.argmax())
         first.append(pick)
-        near = np.minimum(near, ((sample - sample[pick]) ** 2).sum(1))
+        near = np.minimum(near, to(pick))
+        near[pick] = 0
     pivots = sample[first]
     for _ in range(4):
         owner = nearest_pivot(sample, pivots)[0]
-        for k in np.unique(owner):
-            pivots[k] = sample[owner == k].mean(0)
+        order = np.argsort(owner, kind="stable")
+        edge = np.flatnonzero(np.r_[True, np.diff(owner[order]) != 0])
+        size = np.diff(np.r_[edge, len(order)])
+        pivots[owner[order][edge]] = np.add.reduceat(sample[order], edge) / size[:, None]
     return pivots
 
 
@@ -134,8 +140,8 @@ def build_index(vectors: DataFrame, dimension: int, settings: BlockSettings | No
     rows = vectors.count()
     if not rows:
         return BlockIndex(vectors.select("id", "vec", F.lit(0).alias("cell"), F.lit(0).alias("shard")), np.zeros((0, dimension)), np.zeros((0, 3), int), np.zeros(0), dimension, 0, s)
-    sample = vectors.orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(s.sample_rows).toPandas()
-    sample = matrix(sample["vec"], dimension)
+    sample = vectors.orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(s.sample_rows).select("vec").toArrow()
+    sample = sample.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
     pivots = _fit_pivots(sample, max(1, min(s.most_pivots, rows // s.rows_per_pivot)), s.seed)
     # rows far from every pivot would blow up the radius of a cell of close rows: they get cells, and shards, of
     # their own, so that close rows are not sent to all shards
