@@ -72,4 +72,11 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_percentiles": p2_percentiles, "p6_packs": p6_packs, "p6_summary": p6_summary, "p7_mix": p7_mix, "p7_shares": p7_shares,
     "p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p8_found": p8_found, "p8_forms": p8_forms}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p5_found": """
+        with x as (select id, data_matrix as v from spectra where len(data_matrix) = 100 and len(list_filter(data_matrix, lambda c: c is not null and isfinite(c))) = 100),
+        d as (select a.id as q, b.id as n, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as s from x a join x b on a.id <> b.id),
+        k as (select q, n, row_number() over (partition by q order by s, n) as r from d)
+        select distinct least(q, n) as id_a, greatest(q, n) as id_b from k where r <= 10
+    """,
+}
