@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: entries up to which a matrix is written out as expressions
+STENCIL_TERMS = 256
+
+
 def constant(values) -> Column:
     """A literal array of doubles; it belongs to the plan, so its length must be that of a grid."""
     return F.array(*[F.lit(float(v)) for v in values]) if len(values) else F.array().cast("array<double>")
@@ -34,23 +39,22 @@ def pairwise(a: Column, b: Column, f) -> Column:
 
 
 def stencil(data: Column, matrix: np.ndarray) -> Column:
-    """Matrix times curve where every row of the matrix has few non-zero entries; stays in the JVM."""
+    """Matrix times curve where the matrix has few non-zero entries: plain expressions that are compiled with the stage."""
     rows = []
     for row in np.asarray(matrix, float):
-        at = np.flatnonzero(row)
-        terms = F.array(*[F.struct(F.lit(int(j)).alias("j"), F.lit(float(row[j])).alias("w")) for j in at]) if len(at) else None
-        rows.append(terms if terms is not None else F.array(F.struct(F.lit(0).alias("j"), F.lit(0.0).alias("w"))))
-    return F.transform(F.array(*rows), lambda r: F.aggregate(r, F.lit(0.0), lambda a, t: a + F.get(data, t["j"]) * t["w"]))
+        terms = [F.get(data, F.lit(int(j))) * float(row[j]) for j in np.flatnonzero(row)]
+        rows.append(reduce(lambda a, b: a + b, terms) if terms else F.lit(0.0))
+    return F.array(*rows)
 
 
 def apply_matrix(df: DataFrame, matrix: np.ndarray, data: str = "data", out: str = "data", centre=None) -> DataFrame:
     """Replace ``data`` by ``matrix @ (data - centre)`` for each row.
 
-    Banded matrices (at most four entries a row) stay in the JVM; dense ones run as one product per Arrow batch.
+    Matrices with few entries stay in the JVM; others run as one product per Arrow batch.
     A missing cell makes every result null that it enters (all of them, for a dense matrix).
     """
     matrix = np.atleast_2d(np.asarray(matrix, float))
-    if centre is None and (matrix != 0).sum(1).max(initial=0) <= 4:
+    if centre is None and np.count_nonzero(matrix) <= STENCIL_TERMS:
         return df.withColumn(out, stencil(F.col(data), matrix))
     shift = np.zeros(matrix.shape[1]) if centre is None else np.asarray(centre, float)
     keep = [c for c in df.columns if c != out]

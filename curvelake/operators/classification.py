@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +10,9 @@ from pyspark.sql import functions as F
 
 from curvelake.columns import constant
 from curvelake.frames import Curves
-from curvelake.operators.depth import DEPTH_DIGITS, deepest, modified_band_depth
+from curvelake.operators.depth import DEPTH_DIGITS, _simplicial, deepest, modified_band_depth
 from curvelake.operators.metrics import k_neighbours, lp_norm_column, radius_neighbours
+from curvelake.operators.ranks import rank_counts
 from curvelake.operators.stats import moments
 
 
@@ -83,9 +82,18 @@ def dtm_classify(queries: Curves, train: Curves, label: str, share: float, p: fl
 
 def class_depths(queries: Curves, train: Curves, label: str) -> DataFrame:
     """``(id, class, depth)``: modified band depth of every query in every class."""
+    queries._same_grid(train)
     names = [r[0] for r in train.df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).collect()]
-    parts = [modified_band_depth(queries, train.where(F.col(label) == F.lit(g))).withColumn("class", F.lit(g)) for g in names]
-    return reduce(DataFrame.unionByName, parts)
+    size = train.meta.size
+    known = F.array(*[F.lit(g) for g in names])
+    # a grid point of a class is a group of its own, so all classes are counted in one pass
+    own = train.df.where(F.col(label).isNotNull()).select("id", (F.array_position(known, F.col(label)) - 1).cast("int").alias("k"), F.posexplode("data").alias("p", "v"))
+    asked = queries.long().select("id", F.col("pos").alias("p"), "v", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("k"))
+    cells = own.withColumn("ref", F.lit(1)).unionByName(asked.withColumn("ref", F.lit(0))).select("id", "k", (F.col("k") * size + F.col("p")).alias("pos"), "v", "ref")
+    counted = rank_counts(cells, train.df.count() + queries.df.count()).where("ref = 0")
+    w = F.get(constant(queries.weights() / queries.length()), F.col("pos") % size)
+    depth = F.sum(_simplicial(F.col("below"), F.col("upto"), F.col("n")) * w)
+    return counted.groupBy("id", "k").agg(depth.alias("depth")).select("id", F.get(known, F.col("k")).alias("class"), "depth")
 
 
 def maximum_depth(queries: Curves, train: Curves, label: str) -> DataFrame:

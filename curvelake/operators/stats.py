@@ -14,6 +14,10 @@ from curvelake.frames import Curves
 from curvelake.operators.metrics import distances_to
 
 
+#: tasks that add up the parts of the others before the driver does
+MERGE_TASKS = 8
+
+
 def pointwise(curves: Curves, by: list[str] | None = None, **statistics: Column) -> DataFrame:
     """``(*by, pos, t, ...)``: aggregates of ``v`` at each grid point."""
     by = by or []
@@ -79,12 +83,24 @@ def moments(curves: Curves, condition: Column | None = None) -> tuple[int, np.nd
         if n:
             yield pd.DataFrame({"n": [n], "mean": [mean], "scatter": [scatter.ravel()]})
 
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done = add_moments(((r.n, r.mean, r.scatter) for b in batches for r in b.itertuples(index=False)), size)
+        if done[0]:
+            yield pd.DataFrame({"n": [done[0]], "mean": [done[1]], "scatter": [done[2].ravel()]})
+
+    schema = "n bigint, mean array<double>, scatter array<double>"
+    few = rows.mapInPandas(part, schema).repartition(MERGE_TASKS).mapInPandas(merge, schema).collect()  # a row a merging task
+    return add_moments(((r["n"], r["mean"], r["scatter"]) for r in few), size)
+
+
+def add_moments(parts, size: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Counts, means and centred sums of products of several parts, added up."""
     n, mean, scatter = 0, np.zeros(size), np.zeros((size, size))
-    for r in rows.mapInPandas(part, "n bigint, mean array<double>, scatter array<double>").toLocalIterator():
-        m, total = np.array(r["mean"]), n + r["n"]
-        shift = m - mean
-        scatter += np.array(r["scatter"]).reshape(size, size) + np.outer(shift, shift) * (n * r["n"] / total)
-        mean, n = mean + shift * r["n"] / total, total
+    for k, m, s in parts:
+        total = n + int(k)
+        shift = np.asarray(m, float) - mean
+        scatter = scatter + np.asarray(s, float).reshape(size, size) + np.outer(shift, shift) * (n * int(k) / total)
+        mean, n = mean + shift * int(k) / total, total
     return n, mean, scatter
 
 
