@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from curvelake.columns import constant
 from curvelake.frames import Curves
 from curvelake.operators.depth import DEPTH_DIGITS, _simplicial, deepest, modified_band_depth
-from curvelake.operators.metrics import k_neighbours, lp_norm_column, radius_neighbours
+from curvelake.operators.metrics import block_distances, k_neighbours, matrix_of, radius_neighbours
 from curvelake.operators.ranks import rank_counts
 from curvelake.operators.stats import moments
 
@@ -55,9 +55,19 @@ def class_means(train: Curves, label: str) -> tuple[list, np.ndarray]:
 
 def nearest_of(curves: Curves, names: list, centres: np.ndarray, p: float = 2, digits: int = 10) -> DataFrame:
     """``(id, predicted, distance)`` of the nearest of a few known functions."""
-    w = curves.weights()
-    each = [F.struct(F.round(lp_norm_column(F.zip_with("data", constant(c), lambda x, y: x - y), w, p), digits).alias("d"), F.lit(n).alias("name")) for n, c in zip(names, centres)]
-    return curves.df.select("id", F.array_min(F.array(*each)).alias("b")).select("id", F.col("b.name").alias("predicted"), F.col("b.d").alias("distance"))
+    w, size = curves.weights(), curves.meta.size
+    centres = np.asarray(centres, float)
+
+    def nearest(batches):
+        for b in batches:
+            d = np.round(block_distances(matrix_of(b["data"], size), centres, w, "lp" if p not in (1, 2, math.inf) else {1: "l1", 2: "l2"}.get(p, "linf"), p), digits)
+            k = np.where(np.isnan(d), np.inf, d).argmin(1) if len(b) else np.zeros(0, int)
+            yield pd.DataFrame({"id": b["id"], "k": k.astype("int32"), "distance": d[np.arange(len(b)), k]})
+
+    found = curves.df.select("id", "data").mapInPandas(nearest, f"id {dict(curves.df.dtypes)['id']}, k int, distance double")
+    known = F.array(*[F.lit(n) for n in names])
+    gone = F.isnan("distance")  # a curve with missing cells is nearest to nothing
+    return found.select("id", F.when(~gone, F.get(known, F.col("k"))).alias("predicted"), F.when(~gone, F.col("distance")).alias("distance"))
 
 
 def nearest_centroid(queries: Curves, train: Curves, label: str, p: float = 2) -> DataFrame:
