@@ -120,8 +120,6 @@ def _spike_threshold(hours: list, values: list, suspected: list, s: ChartSetting
         if not any(taken[i : i + length]):
             taken[i : i + length] = [True] * length
             kept.append((size, i, length))
-            if len(kept) > 80:
-                break
     if not kept:
         return math.inf
 
@@ -131,8 +129,8 @@ def _spike_threshold(hours: list, values: list, suspected: list, s: ChartSetting
         moves = sorted((abs(values[b] - values[a]) for a, b in zip(rest, rest[1:]) if hours[b] - hours[a] <= 3), reverse=True)
         return moves[2] if len(moves) > 2 else (moves[-1] if moves else 0.0)
 
-    most = min(len(kept) - 1, 60, max(3, len(values) // 12))
-    for k in range(most, 0, -1):
+    # all departures are searched; few are 1.9 times the next, so the moves are sorted a few times a block
+    for k in range(len(kept) - 1, 0, -1):
         size, i, length = kept[k - 1]
         other = kept[k][0]
         if size < s.departure_ratio * other or not all(suspected[i : i + length]):
@@ -157,7 +155,7 @@ def _runs(hours: list, values: list, reach: int) -> list:
 
 def _frozen_threshold(lengths: list, s: ChartSettings) -> float:
     lengths = sorted(lengths, reverse=True) + [1]
-    for k in range(min(len(lengths) - 1, 40), 0, -1):
+    for k in range(len(lengths) - 1, 0, -1):
         longest, other = lengths[k - 1], lengths[k]
         if longest >= s.shortest_frozen and longest >= s.frozen_ratio * other:
             return max(s.shortest_frozen, math.sqrt(longest * other * s.frozen_ratio))
