@@ -166,10 +166,57 @@ def rkhs_selection(curves: Curves, label: str, k: int) -> list[int]:
     return chosen
 
 
+def _distance_sums(x: np.ndarray) -> np.ndarray:
+    """Sum of the distances of each number to all others, from prefix sums in order."""
+    order, n = np.argsort(x, kind="stable"), len(x)
+    v = x[order]
+    before = np.cumsum(v) - v
+    out = np.empty(n)
+    out[order] = (2 * np.arange(n) - n) * v + v.sum() - 2 * before
+    return out
+
+
+def _distance_products(x: np.ndarray, y: np.ndarray) -> float:
+    """Sum of |x_i - x_j| |y_i - y_j| over all i, j: pairs in order of x, and those also in order of y by merging halves."""
+    order, n = np.argsort(x, kind="stable"), len(x)
+    x, y = x[order], y[order]
+    values = np.stack([np.ones(n), x, y, x * y])
+    less, by_y, width = np.zeros((4, n)), np.argsort(y, kind="stable"), 1
+    while width < n:
+        o = by_y[np.argsort(by_y // (2 * width), kind="stable")]
+        left = o // width % 2 == 0
+        sums = np.concatenate([np.zeros((4, 1)), np.cumsum(values[:, o] * left, axis=1)], axis=1)
+        right = np.flatnonzero(~left)
+        less[:, o[right]] += sums[:, right] - sums[:, o[right] // (2 * width) * (2 * width)]
+        width *= 2
+    before = np.cumsum(values, axis=1) - values
+    signed = lambda s: float((x * y * s[0] - x * s[2] - y * s[1] + s[3]).sum())
+    return 2 * (2 * signed(less) - signed(before))
+
+
+def _distance_correlation_of_numbers(x: np.ndarray, y: np.ndarray) -> float:
+    n = len(x)
+    if n < 4:
+        return 0.0
+    x, y = x - x[0], y - y[0]
+    x, y = x - x.mean(), y - y.mean()
+    a, b = _distance_sums(x), _distance_sums(y)
+    inner = lambda s, p, q: s - 2 / (n - 2) * float(p @ q) + p.sum() * q.sum() / ((n - 1) * (n - 2))
+    square = lambda v: 2 * n * float(v @ v) - 2 * float(v.sum()) ** 2
+    xx, yy = inner(square(x), a, a), inner(square(y), b, b)
+    if xx <= 1e-12 * square(x) or yy <= 1e-12 * square(y):
+        return 0.0
+    return float(inner(_distance_products(x, y), a, b) / np.sqrt(xx * yy))
+
+
 def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
-    """Unbiased squared distance correlation of two samples of numbers or rows."""
+    """Unbiased squared distance correlation of two samples of numbers (n log n) or rows (quadratic)."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    if x.ndim == y.ndim == 1:
+        return _distance_correlation_of_numbers(x, y)
+
     def centred(v):
-        v = np.asarray(v, float).reshape(len(v), -1)
+        v = v.reshape(len(v), -1)
         d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
         n = len(d)
         u = d - d.sum(0) / (n - 2) - d.sum(1)[:, None] / (n - 2) + d.sum() / ((n - 1) * (n - 2))
@@ -182,23 +229,39 @@ def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0) -> float:
-    """Nearest-neighbour estimate of the mutual information of a number and a class."""
+    """Nearest-neighbour estimate of the mutual information of a number and a class, from sorted values."""
     rng = np.random.default_rng(seed)
-    x = np.asarray(x, float)
+    x, y = np.asarray(x, float), np.asarray(y)
+    order = np.lexsort((y, x))  # the same noise in whatever order the rows come
+    x, y = x[order], y[order]
     x = x / (x.std() or 1) + 1e-10 * max(1.0, np.abs(x).mean()) * rng.standard_normal(len(x))
+    every = np.sort(x)
     n, total, used = len(x), 0.0, 0
     for c in np.unique(y):
-        own = x[y == c]
+        own = np.sort(x[y == c])
         if len(own) < 2:
             continue
         near = min(k, len(own) - 1)
-        radius = np.nextafter(np.sort(np.abs(own[:, None] - own[None]), 1)[:, near], 0)
-        m = (np.abs(own[:, None] - x[None]) <= radius[:, None]).sum(1)
+        pad = np.concatenate([np.full(near, -np.inf), own, np.full(near, np.inf)])
+        # the nearest own values are a stretch of near + 1 that holds the value itself
+        reach = [np.maximum(own - pad[s : s + len(own)], pad[s + near : s + near + len(own)] - own) for s in range(near + 1)]
+        radius = np.nextafter(np.min(reach, axis=0), 0)
+        m = _upto(every, own, radius) + _upto(-every[::-1], -own, radius) - n
         total += (_digamma(near) - _digamma(m)).sum() + len(own) * _digamma(len(own))
         used += len(own)
     return max(0.0, float(total / used + _digamma(used))) if used and n else 0.0
 
 
+def _upto(every: np.ndarray, own: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """How many of the sorted values exceed each own value by the radius at most, compared as differences."""
+    at = np.searchsorted(every, own + radius, "right")
+    while len(far := np.flatnonzero((at > 0) & (every[at - 1] - own > radius))):
+        at[far] -= 1
+    while len(near := np.flatnonzero((at < len(every)) & (every[np.minimum(at, len(every) - 1)] - own <= radius))):
+        at[near] += 1
+    return at
+
+
 def _digamma(v):
     v = np.asarray(v, float)
     shift = np.zeros_like(v)
@@ -209,13 +272,12 @@ def _digamma(v):
     return shift + np.log(v) - 1 / (2 * v) - 1 / (12 * v**2) + 1 / (120 * v**4) - 1 / (252 * v**6)
 
 
-def dependence(curves: Curves, label: str, measure=distance_correlation, sample: int = 1_000, seed: int = 0) -> np.ndarray:
-    """The dependence of the value at each grid point on the label, over a bounded sample; a task a grid point.
+def dependence(curves: Curves, label: str, measure=distance_correlation) -> np.ndarray:
+    """The dependence of the value at each grid point on the label, over all labelled curves; a task a grid point.
 
-    These measures are quadratic in the sample; ``sample`` is the documented bound.
+    A task holds one value and one label a curve; the measures take n log n steps.
     """
-    some = curves.df.select("id", "data", label).where(F.col(label).isNotNull()).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
-    cells = some.select(label, F.posexplode("data").alias("pos", "v")).where("v is not null")
+    cells = curves.df.where(F.col(label).isNotNull()).select(label, F.posexplode("data").alias("pos", "v")).where("v is not null")
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         y = pd.factorize(frame[label], sort=True)[0] if frame[label].dtype == object else frame[label].to_numpy(float)
@@ -258,12 +320,12 @@ def recursive_maxima_hunting(curves: Curves, label: str, max_features: int = 5,
     return chosen
 
 
-def minimum_redundancy(curves: Curves, label: str, k: int, method: str = "difference", measure=mutual_information, sample: int = 1_000, seed: int = 0) -> list[int]:
-    """Greedy positions of the largest relevance less (or over) the mean redundancy with those chosen, on a bounded sample."""
-    relevance = dependence(curves, label, measure, sample, seed)
-    some = curves.df.select("id", "data").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).toPandas()
-    x = np.stack(some["data"])
-    corr = np.corrcoef(x.T)
+def minimum_redundancy(curves: Curves, label: str, k: int, method: str = "difference", measure=mutual_information) -> list[int]:
+    """Greedy positions of the largest relevance less (or over) the mean redundancy with those chosen."""
+    relevance = dependence(curves, label, measure)
+    _, _, scatter = moments(curves)
+    size = np.sqrt(np.maximum(np.diag(scatter), 1e-300))
+    corr = scatter / size[:, None] / size[None]
     shared = -0.5 * np.log(np.maximum(1 - np.clip(corr, -1, 1) ** 2, 1e-12))
     chosen: list[int] = []
     for _ in range(k):

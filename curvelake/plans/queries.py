@@ -545,7 +545,7 @@ def selection_kernel_space(spark, d):
 
 @query()
 def selection_maxima(spark, d):
-    return spark.createDataFrame([(i, p) for i, p in enumerate(rd.maxima_hunting(embeddings(spark, d), "label", max_points=5, sample=300))], "rank int, pos int")
+    return spark.createDataFrame([(i, p) for i, p in enumerate(rd.maxima_hunting(embeddings(spark, d), "label", max_points=5))], "rank int, pos int")
 
 
 @query()

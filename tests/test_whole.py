@@ -1,11 +1,16 @@
 """Results over all rows, where a bound or a few rounds once stood in."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from curvelake.core.spikes import implausible_cells
+from curvelake.frames import Curves
+from curvelake.meta import GridMeta
+from curvelake.operators import reduction as rd
 
 
 def _history(spark, x):
@@ -33,3 +38,59 @@ def test_a_block_with_many_frozen_runs(spark):
     x[at] = np.repeat(x[at[::12]], 12)
     got = {r["id"] * 24 + r["pos"] for r in implausible_cells(*_history(spark, x)).collect() if r["reason"] == "frozen"}
     assert set(at) <= got and len(got) <= len(at) + 50
+
+
+def _distances_correlated(x, y):
+    """Brute force over the matrices of all pairs."""
+    n, out = len(x), []
+    for v in (x, y):
+        d = np.abs(v[:, None] - v[None])
+        u = d - d.sum(0) / (n - 2) - d.sum(1)[:, None] / (n - 2) + d.sum() / ((n - 1) * (n - 2))
+        np.fill_diagonal(u, 0)
+        out.append(u)
+    a, b = out
+    low = np.sqrt((a * a).sum() * (b * b).sum())
+    return (a * b).sum() / low if low > 1e-12 else 0.0
+
+
+def _information(x, y, k=3):
+    """Brute force over all pairs, on values without ties."""
+    x, total = x / x.std(), 0.0
+    for c in np.unique(y):
+        own = x[y == c]
+        radius = np.nextafter(np.sort(np.abs(own[:, None] - own[None]), 1)[:, k], 0)
+        m = (np.abs(own[:, None] - x[None]) <= radius[:, None]).sum(1)
+        total += (rd._digamma(k) - rd._digamma(m)).sum() + len(own) * rd._digamma(len(own))
+    return total / len(x) + rd._digamma(len(x))
+
+
+@pytest.mark.parametrize("n", [4, 5, 37, 256])
+def test_measures_of_dependence_equal_brute_force(n):
+    rng = np.random.default_rng(n)
+    x, y = rng.standard_normal(n), rng.integers(0, 4, n).astype(float)
+    y[:2] = 0, 1
+    for a, b in ((x, y), (x, x**2), (1e3 + np.round(x, 1), y)):
+        assert rd.distance_correlation(a, b) == pytest.approx(_distances_correlated(a, b), abs=1e-9)
+    assert rd.distance_correlation(np.full(n, 0.1), y) == 0
+    if n > 30:
+        assert rd.mutual_information(x + y, y) == pytest.approx(_information(x + y, y), abs=1e-3)
+        assert rd.mutual_information((x + y)[::-1], y[::-1]) == rd.mutual_information(x + y, y)
+
+
+def test_dependence_is_of_all_curves(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((1200, 3)), rng.integers(0, 3, 1200)
+    x[:, 1] += y
+    frame = spark.createDataFrame([(i, r.tolist(), int(c)) for i, (r, c) in enumerate(zip(x, y))], "id bigint, data array<double>, label int")
+    want = [_distances_correlated(x[:, k], y.astype(float)) for k in range(3)]
+    assert rd.dependence(Curves(frame, GridMeta.regular(3)), "label") == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test data is not here")
+def test_selection_maxima_is_of_all_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
+    x, y = np.stack(rows["embedding"]), rows["label"].to_numpy(float)
+    d = [_distances_correlated(c, y) for c in x.T.astype(float)]
+    top = [i for i in range(64) if d[i] == max(d[max(0, i - 1) : i + 2])]
+    got = entry.queries()["selection_maxima"](spark, "/root/testdata/sf0.01").orderBy("rank").collect()
+    assert [r["pos"] for r in got] == sorted(top, key=lambda i: -d[i])[:5]
