@@ -6,10 +6,19 @@ Only numpy is used. Everything here has the size of a grid or a basis, never of
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 
 
+class Unfinished(RuntimeWarning):
+    """A loop ended at its bound of rounds before it converged."""
+
+
+def report_unfinished(what: str, rounds: int, moved: float, tol: float) -> None:
+    warnings.warn(f"{what} has not converged in {rounds} rounds: the last moved {moved:.3g}, the tolerance is {tol:.3g}", Unfinished, stacklevel=3)
+
+
 def simpson_weights(x) -> np.ndarray:
     """Composite Simpson weights on a sorted grid; an even number of points corrects the last interval by a parabola."""
     x = np.asarray(x, float)

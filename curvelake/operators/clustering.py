@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from curvelake.columns import constant
 from curvelake.frames import Curves
+from curvelake.numerics import report_unfinished
 from curvelake.operators.classification import nearest_of
 from curvelake.operators.metrics import block_distances, lp_norm_column
+from curvelake.operators.stats import spread
+from curvelake.session import checkpoint
 
 
 def _means(curves: Curves, assigned: DataFrame, centres: np.ndarray) -> np.ndarray:
@@ -40,10 +43,11 @@ def starting_centres(curves: Curves, k: int, seed: int = 0) -> np.ndarray:
 
 
 def k_means(curves: Curves, k: int, init: np.ndarray | None = None, n_init: int = 1, max_iter: int = 100, tol: float = 1e-4, p: float = 2, seed: int = 0) -> tuple[DataFrame, np.ndarray, float]:
-    """(labels, centres, inertia): Lloyd's rounds, one aggregation each, until the centres move little."""
+    """(labels, centres, inertia): Lloyd's rounds, one aggregation each, until no centre moves more than ``tol`` of the curves' spread."""
     if k < 2 or n_init < 1 or max_iter < 1 or tol < 0:
         raise ValueError("wrong parameters of k-means")
-    spread = curves.long().groupBy("pos").agg(F.var_pop("v").alias("s")).agg(F.avg("s")).first()[0] or 0.0
+    curves = curves.with_df(checkpoint(curves.df.select("id", "data")))
+    least = tol * spread(curves)
     best = None
     for run in range(n_init if init is None else 1):
         centres = starting_centres(curves, k, seed + run) if init is None else np.asarray(init, float)
@@ -51,8 +55,10 @@ def k_means(curves: Curves, k: int, init: np.ndarray | None = None, n_init: int
             labels, new = lloyd_step(curves, centres, p)
             moved = np.max(np.sqrt(np.maximum((new - centres) ** 2 @ curves.weights(), 0)))
             centres = new
-            if moved <= tol * spread:
+            if moved <= least:
                 break
+        else:
+            report_unfinished("k-means", max_iter, moved, least)
         labels = assign(curves, centres, p)
         inertia = labels.agg(F.sum(F.col("distance") * F.col("distance"))).first()[0]
         if best is None or inertia < best[2]:
@@ -60,33 +66,36 @@ def k_means(curves: Curves, k: int, init: np.ndarray | None = None, n_init: int
     return best
 
 
-def memberships(curves: Curves, centres: np.ndarray, fuzzifier: float = 2.0, p: float = 2) -> DataFrame:
-    """``(id, membership array<double>)``: shares of d^(2 / (1 - m)); a curve on a centre belongs to it alone."""
+def memberships(curves: Curves, centres: np.ndarray, fuzzifier: float = 2.0, p: float = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, *carry, membership array<double>)``: shares of d^(2 / (1 - m)); a curve on a centre belongs to it alone."""
     if fuzzifier <= 1:
         raise ValueError("the fuzzifier exceeds 1")
     w = curves.weights()
     near = F.array(*[lp_norm_column(F.zip_with("data", constant(c), lambda x, y: x - y), w, p) for c in centres])
-    rows = curves.df.select("id", near.alias("d"))
+    rows = curves.df.select("id", *carry, near.alias("d"))
     on = F.exists("d", lambda x: x == 0)
     raw = F.when(on, F.transform("d", lambda x: (x == 0).cast("double"))).otherwise(F.transform("d", lambda x: F.pow(x, F.lit(2 / (1 - fuzzifier)))))
-    return rows.withColumn("r", raw).select("id", F.transform("r", lambda x: x / F.aggregate("r", F.lit(0.0), lambda a, y: a + y)).alias("membership"))
+    return rows.withColumn("r", raw).select("id", *carry, F.transform("r", lambda x: x / F.aggregate("r", F.lit(0.0), lambda a, y: a + y)).alias("membership"))
 
 
 def fuzzy_c_means(curves: Curves, k: int = 2, fuzzifier: float = 2.0, init: np.ndarray | None = None, max_iter: int = 100, tol: float = 1e-4, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
-    """(memberships, centres)"""
+    """(memberships, centres): rounds of one aggregation until no centre moves more than ``tol`` of the curves' spread."""
+    curves = curves.with_df(checkpoint(curves.df.select("id", "data")))
+    least = tol * spread(curves)
     centres = starting_centres(curves, k, seed) if init is None else np.asarray(init, float)
     for _ in range(max_iter):
-        m = memberships(curves, centres, fuzzifier)
-        cells = curves.df.join(m, "id").select(F.posexplode("data").alias("pos", "v"), "membership").select("pos", "v", F.posexplode("membership").alias("cluster", "u"))
+        cells = memberships(curves, centres, fuzzifier, carry=("data",)).select(F.posexplode("data").alias("pos", "v"), "membership").select("pos", "v", F.posexplode("membership").alias("cluster", "u"))
         weight = F.pow("u", F.lit(fuzzifier))
         rows = cells.groupBy("cluster", "pos").agg((F.sum(weight * F.col("v")) / F.sum(weight)).alias("m")).collect()
         new = centres.copy()
         for r in rows:
             new[r["cluster"], r["pos"]] = r["m"]
-        moved = np.abs(new - centres).max()
+        moved = np.max(np.sqrt(np.maximum((new - centres) ** 2 @ curves.weights(), 0)))
         centres = new
-        if moved <= tol:
+        if moved <= least:
             break
+    else:
+        report_unfinished("fuzzy c-means", max_iter, moved, least)
     return memberships(curves, centres, fuzzifier), centres
 
 

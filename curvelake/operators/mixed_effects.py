@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from curvelake.basis import Basis
 from curvelake.frames import BasisCurves, Irregular
+from curvelake.numerics import report_unfinished
 from curvelake.session import checkpoint
 
 
@@ -89,4 +90,6 @@ def fit_mixed_effects(curves: Irregular, basis: Basis, max_iter: int = 100, tol:
         model = new
         if moved < tol:
             break
+    else:
+        report_unfinished("the mixed-effects model", max_iter, moved, tol)
     return model

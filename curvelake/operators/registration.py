@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from curvelake.columns import constant, dot
 from curvelake.frames import Curves
-from curvelake.numerics import difference_matrix, linear_matrix, pchip
+from curvelake.numerics import difference_matrix, linear_matrix, pchip, report_unfinished
 from curvelake.operators.metrics import matrix_of
 from curvelake.operators.stats import moments
+from curvelake.session import checkpoint
 
 
 def landmark_deltas(curves: Curves, landmark: str, location: float | None = None) -> DataFrame:
@@ -75,7 +76,7 @@ def normalise_warping(warping: Curves, low: float = 0.0, high: float = 1.0) -> C
 def least_squares_shift(curves: Curves, max_iter: int = 5, tol: float = 1e-2, step: float = 1.0, template: np.ndarray | None = None) -> DataFrame:
     """``(id, delta)``: Newton steps of each curve's shift towards the template (by default the mean of the shifted curves).
 
-    Deltas stay in the frame; a round is one pass that shifts, compares and updates.
+    Deltas stay in the frame; a round is one pass that shifts, compares and updates. ``tol`` is in units of the argument.
     """
     x, w = curves.meta.points, curves.weights()
     slope = difference_matrix(x)
@@ -93,11 +94,13 @@ def least_squares_shift(curves: Curves, max_iter: int = 5, tol: float = 1e-2, st
                 move = step * ((at - goal) * deriv) @ w / np.maximum(deriv**2 @ w, 1e-300)
                 yield pd.DataFrame({"id": b["id"], "data": list(data), "delta": delta - move, "moved": np.abs(move)})
 
-        done = now.mapInPandas(update, kind).cache()
+        done = checkpoint(now.mapInPandas(update, kind))
         most = done.agg(F.max("moved")).first()[0] or 0.0
         now = done.select("id", "data", "delta")
         if most <= tol:
             break
+    else:
+        report_unfinished("shift registration", max_iter, most, tol)
     return now.select("id", "delta")
 
 
@@ -159,6 +162,8 @@ def karcher_mean(curves: Curves, penalty: float = 0.0, max_iter: int = 20, tol:
         mean = new
         if moved < tol:
             break
+    else:
+        report_unfinished("the elastic mean", max_iter, moved, tol)
     return mean
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from curvelake.columns import constant
 from curvelake.frames import Curves
+from curvelake.numerics import report_unfinished
 from curvelake.operators.metrics import distances_to
 
 
@@ -132,8 +133,18 @@ def cumulative_sum(curves: Curves) -> DataFrame:
     return out.select("id", "pos", (F.col("before") + F.sum("v").over(inside)).alias("value"))
 
 
+def spread(curves: Curves) -> float:
+    """Root of the integrated variance: the root mean squared L2 distance to the mean."""
+    rows = curves.long().groupBy("pos").agg(F.var_pop("v").alias("s")).where("s is not null").collect()
+    return float(np.sqrt(max(0.0, sum(curves.weights()[r["pos"]] * r["s"] for r in rows))))
+
+
 def geometric_median(curves: Curves, tolerance: float = 1e-8, max_iter: int = 100) -> np.ndarray:
-    """Weiszfeld iteration from the mean; each round is one aggregation of the weighted curves."""
+    """Weiszfeld iteration from the mean; each round is one aggregation of the weighted curves.
+
+    It ends when the median moves less than ``tolerance`` of the curves' spread.
+    """
+    least = tolerance * spread(curves)
     at = np.array([r["value"] for r in pointwise_mean(curves, skipna=True).orderBy("pos").collect()])
     for _ in range(max_iter):
         near = distances_to(curves, at, "d").where("d is not null")
@@ -142,6 +153,8 @@ def geometric_median(curves: Curves, tolerance: float = 1e-8, max_iter: int = 10
         new = np.array([r["m"] for r in rows])
         moved = np.sqrt(np.dot(curves.weights(), (new - at) ** 2))
         at = new
-        if moved < tolerance:
+        if moved <= least:
             break
+    else:
+        report_unfinished("the geometric median", max_iter, moved, least)
     return at

@@ -193,7 +193,7 @@ def cumulative_over_curves(spark, d):
 
 @query()
 def median_geometric(spark, d):
-    m = st.geometric_median(embeddings(spark, d), 1e-6, 30)
+    m = st.geometric_median(embeddings(spark, d))
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(m)], "pos int, value double")
 
 
@@ -403,12 +403,12 @@ def cluster_step(spark, d):
 
 @query()
 def cluster_means(spark, d):
-    return ct.k_means(embeddings(spark, d), 5, max_iter=10)[0]
+    return ct.k_means(embeddings(spark, d), 5)[0]
 
 
 @query()
 def cluster_fuzzy(spark, d):
-    return ct.fuzzy_c_means(supplier_months(spark, d), 3, max_iter=5)[0]
+    return ct.fuzzy_c_means(supplier_months(spark, d), 3)[0]
 
 
 @query()
@@ -438,7 +438,7 @@ def anova_statistic(spark, d):
 
 @query()
 def anova_test(spark, d):
-    statistic, p = nf.oneway_anova(embeddings(spark, d), "label", 200)
+    statistic, p = nf.oneway_anova(embeddings(spark, d), "label")
     return spark.createDataFrame([(statistic, p)], "statistic double, p_value double")
 
 
@@ -577,7 +577,7 @@ def landmark_deltas(spark, d):
 
 @query()
 def shift_least_squares(spark, d):
-    return rg.least_squares_shift(supplier_months(spark, d), 3)
+    return rg.least_squares_shift(supplier_months(spark, d), 100)
 
 
 @query()
@@ -812,7 +812,7 @@ def mixed_effects(spark, d):
     from curvelake.operators.mixed_effects import fit_mixed_effects
 
     i = user_stream(spark, d)
-    return fit_mixed_effects(i, FourierBasis((0.0, 31.0), 3), 10).transform(i).df
+    return fit_mixed_effects(i, FourierBasis((0.0, 31.0), 3)).transform(i).df
 
 
 @query()

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import warnings
 
 import numpy as np
 import pytest
@@ -10,7 +11,13 @@ import __spark_entry__ as entry
 from curvelake.core.spikes import implausible_cells
 from curvelake.frames import Curves
 from curvelake.meta import GridMeta
+from curvelake.numerics import Unfinished
+from curvelake.operators import clustering as ct
+from curvelake.operators import inference as nf
 from curvelake.operators import reduction as rd
+from curvelake.operators import registration as rg
+from curvelake.operators import stats as st
+from curvelake.sources.tables import embeddings, supplier_months
 
 
 def _history(spark, x):
@@ -94,3 +101,54 @@ def test_selection_maxima_is_of_all_embeddings(spark):
     top = [i for i in range(64) if d[i] == max(d[max(0, i - 1) : i + 2])]
     got = entry.queries()["selection_maxima"](spark, "/root/testdata/sf0.01").orderBy("rank").collect()
     assert [r["pos"] for r in got] == sorted(top, key=lambda i: -d[i])[:5]
+
+
+def _two_groups(spark, scale):
+    rng = np.random.default_rng(8)
+    x = scale * (rng.standard_normal((40, 6)) + 4 * (np.arange(40) % 2)[:, None] + np.linspace(0, 1, 6))
+    return x, Curves(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, data array<double>"), GridMeta.regular(6))
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1e7])
+def test_rounds_end_alike_at_every_scale(spark, scale):
+    (x, c), (_, plain) = _two_groups(spark, scale), _two_groups(spark, 1.0)
+    assert ct.fuzzy_c_means(c, 2)[1] / scale == pytest.approx(ct.fuzzy_c_means(plain, 2)[1], abs=1e-6)
+    _, centres, _ = ct.k_means(c, 2, init=x[[0, 2]])
+    assert centres / scale == pytest.approx(ct.lloyd_step(c, centres)[1] / scale, abs=1e-9)
+    if scale == 1e-9:
+        assert st.geometric_median(c) / scale == pytest.approx(st.geometric_median(plain), abs=1e-6)
+
+
+def test_unfinished_rounds_are_reported(spark):
+    _, c = _two_groups(spark, 1.0)
+    for run in (lambda: ct.fuzzy_c_means(c, 2, max_iter=1), lambda: ct.k_means(c, 2, max_iter=1), lambda: st.geometric_median(c, max_iter=1), lambda: rg.least_squares_shift(c, 1, 1e-9)):
+        with pytest.warns(Unfinished):
+            run()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the test data is not here")
+@pytest.mark.parametrize("name", ["cluster_fuzzy", "cluster_means", "mixed_effects", "median_geometric", "shift_least_squares", "anova_test"])
+def test_queries_finish_their_rounds(spark, name):
+    d = "/root/testdata/sf0.01"
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", Unfinished)
+        got = entry.queries()[name](spark, d).collect()
+    if name == "cluster_fuzzy":
+        s = supplier_months(spark, d)
+        rows = s.df.orderBy("id").collect()
+        x, w, c = np.stack([r["data"] for r in rows]), s.weights(), ct.starting_centres(s, 3)
+        for _ in range(200):
+            u = 1 / np.maximum(((x[:, None] - c[None]) ** 2) @ w, 1e-9)
+            u /= u.sum(1, keepdims=True)
+            c = (u**2).T @ x / (u**2).sum(0)[:, None]
+        member = {r["id"]: r["membership"] for r in got}
+        assert np.array([member[r["id"]] for r in rows]) == pytest.approx(u, abs=1e-3)
+    if name == "cluster_means":
+        e = embeddings(spark, d)
+        label = {r["id"]: r["cluster"] for r in got}
+        rows = [(np.array(r["data"], float), label[r["id"]]) for r in e.df.collect()]
+        x, at = np.stack([r[0] for r in rows]), np.array([r[1] for r in rows])
+        c = np.stack([x[at == k].mean(0) for k in range(5)])
+        assert (((x[:, None] - c[None]) ** 2 @ e.weights()).argmin(1) == at).all()
+    if name == "anova_test":
+        assert tuple(got[0]) == nf.oneway_anova(embeddings(spark, d), "label", 2000)
