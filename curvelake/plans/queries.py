@@ -582,8 +582,7 @@ def shift_least_squares(spark, d):
 
 @query()
 def register_elastic(spark, d):
-    s = supplier_months(spark, d)
-    return rg.elastic_registration(s, st.moments(s)[1]).df
+    return rg.elastic_registration(supplier_months(spark, d)).df
 
 
 @query()

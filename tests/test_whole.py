@@ -152,3 +152,18 @@ def test_queries_finish_their_rounds(spark, name):
         assert (((x[:, None] - c[None]) ** 2 @ e.weights()).argmin(1) == at).all()
     if name == "anova_test":
         assert tuple(got[0]) == nf.oneway_anova(embeddings(spark, d), "label", 2000)
+
+
+def test_elastic_mean_is_the_default_template(spark, monkeypatch):
+    t = np.linspace(0, 1, 40)
+    bump = lambda c: np.exp(-((t - c) ** 2) / 0.01)
+    frame = spark.createDataFrame([(k, bump(c).tolist()) for k, c in enumerate((0.4, 0.5, 0.6))], "id bigint, data array<double>")
+    curves = Curves(frame, GridMeta.of(t))
+    plain, mean = st.moments(curves)[1], rg.karcher_mean(curves)
+    assert mean.max() > 0.9 > plain.max() and abs(t[mean.argmax()] - 0.5) < 0.06
+    aligned = [np.array(r["data"]) for r in rg.elastic_registration(curves).df.collect()]
+    assert max(np.abs(a - mean).max() for a in aligned) < 0.25
+    asked = []
+    monkeypatch.setattr(rg, "karcher_mean", lambda c, *a, **k: asked.append(c) or st.moments(c)[1])
+    entry.queries()["register_elastic"](spark, "/root/testdata/sf0.001")
+    assert len(asked) == 1
