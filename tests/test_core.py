@@ -67,6 +67,36 @@ def test_lasting_level_changes_and_rest_at_limits_are_no_cases(spark):
     assert implausible_cells(spark.createDataFrame(rows, DAYS), sources).count() == 0
 
 
+@pytest.mark.parametrize("planted", [0, 40, 60, 61, 120, 500])
+def test_any_number_of_spikes_and_frozen_runs(spark, planted):
+    x = series(4, 128).ravel()
+    at = 2 + np.arange(planted) * (len(x) - 4) // max(planted, 1)
+    x[at] += 40
+    rows = [day(k + 1, 1, k, r.tolist()) for k, r in enumerate(x.reshape(-1, 24))]
+    y = series(5, 128).reshape(-1)
+    runs = np.arange(min(planted, 120)) * (len(y) // 120) + 5
+    for a in runs:
+        y[a : a + 12] = y[a]
+    rows += [day(1000 + k, 2, k, r.tolist()) for k, r in enumerate(y.reshape(-1, 24))]
+    sources = spark.createDataFrame([(1, "temperature", 7), (2, "temperature", 7)], SOURCES)
+    table = spark.createDataFrame(rows, DAYS)
+    got = [{(r["id"], r["pos"]) for r in implausible_cells(table, sources, ChartSettings(block_days=n)).collect()} for n in (16, 64, 1000)]
+    want = {(1 + i // 24, i % 24) for i in at.tolist()}
+    assert got[0] == got[1] == got[2]
+    assert {c for c in got[0] if c[0] < 1000} == want
+    held = {(1000 + i // 24, i % 24) for a in runs.tolist() for i in range(a, a + 12)}
+    beyond = {c for c in got[0] if c[0] >= 1000} - held
+    assert held <= got[0] and all(24 * (d - 1000) + p - 1 in (runs + 11) or 24 * (d - 1000) + p + 1 in runs for d, p in beyond)  # a neighbour may happen to be equal
+
+
+def test_a_segment_of_many_deliveries_is_spread(station, spark):
+    curves, sources = station
+    many = curves.unionByName(spark.range(60).selectExpr("1000 + id as id").crossJoin(curves.where("id = 101").drop("id")).select(curves.columns))
+    want = {(r["id"], r["pos"]) for r in implausible_cells(many, sources).collect()}
+    got = [(r["id"], r["pos"]) for r in implausible_cells(many, sources, ChartSettings(most_deliveries=7)).collect()]
+    assert set(got) == want == EXPECTED and len(got) == len(want)
+
+
 def test_empty_tables_give_empty_results(spark):
     none, sources = spark.createDataFrame([], DAYS), spark.createDataFrame([], SOURCES)
     assert implausible_cells(none, sources).count() == 0
