@@ -113,7 +113,11 @@ def _edges(*keys: np.ndarray) -> np.ndarray:
 
 def _medians(values: np.ndarray, group: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The upper median of each group's values; groups lie together and none is empty."""
-    return values[np.lexsort((values, group))][starts + sizes // 2]
+    order = np.argsort(values)
+    local = group[order] - group[0]
+    if len(local) and group[-1] - group[0] < 65_536:
+        local = local.astype(np.uint16)  # sorted by digits
+    return values[order[np.argsort(local, kind="stable")][starts + sizes // 2]]
 
 
 def _chart(y: np.ndarray, group: np.ndarray, s: ChartSettings) -> tuple[np.ndarray, ...]:
@@ -182,7 +186,16 @@ def _departures(x: np.ndarray, hour: np.ndarray, part: np.ndarray, reach: int) -
     n = len(x)
     near = np.zeros(n + 1, bool)  # near[i]: i - 1 and i are neighbours
     near[1:n] = (part[1:] == part[:-1]) & (hour[1:] - hour[:-1] <= reach)
-    at = lambda a, k: a[np.clip(np.arange(n) + k, 0, n - 1)]
+
+    def at(a: np.ndarray, k: int) -> np.ndarray:
+        """The readings k places on; what lies beyond either end is not used."""
+        out = np.zeros_like(a)
+        if k > 0:
+            out[:-k] = a[k:]
+        else:
+            out[-k:] = a[:k]
+        return out
+
     left, right = near[:n], near[1:]
     two_on = right & np.r_[near[2:], False][:n] & (at(hour, 2) - hour <= reach)
     two_back = left & np.r_[False, near[: n - 1]] & (hour - at(hour, -2) <= reach)
