@@ -6,9 +6,10 @@ from curvelake.llm import visual
 
 SAME = [
     ("café", "café"), ("ＡＢＣ１２！", "ABC12!"), ("a b", "a b"), ("　", " "), ("pаypal", "paypal"), ("Ηello", "Hello"), ("ﬁne ﬂow", "fine flow"),
-    ("in­visible", "invisible"), ("zero​width﻿", "zerowidth"), ("한글", "한글"), ("ﾊﾟﾝ", "パン"), ("q̣̇", "q̣̇"), ("ẹ́", "ẹ́"), ("​", ""), ("K", "K"), ("①‍", "①"), ("e​́", "é"), ("한가", "한가"), ("µ", "μ"),
+    ("in­visible", "invisible"), ("zero​width﻿", "zerowidth"), ("한글", "한글"), ("ﾊﾟﾝ", "パン"), ("q̣̇", "q̣̇"), ("ẹ́", "ẹ́"), ("​", ""), ("K", "K"), ("①‍", "①"), ("e​́", "é"), ("한가", "한가"), ("µ", "μ"), ("ẹ́ \U000f0003", "ẹ́ \U000f0003"), ("аbc\U000f0e00", "abc\U000f0e00"), ("\U000f0001é", "\U000f0001é"),
+    ("ꓐⲞᎠ αρυ", "BOD apu"), ("ёлка", "ёлкa"), ("а\u0323\u0301", "ạ́"),
 ]
-OTHER = [("café", "cafe"), ("café", "cafè"), ("Abc", "abc"), ("x²", "x2"), ("①", "1"), ("👍", "👎"), ("👨‍👩‍👧", "👨👩👧"), ("a b", "a  b"), ("З", "3"), ("a,b", "a.b"), ("́a", "á"), ("oe", "œ"), ("ß", "ss")]
+OTHER = [("café", "cafe"), ("café", "cafè"), ("Abc", "abc"), ("x²", "x2"), ("①", "1"), ("👍", "👎"), ("👨‍👩‍👧", "👨👩👧"), ("a b", "a  b"), ("З", "3"), ("a,b", "a.b"), ("́a", "á"), ("oe", "œ"), ("ß", "ss"), ("\U000f0003", "\U000f0004"), ("=a", "a"), ("\U000f0003=", "\U000f0003")]
 
 
 @pytest.fixture(scope="module")
