@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from curvelake.session import checkpoint
+
 # Letters of other scripts that look like a Latin letter, written as pairs.
 LOOK_ALIKES = (
     # Cyrillic
@@ -228,7 +230,7 @@ def look_same_pairs(df: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     docs = df.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text")).where("doc is not null and text is not null")
     docs = docs.select("doc", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"))
-    forms = distinct_forms(df, text_column).select("k1", "k2", F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(1)).alias("f2"))
+    forms = checkpoint(distinct_forms(df, text_column).select("k1", "k2", F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(1)).alias("f2")))
     shared = forms.groupBy("f1", "f2").count().where("count > 1").select("f1", "f2")
     several = forms.join(shared, ["f1", "f2"])
     one = several.select("f1", "f2", F.col("k1").alias("a1"), F.col("k2").alias("a2"))
