@@ -5,16 +5,21 @@ at both ends, larger in the middle (unit steps of delta / 2 pi * asin(2 q - 1)).
 files, dates - are merged by sorting their centroids together and clustering them again, in rounds of
 bounded fan-in. Estimates are then certified by a second pass that counts, for every group, the values
 below and up to each estimate: the reported rank error is exact.
+
+Curves stay whole on their way: a task takes the cells of a batch apart by coordinate, station and grid
+point in memory, so a cell is sent once, not once a group, and a group of any size is the work of all
+tasks. What leaves a task is a digest, or 14 counts, a group.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 from curvelake.session import checkpoint
 
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
+CURVE_KEYS = ["dataset", "grouping", "key"]
 
 
 @dataclass(frozen=True)
@@ -32,20 +38,25 @@ class DigestSettings:
     task_buffer: int = 2_000_000
     #: digests that are merged at once
     fan_in: int = 64
-
-
-def cluster(values: np.ndarray, weights: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids (means ascending, weights) of weighted values under the size function."""
-    if not len(values):
-        return values, weights
-    order = np.argsort(values, kind="stable")
-    values, weights = values[order], weights[order]
+    #: groups whose estimates are sent to all tasks for the counting pass; more are joined to the values
+    most_broadcast: int = 100_000
+
+
+def cluster(values: np.ndarray, weights: np.ndarray | None, delta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids (means ascending, weights) of weighted values under the size function; without weights each is 1."""
+    n = len(values)
+    if not n:
+        return values, np.zeros(0)
+    if weights is None:
+        values, weights = np.sort(values), np.ones(n)
+    else:
+        order = np.argsort(values, kind="stable")
+        values, weights = values[order], weights[order]
     upto = np.cumsum(weights)
-    left = (upto - weights) / upto[-1]
-    step = np.floor(delta / (2 * np.pi) * (np.arcsin(2 * left - 1) + np.pi / 2) + 1e-9)
-    # the extremes stay by themselves, so that the digest keeps minimum and maximum
-    step[0], step[-1] = -1, np.inf
-    edge = np.flatnonzero(np.r_[True, step[1:] != step[:-1]])
+    steps = np.arange(1, int(delta / 2) + 1) * (2 * np.pi / delta)
+    # a step of the size function begins at these quantiles; the extremes stay by themselves
+    begin = np.searchsorted(upto - weights, (1 - np.cos(steps)) / 2 * upto[-1] * (1 - 1e-12))
+    edge = np.unique(np.r_[0, min(1, n - 1), begin[begin < n], n - 1])
     total = np.add.reduceat(weights, edge)
     return np.add.reduceat(values * weights, edge) / total, total
 
@@ -56,55 +67,192 @@ def quantile(means: np.ndarray, weights: np.ndarray, q: float) -> float:
     return float(np.interp(q * (weights.sum() - 1), middle, means))
 
 
+class _Digester:
+    """The digests of one task, by key; values wait in bounded buffers."""
+
+    def __init__(self, keys: list[str], s: DigestSettings):
+        self.keys, self.s, self.part = keys, s, TaskContext.get().partitionId()
+        self.waiting, self.size, self.held, self.centroids = defaultdict(list), defaultdict(int), 0, {}
+
+    def add(self, key: tuple, values: np.ndarray) -> None:
+        self.waiting[key].append(values)
+        self.size[key] += len(values)
+        self.held += len(values)
+        if self.size[key] > self.s.group_buffer:
+            self._squeeze(key)
+
+    def add_weighted(self, key: tuple, values: np.ndarray, weights: np.ndarray) -> None:
+        if key in self.centroids:
+            values, weights = np.r_[self.centroids[key][0], values], np.r_[self.centroids[key][1], weights]
+        self.centroids[key] = cluster(values, weights, self.s.delta)
+
+    def _squeeze(self, key: tuple) -> None:
+        v = np.concatenate(self.waiting.pop(key))
+        self.held -= self.size.pop(key)
+        made = cluster(v, None, self.s.delta)
+        if key in self.centroids:
+            self.add_weighted(key, *made)
+        else:
+            self.centroids[key] = made
+
+    def full(self) -> bool:
+        return self.held > self.s.task_buffer or (len(self.centroids) + len(self.waiting)) * self.s.delta > self.s.task_buffer
+
+    def emit(self) -> Iterator[pa.RecordBatch]:
+        for key in list(self.waiting):
+            self._squeeze(key)
+        if self.centroids:
+            names, made = list(zip(*self.centroids)), list(self.centroids.values())
+            doubles = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(n, pa.string()) for n in names], pa.array([self.part] * len(made), pa.int32()), pa.array([m for m, _ in made], doubles), pa.array([w for _, w in made], doubles)],
+                names=[*self.keys, "part", "means", "weights"],
+            )
+            self.centroids.clear()
+
+
+class _Counter:
+    """Values below and up to each estimate, by key, of one task."""
+
+    def __init__(self, keys: list[str], estimates: dict, percentiles: int):
+        self.keys, self.sorted, self.counts = keys, {}, {}
+        for key, e in estimates.items():
+            order = np.argsort(e, kind="stable")
+            self.sorted[key] = (np.asarray(e, float)[order], order)
+        self.k = percentiles
+
+    def add(self, key: tuple, values: np.ndarray) -> None:
+        self.add_weighted(key, values, None)
+
+    def add_weighted(self, key: tuple, values: np.ndarray, weights: np.ndarray | None) -> None:
+        if key not in self.sorted:
+            return
+        e, order = self.sorted[key]
+        below = np.cumsum(np.bincount(np.searchsorted(e, values, "right"), weights, self.k + 1))[: self.k]
+        upto = np.cumsum(np.bincount(np.searchsorted(e, values, "left"), weights, self.k + 1))[: self.k]
+        got = self.counts.setdefault(key, np.zeros((2, self.k), np.int64))
+        got[0, order] += np.rint(below).astype(np.int64)
+        got[1, order] += np.rint(upto).astype(np.int64)
+
+    def full(self) -> bool:
+        return False
+
+    def emit(self) -> Iterator[pa.RecordBatch]:
+        if self.counts:
+            longs = pa.list_(pa.int64())
+            names, made = list(zip(*self.counts)), list(self.counts.values())
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(n, pa.string()) for n in names], pa.array([c[0] for c in made], longs), pa.array([c[1] for c in made], longs)], names=[*self.keys, "below", "upto"]
+            )
+            self.counts.clear()
+
+
+def _split(codes: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The values of every code (0 and up; others are left out)."""
+    kept = codes >= 0
+    if not kept.all():
+        codes, values = codes[kept], values[kept]
+    if not len(codes):
+        return
+    small = codes.astype(np.uint16) if codes.max() < 65_536 else codes  # sorted by digits
+    order = np.argsort(small, kind="stable")
+    codes, values = codes[order], values[order]
+    edge = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    for a, b in zip(edge, [*edge[1:], len(codes)]):
+        yield int(codes[a]), values[a:b]
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:
+    """Codes and names of a string column; null is a name of its own."""
+    d = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
+
+
+def _of_values(t: pa.Table, keys: list[str], into: _Digester | _Counter) -> None:
+    """Hand the values of a table of keys and values to a collector."""
+    v = t.column("value").combine_chunks().to_numpy(zero_copy_only=False).astype(float)
+    code, names = np.zeros(len(v), np.int64), [()]
+    for k in keys:
+        own, said = _codes(t.column(k))
+        both, code = np.unique(code * len(said) + own, return_inverse=True)
+        names = [(*names[x // len(said)], said[x % len(said)]) for x in both.tolist()]
+    for c, mine in _split(np.where(np.isfinite(v), code, -1), v):
+        into.add(names[c], mine)
+
+
+def _of_curves(t: pa.Table, meta: dict, by_part: bool, into: _Digester | _Counter) -> None:
+    """Hand the cells of a table of curves to a collector, once for each of their groups."""
+    of_dataset, datasets = _codes(t.column("dataset"))
+    for n, dataset in enumerate(datasets):
+        own = t.filter(pa.array(of_dataset == n))
+        name, points, labels = meta.get(dataset, (None, np.zeros(0), []))
+        lists = own.column("cells").combine_chunks()
+        length = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+        v = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+        row = np.repeat(np.arange(len(length)), length)
+        pos = np.arange(len(v)) - np.repeat(np.cumsum(length) - length, length)
+        good = np.isfinite(v)
+        v, row, pos = v[good], row[good], pos[good]
+        on = np.r_[np.isfinite(points), False]  # beyond the grid, and at a missing point, there is none
+        pos = np.minimum(pos, len(points))
+        pos = np.where(on[pos], pos, -1)
+        part, parts = _codes(own.column("part")) if by_part else (np.zeros(len(length), np.int64), [None])
+        tail = lambda p: (parts[p],) if by_part else ()
+
+        def group(grouping: str, code: np.ndarray, said: list) -> None:
+            code = np.where(code >= 0, code * len(parts) + part[row], -1)  # noqa: B023
+            for c, mine in _split(code, v):  # noqa: B023
+                into.add((dataset, grouping, said[c // len(parts)], *tail(c % len(parts))), mine)  # noqa: B023
+
+        code, said = _codes(own.column("coordinate"))
+        group("coordinate", code[row], said)
+        code, said = _codes(own.column("station"))
+        group("station", np.where(np.array([x is not None for x in said], bool)[code], code, -1)[row], said)
+        group("grid_point", pos, labels)
+        if len(points):
+            there = pos >= 0
+            many = np.bincount(pos[there] * len(parts) + part[row[there]], minlength=len(points) * len(parts)).reshape(len(points), len(parts))
+            for p in range(len(parts)):
+                seen = np.flatnonzero(many[:, p])
+                if len(seen):
+                    into.add_weighted((dataset, "occupied", "all", *tail(p)), points[seen], many[seen, p].astype(float))
+
+
+def _collect(hand: Callable, make: Callable, rows: int = 32_768) -> Callable:
+    """A task's work: tables of some tens of thousands of rows are handed to a collector, which says what it has at the end."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into, held, n = make(), [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                hand(pa.Table.from_batches(held), into)
+                held, n = [], 0
+                if into.full():
+                    yield from into.emit()
+        if n:
+            hand(pa.Table.from_batches(held), into)
+        yield from into.emit()
+
+    return work
+
+
+def _digest_kind(keys: list[str]) -> str:
+    return ", ".join(f"{k} string" for k in keys) + ", part int, means array<double>, weights array<double>"
+
+
+def _strings(values: DataFrame, keys: list[str], value_column: str) -> DataFrame:
+    return values.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(value_column).cast("double").alias("value"))
+
+
 def build_digests(values: DataFrame, keys: list[str], value_column: str = "value", settings: DigestSettings | None = None) -> DataFrame:
     """``(*keys, part, means, weights)``: for each group the digests of its parts; the keys are strings.
 
     Null, NaN and infinite values are ignored; a group of such values alone has no digest.
     """
     s = settings or DigestSettings()
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting, held, centroids, part = defaultdict(list), 0, {}, TaskContext.get().partitionId()
-
-        def squeeze(key: tuple) -> None:
-            got = waiting.pop(key)
-            v = np.concatenate(got)
-            w = np.ones(len(v))
-            if key in centroids:
-                v, w = np.r_[centroids[key][0], v], np.r_[centroids[key][1], w]
-            centroids[key] = cluster(v, w, s.delta)
-
-        def emit() -> Iterator[pd.DataFrame]:
-            for key in list(waiting):
-                squeeze(key)
-            if not centroids:
-                return
-            names = zip(*centroids)
-            out = pd.DataFrame({**{k: list(n) for k, n in zip(keys, names)}, "part": part, "means": [c[0] for c in centroids.values()], "weights": [c[1] for c in centroids.values()]})
-            centroids.clear()
-            yield out
-
-        for b in batches:
-            v = b["value"].to_numpy(float)
-            b, v = b[np.isfinite(v)], v[np.isfinite(v)]
-            codes = b.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-            order = np.argsort(codes, kind="stable")
-            edge = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0]) if len(order) else []
-            for lo, hi in zip(edge, [*edge[1:], len(order)]):
-                row = b.iloc[order[lo]]
-                key = tuple(None if pd.isna(row[k]) else row[k] for k in keys)
-                waiting[key].append(v[order[lo:hi]])
-                if sum(map(len, waiting[key])) > s.group_buffer:
-                    squeeze(key)
-            held += len(v)
-            if held > s.task_buffer or len(centroids) * s.delta > s.task_buffer:
-                held = 0
-                yield from emit()
-        yield from emit()
-
-    kind = ", ".join(f"{k} string" for k in keys)
-    rows = values.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(value_column).cast("double").alias("value"))
-    return rows.mapInPandas(build, f"{kind}, part int, means array<double>, weights array<double>")
+    return _strings(values, keys, value_column).mapInArrow(_collect(lambda t, into: _of_values(t, keys, into), lambda: _Digester(keys, s)), _digest_kind(keys))
 
 
 def merge_digests(digests: DataFrame, keys: list[str], settings: DigestSettings | None = None) -> DataFrame:
@@ -146,7 +294,37 @@ def estimates(merged: DataFrame, keys: list[str], percentiles: tuple = PERCENTIL
     return merged.mapInPandas(solve, f"{kind}, n bigint, estimates array<double>")
 
 
-def certified(values: DataFrame, found: DataFrame, keys: list[str], value_column: str = "value", percentiles: tuple = PERCENTILES) -> DataFrame:
+def _known(found: DataFrame, keys: list[str], s: DigestSettings) -> dict | None:
+    """The estimates by key, or None if there are too many groups to send them to all tasks."""
+    if found.limit(s.most_broadcast + 1).count() > s.most_broadcast:
+        return None
+    return {tuple(r[k] for k in keys): r["estimates"] for r in found.select(*keys, "estimates").collect()}
+
+
+def _certificates(counted: DataFrame, keys: list[str], percentiles: tuple) -> DataFrame:
+    """``counted (*keys, n, estimates, below, upto)`` as a row a percentile."""
+    at = lambda c, i: F.get(c, F.lit(i))
+    each = F.array(*[F.struct(F.lit(float(q)).alias("percentile"), at("estimates", i).alias("value"), at("below", i).alias("rank_below"), at("upto", i).alias("rank_upto")) for i, q in enumerate(percentiles)])
+    wanted = F.col("percentile") * (F.col("n") - 1)
+    # an estimate between two values has no rank of its own: it stands between rank_below - 1 and rank_below
+    low = F.when(F.col("rank_below") < F.col("rank_upto"), F.col("rank_below")).otherwise(F.col("rank_below") - 1)
+    high = F.when(F.col("rank_below") < F.col("rank_upto"), F.col("rank_upto") - 1).otherwise(F.col("rank_below"))
+    error: Column = F.greatest(F.lit(0.0), low - wanted, wanted - high) / F.col("n")
+    return counted.select(*keys, "n", F.explode(each).alias("e")).select(*keys, "e.percentile", "n", "e.value", "e.rank_below", "e.rank_upto").withColumn("rank_error", error)
+
+
+def _summed(parts: DataFrame, found: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """``(*keys, n, estimates, below, upto)`` from the counts of tasks."""
+    flat = parts.select(*keys, *[F.get(c, F.lit(i)).alias(f"{c}{i}") for c in ("below", "upto") for i in range(k)])
+    sums = flat.groupBy(*keys).agg(*[F.sum(f"{c}{i}").alias(f"{c}{i}") for c in ("below", "upto") for i in range(k)])
+    sums = sums.select(*[F.col(x).alias(f"_{x}") for x in keys], *[F.array(*[f"{c}{i}" for i in range(k)]).alias(c) for c in ("below", "upto")])
+    on = F.lit(True)
+    for x in keys:
+        on = on & F.col(x).eqNullSafe(F.col(f"_{x}"))
+    return found.join(sums, on).select(*keys, "n", "estimates", "below", "upto")  # a row a group on either side
+
+
+def certified(values: DataFrame, found: DataFrame, keys: list[str], value_column: str = "value", percentiles: tuple = PERCENTILES, settings: DigestSettings | None = None) -> DataFrame:
     """``(*keys, percentile, n, value, rank_below, rank_upto, rank_error)``: the counting pass.
 
     ``rank_below`` and ``rank_upto`` count the group's values less than, and not above, the estimate. The wanted
@@ -154,40 +332,81 @@ def certified(values: DataFrame, found: DataFrame, keys: list[str], value_column
     ``rank_below .. rank_upto - 1`` that the estimate takes (0 if inside; an estimate between two values takes
     the place between them).
     """
-    value = F.col(value_column).cast("double")
-    rows = values.select(*[F.col(k).cast("string").alias(k) for k in keys], value.alias("value")).where("value is not null and not isnan(value) and abs(value) < double('infinity')")
-    named = found.select(*[F.col(k).alias(f"_{k}") for k in keys], "n", "estimates")
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
+    s, k = settings or DigestSettings(), len(percentiles)
+    found = checkpoint(found)
+    rows = _strings(values, keys, value_column)
+    known = _known(found, keys, s)
+    if known is not None:
+        work = _collect(lambda t, into: _of_values(t, keys, into), lambda: _Counter(keys, known, k))
+        parts = rows.mapInArrow(work, ", ".join(f"{x} string" for x in keys) + ", below array<bigint>, upto array<bigint>")
+        return _certificates(_summed(parts, found, keys, k), keys, percentiles)
+    named = found.select(*[F.col(x).alias(f"_{x}") for x in keys], "n", "estimates")
+    on = F.lit(True)
+    for x in keys:
+        on = on & F.col(x).eqNullSafe(F.col(f"_{x}"))
     at = lambda i: F.get("estimates", F.lit(i))
-    sums = [f(i) for i in range(len(percentiles)) for f in (lambda i: F.count_if(F.col("value") < at(i)).alias(f"b{i}"), lambda i: F.count_if(F.col("value") <= at(i)).alias(f"u{i}"))]
-    counted = rows.join(named, on).groupBy(*keys, "n", "estimates").agg(*sums)
-    each = F.array(*[F.struct(F.lit(float(q)).alias("percentile"), at(i).alias("value"), F.col(f"b{i}").alias("rank_below"), F.col(f"u{i}").alias("rank_upto")) for i, q in enumerate(percentiles)])
-    wanted = F.col("percentile") * (F.col("n") - 1)
-    # an estimate between two values has no rank of its own: it stands between rank_below - 1 and rank_below
-    low = F.when(F.col("rank_below") < F.col("rank_upto"), F.col("rank_below")).otherwise(F.col("rank_below") - 1)
-    high = F.when(F.col("rank_below") < F.col("rank_upto"), F.col("rank_upto") - 1).otherwise(F.col("rank_below"))
-    error: Column = F.greatest(F.lit(0.0), low - wanted, wanted - high) / F.col("n")
-    return counted.select(*keys, "n", F.explode(each).alias("e")).select(*keys, "e.percentile", "n", "e.value", "e.rank_below", "e.rank_upto").withColumn("rank_error", error)
+    sums = [F.array(*[F.count_if(c(i)) for i in range(k)]).alias(n) for n, c in (("below", lambda i: F.col("value") < at(i)), ("upto", lambda i: F.col("value") <= at(i)))]
+    rows = rows.where("value is not null and not isnan(value) and abs(value) < double('infinity')")
+    return _certificates(rows.join(named, on).groupBy(*keys, "n", "estimates").agg(*sums), keys, percentiles)
+
+
+def grid_points(grid_meta: DataFrame) -> dict:
+    """Name of the coordinate, grid points and their labels by dataset; a row a dataset, so it is fetched."""
+    points = grid_meta.where("dataset is not null").groupBy("dataset").agg(F.min(F.struct("coordinate_names", "grid_points")).alias("m"))
+    points = points.select("dataset", F.get("m.coordinate_names", F.lit(0)).alias("name"), F.coalesce("m.grid_points", F.array().cast("array<double>")).alias("points"))
+    return {
+        r["dataset"]: (r["name"], np.array([np.nan if x is None else x for x in r["points"]], float), r["labels"])
+        for r in points.select("*", F.transform("points", lambda x: x.cast("string")).alias("labels")).collect()
+    }
 
 
-def curve_cells(station_days: DataFrame, spectra: DataFrame, sources: DataFrame, grid_meta: DataFrame) -> DataFrame:
-    """``(dataset, grouping, key, part, value)``: every non-missing cell once for each of its groups.
+def curves_of(station_days: DataFrame, spectra: DataFrame, sources: DataFrame, meta: dict) -> DataFrame:
+    """``(dataset, coordinate, station, part, cells)``: the curves of both tables with what they are grouped by.
 
-    Groupings: ``coordinate``, ``station``, ``grid_point`` and ``occupied``, whose values are the grid points of
-    the non-missing cells. ``part`` is the ``obs_date`` (of spectra the date of ``measured_at``). Cells without a
-    grid point in ``grid_meta`` are in no ``grid_point`` group and do not occupy any.
+    ``part`` is the ``obs_date`` (of spectra the date of ``measured_at``).
     """
-    meta = grid_meta.dropDuplicates(["dataset"]).select("dataset", F.get("coordinate_names", F.lit(0)).alias("name"), "grid_points")
     kinds = sources.groupBy("source_id").agg(F.max("coordinate").alias("coordinate"))
-    days = station_days.select(F.lit("station_days").alias("dataset"), "source_id", F.col("station_id").cast("string").alias("station"), F.col("obs_date").cast("string").alias("part"), "data_matrix").join(kinds, "source_id", "left")
-    other = spectra.select(F.lit("spectra").alias("dataset"), F.lit(None).cast("string").alias("station"), F.to_date("measured_at").cast("string").alias("part"), "data_matrix")
-    curves = days.select("dataset", "coordinate", "station", "part", "data_matrix").unionByName(other.withColumn("coordinate", F.lit(None).cast("string")))
-    curves = curves.join(F.broadcast(meta), "dataset", "left").withColumn("coordinate", F.when(F.col("dataset") == "spectra", F.col("name")).otherwise(F.col("coordinate")))
-    cells = curves.select("dataset", "coordinate", "station", "part", "grid_points", F.posexplode("data_matrix").alias("pos", "value")).where("value is not null and not isnan(value) and abs(value) < double('infinity')")
-    point = F.get("grid_points", F.col("pos"))
+    days = station_days.select("source_id", F.col("station_id").cast("string").alias("station"), F.col("obs_date").cast("string").alias("part"), F.col("data_matrix").cast("array<double>").alias("cells")).join(kinds, "source_id", "left")
+    days = days.select(F.lit("station_days").alias("dataset"), "coordinate", "station", "part", "cells")
+    name = meta.get("spectra", (None,))[0]
+    other = spectra.select(
+        F.lit("spectra").alias("dataset"), F.lit(name).cast("string").alias("coordinate"), F.lit(None).cast("string").alias("station"),
+        F.to_date("measured_at").cast("string").alias("part"), F.col("data_matrix").cast("array<double>").alias("cells"),
+    )
+    return days.unionByName(other)
+
+
+def curve_digests(curves: DataFrame, meta: dict, by_part: bool = False, settings: DigestSettings | None = None) -> DataFrame:
+    """``(dataset, grouping, key[, date], part, means, weights)``: digests of the cells of ``curves_of``.
+
+    Every non-missing cell counts once for each of its groups. Groupings: ``coordinate``, ``station``,
+    ``grid_point`` and ``occupied``, whose values are the grid points of the non-missing cells. Cells without a
+    grid point in the meta are in no ``grid_point`` group and do not occupy any; curves without a station are in
+    no ``station`` group. With ``by_part``, ``date`` parts the digests, for keeping and combining them later.
+    """
+    s, keys = settings or DigestSettings(), CURVE_KEYS + ["date"] * by_part
+    work = _collect(lambda t, into: _of_curves(t, meta, by_part, into), lambda: _Digester(keys, s))
+    return curves.mapInArrow(work, _digest_kind(keys))
+
+
+def certified_curves(curves: DataFrame, meta: dict, found: DataFrame, percentiles: tuple = PERCENTILES, settings: DigestSettings | None = None) -> DataFrame:
+    """The counting pass over ``curves_of``, with the result of ``certified``."""
+    s, k = settings or DigestSettings(), len(percentiles)
+    found = checkpoint(found)
+    known = _known(found, CURVE_KEYS, s)
+    if known is None:
+        return certified(curve_cells(curves, meta), found, CURVE_KEYS, percentiles=percentiles, settings=s)
+    work = _collect(lambda t, into: _of_curves(t, meta, False, into), lambda: _Counter(CURVE_KEYS, known, k))
+    parts = curves.mapInArrow(work, ", ".join(f"{x} string" for x in CURVE_KEYS) + ", below array<bigint>, upto array<bigint>")
+    return _certificates(_summed(parts, found, CURVE_KEYS, k), CURVE_KEYS, percentiles)
+
+
+def curve_cells(curves: DataFrame, meta: dict) -> DataFrame:
+    """``(dataset, grouping, key, part, value)``: every non-missing cell of ``curves_of`` once for each of its groups."""
+    of = F.create_map(*[x for d, (_, points, _) in meta.items() for x in (F.lit(d), F.array(*[F.lit(float(p)) for p in points]).cast("array<double>"))]) if meta else F.create_map().cast("map<string,array<double>>")
+    cells = curves.select("dataset", "coordinate", "station", "part", F.try_element_at(of, F.col("dataset")).alias("grid_points"), F.posexplode("cells").alias("pos", "value"))
+    cells = cells.where("value is not null and not isnan(value) and abs(value) < double('infinity')")
+    point = F.when(F.isnan(F.get("grid_points", F.col("pos"))), None).otherwise(F.get("grid_points", F.col("pos")))
     group = lambda name, key, value: F.struct(F.lit(name).alias("grouping"), key.cast("string").alias("key"), value.alias("value"))
     groups = F.array(
         group("coordinate", F.col("coordinate"), F.col("value")), group("station", F.col("station"), F.col("value")),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelake.llm.density_peaks import density_clusters, describe_clusters
-from curvelake.llm.digests import build_digests, certified, curve_cells, estimates, merge_digests
+from curvelake.llm.digests import CURVE_KEYS, certified_curves, curve_digests, curves_of, estimates, grid_points, merge_digests
 from curvelake.llm.knn import k_nearest
 from curvelake.llm.mixing import mix, text_quality
 from curvelake.llm.packing import pack, pack_summary
@@ -15,11 +15,21 @@ from curvelake.llm.visual import distinct_forms, look_same_pairs
 from curvelake.session import checkpoint, table
 
 
+def _percentiles(spark: SparkSession, d: str, by_part: bool) -> DataFrame:
+    meta = grid_points(table(spark, d, "grid_meta"))
+    curves = curves_of(*[table(spark, d, t) for t in ("station_days", "spectra", "sources")], meta)
+    digests = curve_digests(curves, meta, by_part)
+    if by_part:  # a digest a group and date, kept; those of the whole are made of them
+        digests = merge_digests(digests, [*CURVE_KEYS, "date"]).drop("date")
+    return certified_curves(curves, meta, estimates(merge_digests(digests, CURVE_KEYS), CURVE_KEYS))
+
+
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    cells = curve_cells(*[table(spark, d, t) for t in ("station_days", "spectra", "sources", "grid_meta")])
-    keys = ["dataset", "grouping", "key"]
-    merged = merge_digests(build_digests(cells, keys), keys)
-    return certified(cells, estimates(merged, keys), keys)
+    return _percentiles(spark, d, False)
+
+
+def p2_dates(spark: SparkSession, d: str) -> DataFrame:
+    return _percentiles(spark, d, True)
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +80,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_percentiles": p2_percentiles, "p6_packs": p6_packs, "p6_summary": p6_summary, "p7_mix": p7_mix, "p7_shares": p7_shares,
+    "p2_percentiles": p2_percentiles, "p2_dates": p2_dates, "p6_packs": p6_packs, "p6_summary": p6_summary, "p7_mix": p7_mix, "p7_shares": p7_shares,
     "p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p8_found": p8_found, "p8_forms": p8_forms}
 ORACLE = {
     "p5_found": """

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curvelake.llm.digests import DigestSettings, build_digests, certified, cluster, curve_cells, estimates, merge_digests, quantile
+from curvelake.llm.digests import DigestSettings, build_digests, certified, cluster, certified_curves, curve_cells, curve_digests, curves_of, estimates, grid_points, merge_digests, quantile
 
 KEYS = ["grouping"]
 
@@ -57,6 +57,27 @@ def test_cells_of_both_tables(spark):
     spectra = spark.createDataFrame([(1, [5.0, 6.0, 7.0, 8.0])], "id bigint, data_matrix array<double>").withColumn("measured_at", F.lit("2024-01-01").cast("timestamp"))
     sources = spark.createDataFrame([(7, "nox")], "source_id bigint, coordinate string")
     meta = spark.createDataFrame([("station_days", ["reading"], [0.5, 1.5, 2.5]), ("spectra", ["absorbance"], [850.0, 852.0, 854.0])], "dataset string, coordinate_names array<string>, grid_points array<double>")
-    got = sorted((r["dataset"], r["grouping"], r["key"], r["value"]) for r in curve_cells(days, spectra, sources, meta).collect())
+    points = grid_points(meta)
+    curves = curves_of(days, spectra, sources, points)
+    got = sorted((r["dataset"], r["grouping"], r["key"], r["value"]) for r in curve_cells(curves, points).collect())
     assert ("station_days", "coordinate", "nox", 1.0) in got and ("station_days", "station", "3", 1.0) in got and ("station_days", "occupied", "all", 0.5) in got
     assert sum(g[0] == "spectra" and g[1] == "coordinate" for g in got) == 4 and sum(g[0] == "spectra" and g[1] == "grid_point" for g in got) == 3
+    keys = ["dataset", "grouping", "key"]
+    cells = curve_cells(curves, points)
+    want = sorted(map(tuple, certified(cells, estimates(merge_digests(build_digests(cells, keys), keys), keys), keys).collect()))
+    for by_part in (False, True):
+        own = curve_digests(curves, points, by_part).drop("date")
+        found = estimates(merge_digests(own, keys), keys)
+        assert sorted(map(tuple, certified_curves(curves, points, found).collect())) == want
+        assert sorted(map(tuple, certified_curves(curves, points, found, settings=DigestSettings(most_broadcast=1)).collect())) == want
+
+
+def test_curves_without_cells_or_meta(spark):
+    days = spark.createDataFrame([(1, 7, None, [1.0, 2.0]), (2, None, 3, []), (3, 7, 3, None)], "id bigint, source_id bigint, station_id int, data_matrix array<double>").withColumn("obs_date", F.lit(None).cast("date"))
+    spectra = spark.createDataFrame([], "id bigint, data_matrix array<double>, measured_at timestamp")
+    sources = spark.createDataFrame([], "source_id bigint, coordinate string")
+    meta = grid_points(spark.createDataFrame([], "dataset string, coordinate_names array<string>, grid_points array<double>"))
+    curves = curves_of(days, spectra, sources, meta)
+    keys = ["dataset", "grouping", "key"]
+    got = certified_curves(curves, meta, estimates(merge_digests(curve_digests(curves, meta), keys), keys)).collect()
+    assert {(r["dataset"], r["grouping"], r["key"], r["n"]) for r in got} == {("station_days", "coordinate", None, 2)}
