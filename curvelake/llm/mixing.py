@@ -6,26 +6,29 @@ rest is a weighted sample without replacement: documents in the order of exponen
 quality weights, taken while their prefix sum of tokens stays within what remains.
 
 The order is not made by sorting a source in one task: keys are cut into buckets by their own
-distribution, bucket sums give each bucket its offset, and a bucket is sorted by itself.
+distribution, bucket sums give each bucket its offset, and a bucket is sorted by itself. After a document
+too long for what is left of a budget, those that still fit are taken in the order of their keys until none
+does: of every length only the first few can be among them, so that this rest is small.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvelake.session import checkpoint
+from curvelake.session import checkpoint, small
 
 
 @dataclass(frozen=True)
 class MixSettings:
     seed: int = 17
-    #: buckets of a source, by the distribution function of its keys
-    buckets: int = 4096
-    #: prefix sums over what still fits, after a document too long for the rest
-    passes: int = 3
+    #: buckets of a source, by the distribution function of its keys: this many, or more where they would
+    #: hold more documents than ``bucket_documents``
+    buckets: int = 256
+    bucket_documents: int = 20_000
     least_quality: float = 0.1
     most_quality: float = 10.0
     #: total tokens wanted; None for as many as the repeats allow
@@ -43,6 +46,18 @@ def text_quality(text: Column) -> Column:
     return F.coalesce(F.try_divide(kept.cast("double"), F.length(text)), F.lit(0.0))
 
 
+def quality_weight(prose: Column, n_tokens: Column, different: Column, pairs: Column) -> Column:
+    """Weight of a document between 0 and 1, from its whole text.
+
+    The product of ``prose``, the share of letters and digits; of how rarely the text repeats itself, by the
+    logarithms of its different tokens and different pairs of neighbouring tokens against all of them
+    (1 if none comes twice, whatever the length); and of its length, which counts half at 16 tokens.
+    """
+    n = F.greatest(n_tokens, F.lit(2)).cast("double")
+    fresh = lambda x: F.least(F.lit(1.0), F.ln(1 + x.cast("double")) / F.ln(1 + n))
+    return F.coalesce(prose * fresh(different) * fresh(pairs + 1) * n_tokens / (n_tokens + 16.0), F.lit(0.0))
+
+
 def mix_plan(sized: DataFrame, targets: DataFrame, settings: MixSettings | None = None) -> DataFrame:
     """``(source, documents, tokens, target_weight, target_share, max_repeats, budget, epochs, rest)``: a row a source.
 
@@ -71,12 +86,38 @@ def _within_rest(rows: DataFrame) -> DataFrame:
     """``rows`` with ``taken``: whether the prefix sum of tokens, in the order of keys, stays within the source's ``rest``."""
     sums = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select("source", "bucket", before.alias("before"))  # at most `buckets` rows a source in a task
+    offsets = sums.select("source", "bucket", before.alias("before"))  # a row a bucket of the source in a task
     inside = Window.partitionBy("source", "bucket").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.join(offsets, ["source", "bucket"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside))
     return summed.withColumn("taken", F.col("upto") <= F.col("rest")).drop("before", "upto")
 
 
+def _fill(open_rows: DataFrame) -> DataFrame:
+    """``(id, source)``: what is taken from ``open_rows`` in the order of keys, each document that still fits ``rest``.
+
+    At most rest / n documents of n tokens fit, so only the first ones of each length are looked at: buckets
+    beyond those are left out by their counts, and a source has at most rest * ln(rest) such documents, with a
+    rest shorter than its longest document.
+    """
+    counts = open_rows.groupBy("source", "n_tokens", "bucket").agg(F.count(F.lit(1)).alias("c"))
+    by = Window.partitionBy("source", "n_tokens")
+    before = F.coalesce(F.sum("c").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counts.withColumn("before", before)
+    near = open_rows.join(first.drop("c"), ["source", "n_tokens", "bucket"]).where("before * n_tokens < rest")
+    near = near.withColumn("turn", F.row_number().over(Window.partitionBy("source", "n_tokens", "bucket").orderBy("key", "id")) + F.col("before")).where("turn * n_tokens <= rest")
+
+    def take(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["key", "id"], kind="stable")
+        rest, got = int(frame["rest"].iloc[0]), []
+        for i, n in zip(frame["id"], frame["n_tokens"]):
+            if n <= rest:
+                rest -= n
+                got.append(i)
+        return pd.DataFrame({"id": pd.Series(got, dtype="int64"), "source": frame["source"].iloc[0]})
+
+    return near.select("source", "id", "key", "n_tokens", "rest").groupBy("source").applyInPandas(take, "id bigint, source string")
+
+
 def mix(sized: DataFrame, targets: DataFrame, settings: MixSettings | None = None) -> tuple[DataFrame, DataFrame]:
     """``(chosen, report)`` from ``sized (id, source, quality, n_tokens)``.
 
@@ -94,26 +135,17 @@ def mix(sized: DataFrame, targets: DataFrame, settings: MixSettings | None = Non
     unit = F.greatest(F.lit(1e-18), F.least(F.lit(1.0), spread))
     weight = F.least(F.lit(s.most_quality), F.greatest(F.lit(s.least_quality), F.col("quality")))
     rows = sized.where("n_tokens > 0").withColumn("weight", weight).withColumn("key", -F.ln(unit) / F.col("weight"))
-    mean = rows.groupBy("source").agg(F.avg("weight").alias("typical"))
-    rows = (
-        rows.join(F.broadcast(plan.select("source", "epochs", "rest")), "source")  # a row a target: mix_targets is a small table
-        .join(mean, "source")
-        .withColumn("bucket", F.floor(F.lit(s.buckets) * (1 - F.exp(-F.col("key") * F.col("typical")))))
-    )
-    picked, open_rows = [], rows
-    for _ in range(s.passes):
-        part = checkpoint(_within_rest(open_rows))
-        picked.append(part.where("taken").select("id", "source"))
-        left = part.groupBy("source").agg((F.max("rest") - F.sum(F.when(F.col("taken"), F.col("n_tokens")).otherwise(0))).alias("rest"))
-        # a document too long for what is left ended the prefix; the next ones in order may still fit
-        open_rows = part.where("not taken").drop("rest", "taken").join(F.broadcast(left), "source").where("n_tokens <= rest")
-    extra = picked[0]
-    for more in picked[1:]:
-        extra = extra.unionByName(more)
+    mean = rows.groupBy("source").agg(F.avg("weight").alias("typical"), F.greatest(F.lit(s.buckets), F.ceil(F.count(F.lit(1)) / s.bucket_documents)).alias("buckets"))
+    shares = small(checkpoint(plan.select("source", "epochs", "rest").join(mean, "source")))
+    rows = rows.join(shares, "source").withColumn("bucket", F.floor(F.col("buckets") * (1 - F.exp(-F.col("key") * F.col("typical")))))
+    part = checkpoint(_within_rest(rows.select("source", "id", "key", "bucket", "n_tokens", "rest")))
+    left = checkpoint(part.groupBy("source").agg((F.max("rest") - F.sum(F.when(F.col("taken"), F.col("n_tokens")).otherwise(0))).alias("rest")).where("rest > 0"))
+    extra = part.where("taken").select("id", "source")
+    extra = extra.unionByName(_fill(part.where("not taken").drop("rest", "taken").join(small(left), "source").where("n_tokens <= rest")))
     extra = extra.groupBy("id", "source").agg(F.count(F.lit(1)).alias("more"))
-    whole = sized.where("n_tokens > 0").join(F.broadcast(plan.where("epochs > 0").select("source", "epochs")), "source").select("id", "source", "n_tokens", "epochs")
-    once = rows.select("id", "source", "n_tokens", F.lit(0).cast("long").alias("epochs"))
-    every = whole.unionByName(once.join(plan.where("epochs = 0").select("source"), "source", "left_semi"))
+    whole = sized.where("n_tokens > 0").join(small(plan.where("epochs > 0").select("source", "epochs")), "source").select("id", "source", "n_tokens", "epochs")
+    once = part.select("id", "source", "n_tokens", F.lit(0).cast("long").alias("epochs"))
+    every = whole.unionByName(once.join(small(plan.where("epochs = 0").select("source")), "source", "left_semi"))
     chosen = checkpoint(
         every.join(extra, ["id", "source"], "left").withColumn("repeats", F.col("epochs") + F.coalesce("more", F.lit(0)))
         .where("repeats > 0").select(F.col("id").alias("doc_id"), "source", "repeats", "n_tokens")

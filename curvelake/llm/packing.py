@@ -94,31 +94,41 @@ def best_two_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _items(sizes: DataFrame, packs: DataFrame) -> DataFrame:
-    """One row per piece of a document: whole, or cut at multiples of the capacity if longer than it."""
+def _items(sizes: DataFrame, packs: dict[str, int]) -> DataFrame:
+    """One row per piece of a document: whole, or cut at multiples of the capacity if longer than it.
+
+    ``copy`` numbers rows that are repeated, so that each piece has a key of its own.
+    """
+    every = F.array(*[F.struct(F.lit(name).alias("pack_name"), F.lit(size).alias("capacity")) for name, size in sorted(packs.items())])
     return (
-        sizes.where("n_tokens > 0").select(F.col("id").alias("doc_id"), F.col("n_tokens").alias("total"))
-        .crossJoin(F.broadcast(packs))
-        .select("pack_name", "capacity", "doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / F.col("capacity")))).alias("part"))
-        .select("pack_name", "capacity", "doc_id", "part", (F.col("part") * F.col("capacity")).alias("start_token"), F.least(F.col("capacity").cast("long"), F.col("total") - F.col("part") * F.col("capacity")).alias("n_tokens"))
+        sizes.where("n_tokens > 0").groupBy(F.col("id").alias("doc_id"), F.col("n_tokens").cast("long").alias("total")).count()
+        .select("doc_id", "total", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
+        .select("doc_id", "total", "copy", F.explode(every).alias("pack"))
+        .select("pack.pack_name", "pack.capacity", "doc_id", "total", "copy")
+        .select("pack_name", "capacity", "doc_id", "total", "copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / F.col("capacity")))).alias("part"))
+        .select("pack_name", "capacity", "doc_id", "total", "copy", "part", (F.col("part") * F.col("capacity")).alias("start_token"), F.least(F.col("capacity").cast("long"), F.col("total") - F.col("part") * F.col("capacity")).alias("n_tokens"))
     )
 
 
-_PACKED = "pack_name string, capacity int, doc_id bigint, part bigint, start_token bigint, n_tokens bigint, pack_id string, filled bigint"
+_PACKED = "pack_name string, capacity int, doc_id bigint, total bigint, copy bigint, part bigint, start_token bigint, n_tokens bigint, pack_id string, filled bigint"
+_RESULT = "pack_name string, pack_id string, doc_id bigint, part bigint, start_token bigint, n_tokens bigint, filled bigint, capacity int, fill double"
 
 
 def pack(sizes: DataFrame, pack_sizes: DataFrame, settings: PackSettings | None = None) -> DataFrame:
     """``(pack_name, pack_id, doc_id, part, start_token, n_tokens, filled, capacity, fill)``: one row per member.
 
     ``sizes``: ``id, n_tokens``; ``pack_sizes``: ``pack_name, capacity_tokens``, a handful of rows, each of which
-    packs all documents. A document longer than the capacity is cut into full pieces and a rest; the full pieces
+    packs all documents (they are fetched). A document longer than the capacity is cut into full pieces and a rest; the full pieces
     are packs of their own. Documents without tokens or with a null size are in no pack. Repeated rows are packed
     each time. Pack sizes that are null or below 1 are ignored, of a repeated name the largest counts.
     """
     s = settings or PackSettings()
     packs = pack_sizes.where("pack_name is not null and capacity_tokens > 0").groupBy("pack_name").agg(F.max("capacity_tokens").cast("int").alias("capacity"))
+    packs = {r["pack_name"]: r["capacity"] for r in packs.collect()}
+    if not packs:
+        return sizes.sparkSession.createDataFrame([], _RESULT)
     items = checkpoint(_items(sizes, packs))
-    full = items.where("n_tokens = capacity").select("*", F.concat_ws("-", F.lit("full"), "doc_id", "part", F.monotonically_increasing_id()).alias("pack_id"), F.col("n_tokens").alias("filled"))
+    full = items.where("n_tokens = capacity").select("*", F.concat_ws("-", F.lit("full"), "doc_id", "total", "copy", "part").alias("pack_id"), F.col("n_tokens").alias("filled"))
     rest, done = items.where("n_tokens < capacity"), [full]
     for turn in range(s.rounds):
         load = rest.groupBy("pack_name").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t")).collect()  # a row a pack size
@@ -128,7 +138,7 @@ def pack(sizes: DataFrame, pack_sizes: DataFrame, settings: PackSettings | None
         last = turn == s.rounds - 1 or max(shards.values()) == 1
 
         def work(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(["doc_id", "part"], kind="stable").reset_index(drop=True)
+            frame = frame.sort_values(["doc_id", "total", "copy", "part"], kind="stable").reset_index(drop=True)
             sizes_, bins = frame["n_tokens"].to_numpy(np.int64), np.empty(len(frame), np.int64)
             filled = np.empty(len(frame), np.int64)
             for k, members in enumerate(best_two_fit(sizes_, int(frame["capacity"].iloc[0]))):
@@ -137,7 +147,7 @@ def pack(sizes: DataFrame, pack_sizes: DataFrame, settings: PackSettings | None
             return frame.drop(columns="shard").assign(pack_id=[f"{name}{k}" for k in bins], filled=filled)
 
         of = F.coalesce(*[F.when(F.col("pack_name") == k, F.lit(n)) for k, n in shards.items()])
-        placed = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", F.lit(turn)), of).cast("int"))
+        placed = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "total", "copy", "part", F.lit(turn)), of).cast("int"))
         n = int(min(4000, max(8, 2 * sum(shards.values()))))
         made = checkpoint(placed.repartition(n, "pack_name", "shard").groupBy("pack_name", "shard").applyInPandas(work, _PACKED))
         loose = (F.col("filled") < s.dense * F.col("capacity")) & F.col("pack_name").isin([k for k, v in shards.items() if v > 1 and not last])
@@ -150,7 +160,7 @@ def pack(sizes: DataFrame, pack_sizes: DataFrame, settings: PackSettings | None
 
 
 def pack_summary(packed: DataFrame) -> DataFrame:
-    """``(pack_name, capacity, packs, documents, pieces, tokens, fill)`` of a packing."""
-    return packed.groupBy("pack_name", "capacity").agg(
-        F.sum(F.lit(1.0) * F.col("n_tokens") / F.col("filled")).alias("packs"), F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens")
-    ).select("pack_name", "capacity", F.round("packs").cast("long").alias("packs"), "pieces", "tokens", F.round(F.col("tokens") / F.round("packs") / F.col("capacity"), 6).alias("fill"))
+    """``(pack_name, capacity, packs, pieces, tokens, fill)`` of a packing."""
+    packs = packed.groupBy("pack_name", "capacity", "pack_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("tokens"))
+    sums = packs.groupBy("pack_name", "capacity").agg(F.count(F.lit(1)).alias("packs"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"))
+    return sums.select("pack_name", "capacity", "packs", "pieces", "tokens", F.round(F.col("tokens") / F.col("packs") / F.col("capacity"), 6).alias("fill"))

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from curvelake.llm.density_peaks import density_clusters, describe_clusters
 from curvelake.llm.digests import CURVE_KEYS, certified_curves, curve_digests, curves_of, estimates, grid_points, merge_digests
 from curvelake.llm.knn import k_nearest
-from curvelake.llm.mixing import mix, text_quality
+from curvelake.llm.mixing import mix, quality_weight, text_quality
 from curvelake.llm.packing import pack, pack_summary
 from curvelake.llm.tokens import with_token_counts
 from curvelake.llm.visual import distinct_forms, look_same_pairs
-from curvelake.session import checkpoint, table
+from curvelake.session import table
 
 
 def _percentiles(spark: SparkSession, d: str, by_part: bool) -> DataFrame:
@@ -32,13 +32,14 @@ def p2_dates(spark: SparkSession, d: str) -> DataFrame:
     return _percentiles(spark, d, True)
 
 
-def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", "text").withColumn("quality", text_quality(F.col("text")))
-    return checkpoint(with_token_counts(docs, "doc_id", "text", ["source", "quality"]))
+def _weighted(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text").withColumn("prose", text_quality(F.col("text")))
+    sized = with_token_counts(docs, "doc_id", "text", ["source", "prose"], variety=True)
+    return sized.select("id", "source", quality_weight(*[F.col(c) for c in ("prose", "n_tokens", "different", "pairs")]).alias("quality"), "n_tokens")
 
 
 def p6_packs(spark: SparkSession, d: str) -> DataFrame:
-    return pack(_sizes(spark, d), table(spark, d, "pack_sizes"))
+    return pack(with_token_counts(table(spark, d, "documents"), "doc_id", "text"), table(spark, d, "pack_sizes"))
 
 
 def p6_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -46,11 +47,11 @@ def p6_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mix(_sizes(spark, d), table(spark, d, "mix_targets"))[0]
+    return mix(_weighted(spark, d), table(spark, d, "mix_targets"))[0]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mix(_sizes(spark, d), table(spark, d, "mix_targets"))[1]
+    return mix(_weighted(spark, d), table(spark, d, "mix_targets"))[1]
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curvelake.llm.mixing import MixSettings, mix, text_quality
+from curvelake.llm.mixing import MixSettings, mix, quality_weight, text_quality
 from curvelake.llm.packing import PackSettings, best_two_fit, pack, pack_summary
 from curvelake.llm.tokens import TOKENIZER, with_token_counts
 
@@ -115,3 +115,27 @@ def test_mixing_of_nothing(spark):
 def test_quality_of_texts(spark):
     got = [r[0] for r in spark.createDataFrame([("ab1",), ("a!",), ("",), (None,)], "text string").select(text_quality(F.col("text"))).collect()]
     assert got == [1.0, 0.5, 0.0, 0.0]
+
+
+def test_weights_fall_with_repetition_and_grow_with_length(spark):
+    rows = [(1, "the quick brown fox jumps over the lazy dog while seven wizards watch from a tower"), (2, "buy now buy now buy now buy now buy now buy now buy now buy now"), (3, "ok"), (4, "!!! ### $$$ %%% &&& *** ((( ))) ___ +++ === --- ;;; :::"), (5, ""), (6, "ok")]
+    df = spark.createDataFrame(rows, "id bigint, text string").withColumn("prose", text_quality(F.col("text")))
+    sized = with_token_counts(df, "id", "text", ["prose"], variety=True)
+    got = {r["id"]: r["w"] for r in sized.select("id", quality_weight(*[F.col(c) for c in ("prose", "n_tokens", "different", "pairs")]).alias("w")).collect()}
+    assert got[1] > 2 * got[2] and got[1] > 5 * got[3] and got[4] == 0 and got[5] == 0 and got[3] == got[6] > 0 and max(got.values()) < 1
+
+
+def test_budgets_are_filled_until_nothing_fits(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "a", float(rng.uniform(0.2, 1)), int(rng.choice([3, 5, 7, 50, 400]))) for i in range(3000)] + [(9000 + i, "b", 1.0, 7) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, source string, quality double, n_tokens bigint")
+    targets = spark.createDataFrame([("a", 40.0, 2, "x"), ("b", 1.0, 3, "x")], TARGETS)
+    for buckets in (1, 64, 4096):
+        chosen, report = mix(df, targets, MixSettings(buckets=buckets))
+        got = {r["doc_id"]: r["repeats"] for r in chosen.collect()}
+        if buckets == 1:
+            first = got
+        assert got == first
+        a = {r["source"]: r for r in report.collect()}["a"]
+        open_sizes = [n for i, s, _, n in rows if s == "a" and got.get(i, 0) <= a["epochs"]]
+        assert 0 <= a["budget"] - a["chosen_tokens"] < min(open_sizes)
