@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(cpus: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -43,6 +44,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """The frame marked for broadcast if it has at most ``rows`` rows, else as it is.
+
+    It is counted, so it should be cheap to read (checkpointed, or a small table).
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
