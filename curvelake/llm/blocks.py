@@ -2,14 +2,14 @@
 
 Vectors are placed into cells round pivots (fitted on a bounded sample; every row is indexed) and
 cells into shards of bounded size. A query row is sent to a shard only if the triangle inequality
-lets one of the shard's cells hold a row within the query's radius. Inside a task, pairs are tested
-by int8 product tiles: both sides are quantised relative to the cell's pivot, a row's scale being
-its largest residual, so that the distance of the quantised rows differs from the true one by at
-most the two residual norms. Pairs that survive the bound are recomputed in double precision. No
-pair within the radius is lost.
+lets one of the shard's cells hold a row within the query's radius. Inside a task, large cells are
+cut again round pivots of their own, and pairs are tested by int8 product tiles: both sides are
+quantised relative to the cell's pivot, a row's scale being its largest residual, so that the
+distance of the quantised rows differs from the true one by at most the two residual norms. Pairs
+that survive the bound are recomputed in double precision. No pair within the radius is lost.
 
 The int8 values are multiplied as float32, in which these integer sums are exact for up to 1,040
-dimensions a slice; wider rows are cut into such slices.
+dimensions a slice; wider rows are cut into such slices. Vectors travel as the bytes of their doubles.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +31,10 @@ SLICE = 1040
 class BlockSettings:
     #: rows of the sample on which pivots are fitted, and the most pivots
     sample_rows: int = 20_000
-    most_pivots: int = 1024
+    most_pivots: int = 2048
     rows_per_pivot: int = 64
+    #: cells of more rows than this are cut again in their task, into parts of about a quarter of that
+    most_cell: int = 512
     #: bounds of the rows in a shard, and of the queries in a task
     least_shard: int = 8192
     most_shard: int = 32_768
@@ -43,36 +45,68 @@ class BlockSettings:
     seed: int = 7
 
 
+def packed(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as a binary column."""
+    x = np.ascontiguousarray(x, np.float64)
+    width = x.shape[1] * 8
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(x)])
+
+
+def matrix(column: pa.ChunkedArray, dimension: int) -> np.ndarray:
+    """A binary column as the rows of a matrix."""
+    n = len(column)
+    if not n:
+        return np.zeros((0, dimension))
+    column = column.combine_chunks()
+    start = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
+    return np.frombuffer(column.buffers()[2], np.float64, n * dimension, start).reshape(n, dimension)
+
+
+def numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().to_numpy(zero_copy_only=False)
+
+
 def complete_vectors(df: DataFrame, id_column: str, data_column: str, dimension: int | None = None) -> tuple[DataFrame, DataFrame, int]:
     """``(complete, incomplete, dimension)``.
 
-    Both frames have ``id, vec``. A vector is complete if it has ``dimension`` cells (by default the most
-    frequent length, the greater of ties) and none is null, NaN or infinite; an incomplete one has
-    ``dimension`` cells of which some are missing (null in ``vec``) and at least one is not. All other rows
+    Both frames have ``id, vec`` (packed). A vector is complete if it has ``dimension`` cells (by default the
+    most frequent length, the greater of ties) and none is null, NaN or infinite; an incomplete one has
+    ``dimension`` cells of which some are missing (NaN in ``vec``) and at least one is not. All other rows
     (null id, null, empty or otherwise long arrays) are in neither. ``-0.0`` becomes ``0.0``.
     """
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(data_column).cast("array<double>").alias("raw")).where("id is not null and raw is not null")
     if dimension is None:
         sizes = rows.groupBy(F.size("raw").alias("n")).count().where("n > 0").orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
         dimension = sizes[0]["n"] if sizes else 0
-    far = F.lit(float("inf"))
-    rows = rows.where(F.size("raw") == dimension).select(
-        "id", F.transform("raw", lambda x: F.when(F.isnan(x) | (F.abs(x) == far), None).otherwise(x + F.lit(0.0))).alias("vec")
-    )
-    whole = F.forall("vec", lambda x: x.isNotNull())
-    return rows.where(whole), rows.where(~whole & F.exists("vec", lambda x: x.isNotNull())), dimension
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("raw").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, dimension) + 0.0
+            x[~np.isfinite(x)] = np.nan
+            gone = np.isnan(x).sum(1)
+            some = gone < dimension
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(some)), packed(x[some]), pa.array(gone[some], pa.int32())], names=["id", "vec", "gone"])
+
+    if not dimension:
+        none = df.sparkSession.createDataFrame([], "id bigint, vec binary")
+        return none, none, 0
+    rows = checkpoint(rows.where(F.size("raw") == dimension).mapInArrow(pack, "id bigint, vec binary, gone int"))
+    return rows.where("gone = 0").select("id", "vec"), rows.where("gone > 0").select("id", "vec"), dimension
 
-def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(distinct (id, vec, copies), members (id, rep))``: exact copies become the one with the smallest id."""
-    keyed = vectors.select("id", "vec", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"))
-    groups = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("vec", "id").alias("vec"))
-    members = keyed.select("id", "h1", "h2").join(groups.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep")
-    return groups.select(F.col("rep").alias("id"), "vec", "copies"), members
 
+def one_a_id(vectors: DataFrame) -> DataFrame:
+    """``(id, vec, h)``: of an id with different vectors the one of the smallest hash ``h``, once."""
+    keyed = vectors.select("id", "vec", F.struct(F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2")).alias("h"))
+    return keyed.groupBy("id").agg(F.min(F.struct("h", "vec")).alias("r")).select("id", "r.vec", "r.h")
 
-def matrix(column: pd.Series, dimension: int) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, dimension))
+
+def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(distinct (id, vec, copies), members (id, rep))`` of ``one_a_id``: copies become the one with the smallest id."""
+    keyed = checkpoint(vectors)
+    groups = keyed.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    members = keyed.select("id", "h").join(groups.select("h", "rep"), "h").select("id", "rep")
+    distinct = keyed.join(groups.select(F.col("rep").alias("id"), "copies"), "id").select("id", "vec", "copies")
+    return distinct, members
 
 
 def _fit_pivots(sample: np.ndarray, count: int, seed: int) -> np.ndarray:
@@ -120,7 +154,7 @@ def nearest_pivot(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.nda
 class BlockIndex:
     """Placed vectors with the bounded metadata that routes queries."""
 
-    placed: DataFrame  # id, vec, cell, shard
+    placed: DataFrame  # id, vec, copies, cell, shard
     pivots: np.ndarray
     parts: np.ndarray  # shard, cell, rows
     radius: np.ndarray  # of each part
@@ -132,16 +166,54 @@ class BlockIndex:
     def shards(self) -> int:
         return int(self.parts[:, 0].max()) + 1 if len(self.parts) else 0
 
+    def needed(self, x: np.ndarray, radius: np.ndarray, useful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, shard) of the shards that may hold a row within a query's radius.
+
+        ``useful`` (queries x parts) may exclude parts. Missing cells of a query count nothing.
+        """
+        half = max(1, len(self.pivots) // 2)  # the second half repeats the pivots, for the far rows
+        shard, cell, pivots = self.parts[:, 0], self.parts[:, 1] % half, self.pivots[:half]
+        starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        out = []
+        for a in range(0, len(x), 2048):
+            q = x[a : a + 2048]
+            seen = ~np.isnan(q)
+            if seen.all():
+                far = pivot_distances(q, pivots)
+            else:
+                zero = np.where(seen, q, 0)
+                far = np.sqrt(np.maximum((zero * zero).sum(1)[:, None] + seen @ (pivots * pivots).T - 2 * zero @ pivots.T, 0))
+            reach = far[:, cell] - self.radius[None] <= radius[a : a + 2048, None] + rounding_slack(q, pivots)
+            if useful is not None:
+                reach &= useful[a : a + 2048]
+            i, k = np.nonzero(np.logical_or.reduceat(reach, starts, axis=1))
+            out.append((a + i, shard[starts][k]))
+        if not out:
+            return np.zeros(0, int), np.zeros(0, int)
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def lists(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+    """A list column of n rows; ``owner`` ascends."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values, kind))
+
+
+def _sample(vectors: DataFrame, rows: int, dimension: int, s: BlockSettings) -> np.ndarray:
+    """At most ``sample_rows`` rows drawn by a hash of their ids."""
+    share = int(min(1.0, 1.1 * s.sample_rows / rows) * 2**30)
+    drawn = vectors.where(F.pmod(F.xxhash64(F.lit(s.seed), "id"), F.lit(2**30)) < share).select("id", "vec").toArrow().sort_by("id")
+    got = matrix(drawn.column("vec"), dimension)
+    return got[np.sort(np.random.default_rng(s.seed).permutation(len(got))[: s.sample_rows])] if len(got) else matrix(vectors.limit(1).select("vec").toArrow().column("vec"), dimension)
+
 
 def build_index(vectors: DataFrame, dimension: int, settings: BlockSettings | None = None) -> BlockIndex:
-    """Index every row of ``vectors (id, vec)``; ids must be unique."""
+    """Index every row of ``vectors (id, vec, copies)``; ids must be unique."""
     s = settings or BlockSettings()
-    vectors = checkpoint(vectors.select("id", "vec"))
+    vectors = checkpoint(vectors.select("id", "vec", "copies"))
     rows = vectors.count()
     if not rows:
-        return BlockIndex(vectors.select("id", "vec", F.lit(0).alias("cell"), F.lit(0).alias("shard")), np.zeros((0, dimension)), np.zeros((0, 3), int), np.zeros(0), dimension, 0, s)
-    sample = vectors.orderBy(F.xxhash64("id", F.lit(s.seed)), "id").limit(s.sample_rows).select("vec").toArrow()
-    sample = sample.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
+        return BlockIndex(vectors.select("*", F.lit(0).alias("cell"), F.lit(0).alias("shard")), np.zeros((0, dimension)), np.zeros((0, 3), int), np.zeros(0), dimension, 0, s)
+    sample = _sample(vectors, rows, dimension, s)
     pivots = _fit_pivots(sample, max(1, min(s.most_pivots, rows // s.rows_per_pivot)), s.seed)
     # rows far from every pivot would blow up the radius of a cell of close rows: they get cells, and shards, of
     # their own, so that close rows are not sent to all shards
@@ -150,38 +222,38 @@ def build_index(vectors: DataFrame, dimension: int, settings: BlockSettings | No
     cut = np.array([s.far_ratio * np.median(far[owner == k]) if n_own[k] > 2 else 0.0 for k in range(count)])
     pivots = np.concatenate([pivots, pivots])
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            owner, far = nearest_pivot(matrix(b["vec"], dimension), pivots[:count])
-            yield b[["id", "vec"]].assign(cell=(owner + count * (far > cut[owner])).astype("int32"), far=far)
+            owner, far = nearest_pivot(matrix(pa.chunked_array([b.column("vec")]), dimension), pivots[:count])
+            cell = pa.array((owner + count * (far > cut[owner])).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("id", "vec", "copies")], cell, pa.array(far)], names=["id", "vec", "copies", "cell", "far"])
 
-    placed = vectors.mapInPandas(place, "id bigint, vec array<double>, cell int, far double")
-    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    placed = checkpoint(vectors.mapInArrow(place, "id bigint, vec binary, copies bigint, cell int, far double"))
+    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # a row a cell
     want = min(s.most_shard, max(s.least_shard, rows // s.shards_wanted))
     # neighbouring cells share shards: cells in the order of the pivots' first principal direction
     centred = pivots[:count] - pivots[:count].mean(0)
     order = np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0]) if count > 1 else np.zeros(1, int)
     order = np.concatenate([order, order + count])
-    first, parts_of, shard, room = np.zeros(len(pivots), int), np.ones(len(pivots), int), 0, want
-    for cell in order:
-        n = sizes.get(int(cell), 0)
+    table, shard, room = [], 0, want
+    for cell in order.tolist():
+        n = sizes.get(cell, 0)
         if n > want:
             if room < want:
                 shard, room = shard + 1, want
-            parts_of[cell] = -(-n // want)
-            first[cell], shard, room = shard, shard + int(parts_of[cell]), want
-        else:
+            parts = -(-n // want)
+            table.append((cell, shard, parts))
+            shard, room = shard + parts, want
+        elif n:
             if n > room:
                 shard, room = shard + 1, want
-            first[cell], room = shard, room - n
-    lookup = lambda a: F.array(*[F.lit(int(v)) for v in a])
-    placed = placed.withColumn(
-        "shard", F.get(lookup(first), F.col("cell")) + F.pmod(F.xxhash64("id"), F.get(lookup(parts_of), F.col("cell"))).cast("int")
-    )
-    placed = checkpoint(placed)
+            table.append((cell, shard, 1))
+            room -= n
+    cells = F.broadcast(placed.sparkSession.createDataFrame(table, "cell int, first int, parts int"))  # at most two rows a pivot
+    placed = placed.join(cells, "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     meta = placed.groupBy("shard", "cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).orderBy("shard", "cell").collect()
     parts = np.array([(r["shard"], r["cell"], r["n"]) for r in meta], int)
-    return BlockIndex(placed.select("id", "vec", "cell", "shard"), pivots, parts, np.array([r["far"] for r in meta]), dimension, rows, s)
+    return BlockIndex(placed.select("id", "vec", "copies", "cell", "shard"), pivots, parts, np.array([r["far"] for r in meta]), dimension, rows, s)
 
 
 def quantise(residual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -211,22 +283,34 @@ def _tile(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
 class Candidates:
     """One shard in a task: rows by cell, quantised once."""
 
-    def __init__(self, frame: pd.DataFrame, pivots: np.ndarray, tile_rows: int = 8192):
-        frame = frame.sort_values(["cell", "id"], kind="stable").reset_index(drop=True)
-        self.ids = frame["id"].to_numpy(np.int64)
-        self.rows = matrix(frame["vec"], pivots.shape[1])
-        self.frame = frame
-        cells = frame["cell"].to_numpy()
-        self.tiles = []
+    def __init__(self, table: pa.Table, pivots: np.ndarray, s: BlockSettings, tile_rows: int = 8192):
+        cells, ids = numbers(table.column("cell")), numbers(table.column("id"))
+        rows = matrix(table.column("vec"), pivots.shape[1])
+        order = np.lexsort((ids, cells))
+        cells, tiles = cells[order], []
         edges = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True]) if len(cells) else np.zeros(0, int)
         for a, b in zip(edges, edges[1:]):
+            if b - a <= s.most_cell:
+                tiles.append((a, b, pivots[cells[a]]))
+                continue
+            own = _fit_pivots(rows[order[a:b]], max(2, 4 * (b - a) // s.most_cell), s.seed)
+            part, _ = nearest_pivot(rows[order[a:b]], own)
+            sub = np.argsort(part, kind="stable")
+            order[a:b], part = order[a:b][sub], part[sub]
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+            tiles += [(a + lo, a + hi, own[part[lo]]) for lo, hi in zip(cut, cut[1:])]
+        self.order, self.ids, self.rows = order, ids[order], rows[order]
+        self.table, self.tiles = table, []
+        for a, b, pivot in tiles:
             for lo in range(a, b, tile_rows):
                 hi = min(b, lo + tile_rows)
-                pivot = pivots[cells[a]]
                 residual = self.rows[lo:hi] - pivot
                 self.tiles.append((lo, hi, pivot, np.sqrt((residual**2).sum(1)).max(), quantise(residual)))
         self.centres = np.array([t[2] for t in self.tiles]).reshape(len(self.tiles), -1)
 
+    def column(self, name: str) -> np.ndarray:
+        return numbers(self.table.column(name))[self.order]
+
 
 def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Squared distances of the pairs (i, j) in double precision."""
@@ -295,69 +379,28 @@ class Nearest:
 
 
 def tasks(n: int) -> int:
-    return int(min(4000, max(8, 2 * n)))
+    return int(max(8, 2 * n))
 
 
-def within_shards(index: BlockIndex, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def within_shards(index: BlockIndex, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """Run ``work`` over each shard by itself."""
-    return index.placed.repartition(tasks(index.shards), "shard").groupBy("shard").applyInPandas(work, schema)
+    return index.placed.repartition(tasks(index.shards), "shard").groupBy("shard").applyInArrow(work, schema)
 
 
-def routed(
-    index: BlockIndex, queries: DataFrame, extra: list[str], other: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, skip_own: bool = False
-) -> DataFrame:
-    """Send ``queries (id, vec, radius, shard, *extra)`` to the shards that may hold rows within ``radius``.
+def routed(index: BlockIndex, queries: DataFrame, rows: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Run ``work(queries, candidates)`` for each shard and part of its queries.
 
-    ``other`` holds the candidate rows ``(id, vec, cell, shard, ...)`` of the index, perhaps with more columns.
-    ``work(queries, candidates)`` runs for each shard and part of its queries. A vec may have null cells: the
-    distance over the remaining cells must then not exceed the radius.
+    ``queries`` have ``id`` and ``to``, the shards they are sent to (``needed``); ``rows`` are candidates with
+    ``shard``, perhaps fewer than are placed.
     """
-    s, d = index.settings, index.dimension
-    half = max(1, len(index.pivots) // 2)  # the second half repeats the pivots, for the far rows
-    shard_of, cell_of, reach, pivots = index.parts[:, 0], index.parts[:, 1] % half, index.radius, index.pivots[:half]
-    starts = np.flatnonzero(np.r_[True, shard_of[1:] != shard_of[:-1]])
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.select("id", "vec", "radius", *extra).schema)
-
-    def needed(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        for whole in batches:
-            for a in range(0, len(whole), 2048):
-                b = whole.iloc[a : a + 2048]
-                x = matrix(b["vec"], d)
-                gone = np.isnan(x)
-                if gone.any():
-                    seen = ~gone
-                    x0 = np.where(gone, 0, x)
-                    far = np.sqrt(np.maximum((x0 * x0).sum(1)[:, None] + seen @ (pivots * pivots).T - 2 * x0 @ pivots.T, 0))
-                else:
-                    far = pivot_distances(x, pivots)
-                reachable = b["radius"].to_numpy(float)[:, None] + rounding_slack(x, pivots)
-                need = np.logical_or.reduceat(far[:, cell_of] - reach[None] <= reachable, starts, axis=1)
-                if skip_own:
-                    own = np.searchsorted(shard_of[starts], b["shard"].to_numpy())
-                    need[np.arange(len(b)), own] = False
-                yield b, need
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b, need in needed(batches):
-            i, k = np.nonzero(need)
-            yield b.iloc[i][["id", "vec", "radius", *extra]].assign(to=shard_of[starts][k].astype("int32"))
-
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = sum((need.sum(0) for _, need in needed(batches)), np.zeros(len(starts), np.int64))
-        yield pd.DataFrame({"to": shard_of[starts].astype("int32"), "n": total.astype(np.int64)})
-
-    sent = queries.mapInPandas(send, kind + ", to int")
-    counts = {r["to"]: r["n"] for r in queries.mapInPandas(tally, "to int, n bigint").groupBy("to").agg(F.sum("n").alias("n")).collect()}
-    salts = [-(-counts.get(k, 0) // s.queries_per_task) for k in range(index.shards)]
-    if not sum(salts):
-        return index.placed.sparkSession.createDataFrame([], schema)
-    salt = F.get(F.array(*[F.lit(max(1, n)) for n in salts]), F.col("to"))
-    n = tasks(sum(salts))
-    left = sent.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), salt).cast("int")).repartition(n, "to", "salt")
-    many = F.get(F.array(*[F.lit(n) for n in salts]), F.col("shard"))
-    right = (
-        other.withColumn("salts", many).where("salts > 0")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        .withColumn("to", F.col("shard")).drop("salts").repartition(n, "to", "salt")
-    )
-    return left.groupBy("to", "salt").cogroup(right.groupBy("to", "salt")).applyInPandas(work, schema)
+    spark, s = queries.sparkSession, index.settings
+    queries = queries.withColumn("to", F.explode("to"))
+    counts = queries.groupBy("to").count().collect()  # a row a shard
+    if not counts:
+        return spark.createDataFrame([], schema)
+    salts = [(r["to"], -(-r["count"] // s.queries_per_task)) for r in counts]
+    table = F.broadcast(spark.createDataFrame(salts, "to int, salts int"))
+    n = tasks(sum(k for _, k in salts))
+    left = queries.join(table, "to").withColumn("salt", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("salts")).cast("int")).drop("salts").repartition(n, "to", "salt")
+    right = rows.withColumn("to", F.col("shard")).join(table, "to").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").repartition(n, "to", "salt")
+    return left.groupBy("to", "salt").cogroup(right.groupBy("to", "salt")).applyInArrow(work, schema)

@@ -3,53 +3,62 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvelake.llm.blocks import BlockIndex, BlockSettings, Candidates, Nearest, build_index, complete_vectors, distinct_vectors, matrix, routed, visit, within_shards
+from curvelake.llm.blocks import BlockIndex, BlockSettings, Candidates, Nearest, build_index, complete_vectors, distinct_vectors, lists, matrix, numbers, one_a_id, routed, visit, within_shards
 from curvelake.session import checkpoint
 
 _FOUND = "id bigint, radius double, near array<bigint>, square array<double>"
+_FIRST = _FOUND + ", vec binary, cell int, to array<int>"
 
 
-def _answer(n: Nearest) -> pd.DataFrame:
-    real = np.isfinite(n.square)
-    return pd.DataFrame({
-        "id": n.ids, "radius": np.sqrt(n.square[:, -1]),
-        "near": [row[ok] for row, ok in zip(n.near, real)], "square": [row[ok] for row, ok in zip(n.square, real)],
-    })
+def _answer(n: Nearest) -> dict[str, pa.Array]:
+    i, k = np.nonzero(np.isfinite(n.square))
+    many = len(n.ids)
+    return {
+        "id": pa.array(n.ids, pa.int64()), "radius": pa.array(np.sqrt(n.square[:, -1]), pa.float64()),
+        "near": lists(i, n.near[i, k], many, pa.int64()), "square": lists(i, n.square[i, k], many, pa.float64()),
+    }
 
 
 def nearest_distinct(index: BlockIndex, k: int) -> DataFrame:
-    """``(id, near, square)``: the k nearest other rows of every row of the index, by squared distance, then id."""
-    pivots, d = index.pivots, index.dimension
+    """``(id, near, square)``: the k nearest other rows of every row of the index, by squared distance, then id.
 
-    def own(frame: pd.DataFrame) -> pd.DataFrame:
-        found = Candidates(frame, pivots)
+    The own shard is searched first; the distance of the k-th row found there bounds what other shards can add.
+    """
+    pivots, d, s = index.pivots, index.dimension, index.settings
+    meta = BlockIndex(None, index.pivots, index.parts, index.radius, d, index.rows, s)
+
+    def own(table: pa.Table) -> pa.Table:
+        found = Candidates(table, pivots, s)
         best = Nearest(found.ids, found.rows, found, k, np.full(len(found.ids), np.inf))
         visit(found.rows, best.radius, found, best, shrink=k)
-        return _answer(best)
+        q, to = meta.needed(found.rows, np.sqrt(best.square[:, -1]))
+        other = to != table.column("shard")[0].as_py()
+        far = lists(q[other], to[other], len(found.ids), pa.int32())
+        order = pa.array(found.order)
+        return pa.table(_answer(best) | {"vec": table.column("vec").combine_chunks().take(order), "cell": table.column("cell").combine_chunks().take(order), "to": far})
 
-    first = checkpoint(within_shards(index, own, _FOUND))
+    first = checkpoint(within_shards(index, own, _FIRST))
     if index.shards < 2:
         return first.select("id", "near", "square")
 
-    def further(queries: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(frame):
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "radius": pd.Series(dtype=float), "near": [], "square": []})
-        found = Candidates(frame, pivots)
-        queries = queries.sort_values("cell", kind="stable")
-        best = Nearest(queries["id"].to_numpy(np.int64), matrix(queries["vec"], d), found, k, queries["radius"].to_numpy(float))
+    def further(queries: pa.Table, table: pa.Table) -> pa.Table:
+        if not queries.num_rows or not table.num_rows:
+            return pa.schema([("id", pa.int64()), ("radius", pa.float64()), ("near", pa.list_(pa.int64())), ("square", pa.list_(pa.float64()))]).empty_table()
+        found = Candidates(table, pivots, s)
+        queries = queries.sort_by("cell")
+        best = Nearest(numbers(queries.column("id")), matrix(queries.column("vec"), d), found, k, numbers(queries.column("radius")))
         visit(best.queries, best.radius, found, best, shrink=k)
-        out = _answer(best)
-        return out[out["near"].map(len) > 0]
+        out = pa.table(_answer(best))
+        return out.filter(pa.array(np.isfinite(best.square[:, 0])))
 
-    asked = index.placed.join(first.select("id", "radius"), "id").select("id", "vec", "radius", "shard", "cell")
-    more = routed(index, asked, ["cell"], index.placed, further, _FOUND, skip_own=True)
+    more = routed(index, first.where(F.size("to") > 0).select("id", "vec", "radius", "cell", "to"), index.placed.select("id", "vec", "cell", "shard"), further, _FOUND)
     pairs = F.arrays_zip(F.col("square").alias("square"), F.col("near").alias("near"))
     return (
-        first.unionByName(more).select("id", pairs.alias("pairs"))
+        first.select("id", "near", "square").unionByName(more.select("id", "near", "square")).select("id", pairs.alias("pairs"))
         .groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("pairs"))), 1, k).alias("best"))
         .select("id", F.col("best.near").alias("near"), F.col("best.square").alias("square"))
     )
@@ -62,13 +71,12 @@ def k_nearest(df: DataFrame, k: int = 10, id_column: str = "id", data_column: st
     null, NaN or infinite cell, of another length, null or empty take no part. Exact copies under other ids
     take part: they are joined once as a group and each member then gets its own neighbours. A collection of
     n <= k vectors gives n - 1 neighbours each. An id repeated with the same vector is one row; repeated with
-    different vectors, the one sorted first. Other columns are ignored. An empty table gives no rows.
+    different vectors, the one of the smaller hash. Other columns are ignored. An empty table gives no rows.
 
     The result is exact: no tile is skipped that may hold a neighbour, so the share of true neighbours lost is 0.
     """
     vectors, _, dimension = complete_vectors(df, id_column, data_column)
-    vectors = vectors.groupBy("id").agg(F.min("vec").alias("vec"))
-    distinct, members = distinct_vectors(vectors)
+    distinct, members = distinct_vectors(one_a_id(vectors))
     members = checkpoint(members)
     index = build_index(distinct, dimension, settings)
     found = nearest_distinct(index, k)

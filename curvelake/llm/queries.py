@@ -75,7 +75,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"))
+    docs = table(spark, d, "documents").select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
     forms = distinct_forms(table(spark, d, "documents"))
     return docs.join(forms, ["k1", "k2"]).select("doc_id", "form")
 

@@ -217,7 +217,7 @@ def consistent_forms(texts: DataFrame, keys: list[str], text_column: str = "text
 
 def distinct_forms(df: DataFrame, text_column: str = "text") -> DataFrame:
     """``(k1, k2, form)`` of every different text; the keys are two 64-bit hashes of the text."""
-    keyed = df.select(F.col(text_column).alias("text")).where("text is not null").select(F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"), "text")
+    keyed = df.select(F.col(text_column).alias("text")).where("text is not null").select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
     return consistent_forms(keyed.groupBy("k1", "k2").agg(F.min("text").alias("text")), ["k1", "k2"])
 
 
@@ -229,8 +229,8 @@ def look_same_pairs(df: DataFrame, id_column: str = "doc_id", text_column: str =
     joined to those pairs, so copies of one text are never compared with each other.
     """
     docs = df.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text")).where("doc is not null and text is not null")
-    docs = docs.select("doc", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"))
-    forms = checkpoint(distinct_forms(df, text_column).select("k1", "k2", F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(1)).alias("f2")))
+    docs = docs.select("doc", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    forms = checkpoint(distinct_forms(df, text_column).select("k1", "k2", F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(1), "form").alias("f2")))
     shared = forms.groupBy("f1", "f2").count().where("count > 1").select("f1", "f2")
     several = forms.join(shared, ["f1", "f2"])
     one = several.select("f1", "f2", F.col("k1").alias("a1"), F.col("k2").alias("a2"))
