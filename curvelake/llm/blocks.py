@@ -39,7 +39,7 @@ class BlockSettings:
     least_shard: int = 8192
     most_shard: int = 32_768
     shards_wanted: int = 12
-    #: rows further from their pivot than this multiple of the sample's median are kept apart
+    #: rows further from their pivot than this multiple of the sample's median are loose: they are kept apart
     far_ratio: float = 2.5
     queries_per_task: int = 16_384
     seed: int = 7
@@ -162,6 +162,11 @@ class BlockIndex:
     rows: int
     settings: BlockSettings
 
+    @property
+    def loose(self) -> np.ndarray:
+        """Whether each part holds loose rows."""
+        return self.parts[:, 1] >= len(self.pivots) // 2
+
     @property
     def shards(self) -> int:
         return int(self.parts[:, 0].max()) + 1 if len(self.parts) else 0
@@ -215,17 +220,15 @@ def build_index(vectors: DataFrame, dimension: int, settings: BlockSettings | No
         return BlockIndex(vectors.select("*", F.lit(0).alias("cell"), F.lit(0).alias("shard")), np.zeros((0, dimension)), np.zeros((0, 3), int), np.zeros(0), dimension, 0, s)
     sample = _sample(vectors, rows, dimension, s)
     pivots = _fit_pivots(sample, max(1, min(s.most_pivots, rows // s.rows_per_pivot)), s.seed)
-    # rows far from every pivot would blow up the radius of a cell of close rows: they get cells, and shards, of
-    # their own, so that close rows are not sent to all shards
-    owner, far = nearest_pivot(sample, pivots)
-    count, n_own = len(pivots), np.bincount(owner, minlength=len(pivots))
-    cut = np.array([s.far_ratio * np.median(far[owner == k]) if n_own[k] > 2 else 0.0 for k in range(count)])
+    # rows far from every pivot would blow up the radius of a cell of close rows: these loose rows get cells, and
+    # shards, of their own
+    count, cut = len(pivots), s.far_ratio * float(np.median(nearest_pivot(sample, pivots)[1]))
     pivots = np.concatenate([pivots, pivots])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             owner, far = nearest_pivot(matrix(pa.chunked_array([b.column("vec")]), dimension), pivots[:count])
-            cell = pa.array((owner + count * (far > cut[owner])).astype(np.int32))
+            cell = pa.array((owner + count * (far > cut)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("id", "vec", "copies")], cell, pa.array(far)], names=["id", "vec", "copies", "cell", "far"])
 
     placed = checkpoint(vectors.mapInArrow(place, "id bigint, vec binary, copies bigint, cell int, far double"))
@@ -236,7 +239,9 @@ def build_index(vectors: DataFrame, dimension: int, settings: BlockSettings | No
     order = np.argsort(centred @ np.linalg.svd(centred, full_matrices=False)[2][0]) if count > 1 else np.zeros(1, int)
     order = np.concatenate([order, order + count])
     table, shard, room = [], 0, want
-    for cell in order.tolist():
+    for turn, cell in enumerate(order.tolist()):
+        if turn == count and room < want:
+            shard, room = shard + 1, want  # loose rows share no shard with others
         n = sizes.get(cell, 0)
         if n > want:
             if room < want:
@@ -317,10 +322,13 @@ def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndar
     return np.concatenate([((a[i[k : k + 65536]] - b[j[k : k + 65536]]) ** 2).sum(1) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0)
 
 
-def visit(queries: np.ndarray, radius: np.ndarray, found: Candidates, do: Callable, chunk: int = 1024, shrink: int = 0) -> None:
+def visit(
+    queries: np.ndarray, radius: np.ndarray, found: Candidates, do: Callable, chunk: int = 1024, shrink: int = 0, both: np.ndarray | None = None, theirs: np.ndarray | None = None
+) -> None:
     """Call ``do(query indices, tile, approximate distances, bounds)`` for every tile a query may need.
 
-    ``radius`` is read anew for each tile, so ``do`` may lower it. With ``shrink`` = k, a tile of at least k
+    Queries marked in ``both`` also need tiles that hold a row whose own radius, in ``theirs``, they may lie
+    within. ``radius`` is read anew for each tile, so ``do`` may lower it. With ``shrink`` = k, a tile of at least k
     rows first bounds the query's radius by its k-th smallest upper bound.
     """
     for a in range(0, len(queries), chunk):
@@ -331,7 +339,10 @@ def visit(queries: np.ndarray, radius: np.ndarray, found: Candidates, do: Callab
         slack = rounding_slack(q, found.centres)
         for k in np.argsort(far.min(0), kind="stable"):
             lo, hi, pivot, reach, packed = found.tiles[k]
-            mine = np.flatnonzero(far[:, k] - reach <= radius[a : a + chunk] + slack)
+            limit = radius[a : a + chunk]
+            if both is not None:
+                limit = np.where(both[a : a + chunk], np.maximum(limit, theirs[lo:hi].max()), limit)
+            mine = np.flatnonzero(far[:, k] - reach <= limit + slack)
             if not len(mine):
                 continue
             near, bound = _tile(quantise(q[mine] - pivot), packed)
@@ -355,7 +366,10 @@ class Nearest:
         if keep is not None:
             hit &= keep
         i, j = np.nonzero(hit)
-        i, j = mine[i], span[0] + j
+        self.merge(mine[i], span[0] + j)
+
+    def merge(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Add the pairs of queries i and rows j that are near enough."""
         other = self.found.ids[j] != self.ids[i]
         i, j = i[other], j[other]
         if not len(i):

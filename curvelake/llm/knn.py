@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,7 +13,7 @@ from curvelake.llm.blocks import BlockIndex, BlockSettings, Candidates, Nearest,
 from curvelake.session import checkpoint
 
 _FOUND = "id bigint, radius double, near array<bigint>, square array<double>"
-_FIRST = _FOUND + ", vec binary, cell int, to array<int>"
+_FIRST = _FOUND + ", vec binary, cell int, shard int, to array<int>"
 
 
 def _answer(n: Nearest) -> dict[str, pa.Array]:
@@ -27,19 +29,29 @@ def nearest_distinct(index: BlockIndex, k: int) -> DataFrame:
     """``(id, near, square)``: the k nearest other rows of every row of the index, by squared distance, then id.
 
     The own shard is searched first; the distance of the k-th row found there bounds what other shards can add.
+    Loose rows, which no bound excludes from any shard, are sent to all others; there they look for their own
+    neighbours and are offered to the rows they meet, so that those need not be sent to the loose ones.
     """
     pivots, d, s = index.pivots, index.dimension, index.settings
     meta = BlockIndex(None, index.pivots, index.parts, index.radius, d, index.rows, s)
+    half, apart = len(pivots) // 2, index.loose
+    close = np.unique(index.parts[~apart, 0])
 
     def own(table: pa.Table) -> pa.Table:
         found = Candidates(table, pivots, s)
         best = Nearest(found.ids, found.rows, found, k, np.full(len(found.ids), np.inf))
         visit(found.rows, best.radius, found, best, shrink=k)
-        q, to = meta.needed(found.rows, np.sqrt(best.square[:, -1]))
+        loose = table.column("cell")[0].as_py() >= half  # a shard has rows of one kind
+        q, to = meta.needed(found.rows, np.sqrt(best.square[:, -1]), np.broadcast_to(apart == loose, (len(found.ids), len(apart))))
+        if loose:
+            every = np.repeat(np.arange(len(found.ids)), len(close))
+            q, to = np.r_[q, every], np.r_[to, np.tile(close, len(found.ids))]
+            order = np.argsort(q, kind="stable")
+            q, to = q[order], to[order]
         other = to != table.column("shard")[0].as_py()
         far = lists(q[other], to[other], len(found.ids), pa.int32())
         order = pa.array(found.order)
-        return pa.table(_answer(best) | {"vec": table.column("vec").combine_chunks().take(order), "cell": table.column("cell").combine_chunks().take(order), "to": far})
+        return pa.table(_answer(best) | {"vec": table.column("vec").combine_chunks().take(order), "cell": table.column("cell").combine_chunks().take(order), "shard": table.column("shard").combine_chunks(), "to": far})
 
     first = checkpoint(within_shards(index, own, _FIRST))
     if index.shards < 2:
@@ -51,11 +63,25 @@ def nearest_distinct(index: BlockIndex, k: int) -> DataFrame:
         found = Candidates(table, pivots, s)
         queries = queries.sort_by("cell")
         best = Nearest(numbers(queries.column("id")), matrix(queries.column("vec"), d), found, k, numbers(queries.column("radius")))
-        visit(best.queries, best.radius, found, best, shrink=k)
-        out = pa.table(_answer(best))
-        return out.filter(pa.array(np.isfinite(best.square[:, 0])))
-
-    more = routed(index, first.where(F.size("to") > 0).select("id", "vec", "radius", "cell", "to"), index.placed.select("id", "vec", "cell", "shard"), further, _FOUND)
+        offered = (numbers(queries.column("cell")) >= half) & (table.column("cell")[0].as_py() < half)
+        met = Nearest(found.ids, found.rows, SimpleNamespace(ids=best.ids, rows=best.queries), k, found.column("radius"))
+
+        def do(mine: np.ndarray, span: tuple, near: np.ndarray, bound: np.ndarray) -> None:
+            best(mine, span, near, bound)
+            new = np.flatnonzero(offered[mine])
+            if len(new):
+                i, j = np.nonzero(near[new] - bound[new] <= met.radius[span[0] : span[1]][None])
+                met.merge(span[0] + j, mine[new[i]])
+
+        if offered.any():
+            visit(best.queries, best.radius, found, do, shrink=k, both=offered, theirs=met.radius)
+        else:
+            visit(best.queries, best.radius, found, best, shrink=k)
+        answers = [pa.table(_answer(x)).filter(pa.array(np.isfinite(x.square[:, 0]))) for x in (best, met)]
+        return pa.concat_tables(answers)
+
+    asked = first.where(F.size("to") > 0).select("id", "vec", "radius", "cell", "to")
+    more = routed(index, asked, first.toDF(*[f"_{c}" for c in first.columns]).select(*[F.col(f"_{c}").alias(c) for c in ("id", "vec", "radius", "cell", "shard")]), further, _FOUND)
     pairs = F.arrays_zip(F.col("square").alias("square"), F.col("near").alias("near"))
     return (
         first.select("id", "near", "square").unionByName(more.select("id", "near", "square")).select("id", pairs.alias("pairs"))
