@@ -270,11 +270,29 @@ def quantise(residual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return small, scale, np.sqrt(((residual - back) ** 2).sum(1)), (back * back).sum(1)
 
 
-def _tile(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Approximate distances of all pairs and their error bounds."""
-    dots = 0
-    for k in range(0, a[0].shape[1], SLICE):
-        dots = dots + a[0][:, k : k + SLICE].astype(np.float32) @ b[0][:, k : k + SLICE].astype(np.float32).T
+class Tile:
+    """The int8 products of two quantised sets, and what they say about the distances of all pairs."""
+
+    def __init__(self, a: tuple, b: tuple):
+        self.a, self.b, self.dots = a, b, 0
+        for k in range(0, a[0].shape[1], SLICE):
+            self.dots = self.dots + a[0][:, k : k + SLICE].astype(np.float32) @ b[0][:, k : k + SLICE].astype(np.float32).T
+
+    def within(self, limit: np.ndarray) -> np.ndarray:
+        """The pairs whose distance may be at most ``limit``, by row."""
+        a, b = self.a, self.b
+        if not len(b[1]):
+            return np.zeros(self.dots.shape, bool)
+        # the distance of the quantised rows may be further by both residual norms, the largest of b for all
+        far = (limit + a[2] + b[2].max()) ** 2 + 8e-6 * (a[3] + b[3].max()) - a[3]
+        return b[3].astype(np.float32)[None] - self.dots * (2 * a[1]).astype(np.float32)[:, None] * b[1].astype(np.float32)[None] <= far.astype(np.float32)[:, None] * np.float32(1 + 1e-6)
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Approximate distances of all pairs and their error bounds."""
+        return _bounds(self.a, self.b, self.dots)
+
+
+def _bounds(a: tuple, b: tuple, dots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     na, nb = a[3].astype(np.float32), b[3].astype(np.float32)
     total = na[:, None] + nb[None]
     square = total - (2 * a[1]).astype(np.float32)[:, None] * b[1].astype(np.float32)[None] * dots
@@ -285,6 +303,10 @@ def _tile(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
     return near, a[2].astype(np.float32)[:, None] + b[2].astype(np.float32)[None] + rounding
 
 
+def _tile(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    return Tile(a, b).bounds()
+
+
 class Candidates:
     """One shard in a task: rows by cell, quantised once."""
 
@@ -294,7 +316,13 @@ class Candidates:
         order = np.lexsort((ids, cells))
         cells, tiles = cells[order], []
         edges = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True]) if len(cells) else np.zeros(0, int)
+        loose = int(np.searchsorted(cells, len(pivots) // 2))
+        for a in range(loose, len(cells), 2 * s.most_cell):  # no bound excludes loose rows, so their cells are not kept apart
+            b = min(len(cells), a + 2 * s.most_cell)
+            tiles.append((a, b, rows[order[a:b]].mean(0)))
         for a, b in zip(edges, edges[1:]):
+            if a >= loose:
+                break
             if b - a <= s.most_cell:
                 tiles.append((a, b, pivots[cells[a]]))
                 continue
@@ -323,13 +351,13 @@ def exact(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndar
 
 
 def visit(
-    queries: np.ndarray, radius: np.ndarray, found: Candidates, do: Callable, chunk: int = 1024, shrink: int = 0, both: np.ndarray | None = None, theirs: np.ndarray | None = None
+    queries: np.ndarray, radius: np.ndarray, found: Candidates, do: Callable, chunk: int = 128, shrink: int = 0, both: np.ndarray | None = None, theirs: np.ndarray | None = None
 ) -> None:
-    """Call ``do(query indices, tile, approximate distances, bounds)`` for every tile a query may need.
+    """Call ``do(query indices, span of rows, tile)`` for every tile a query may need.
 
     Queries marked in ``both`` also need tiles that hold a row whose own radius, in ``theirs``, they may lie
-    within. ``radius`` is read anew for each tile, so ``do`` may lower it. With ``shrink`` = k, a tile of at least k
-    rows first bounds the query's radius by its k-th smallest upper bound.
+    within. ``radius`` is read anew for each tile, so ``do`` may lower it. With ``shrink`` = k, the first tile of more
+    than k rows bounds an infinite radius by its k-th smallest upper bound.
     """
     for a in range(0, len(queries), chunk):
         q = queries[a : a + chunk]
@@ -345,11 +373,14 @@ def visit(
             mine = np.flatnonzero(far[:, k] - reach <= limit + slack)
             if not len(mine):
                 continue
-            near, bound = _tile(quantise(q[mine] - pivot), packed)
+            tile = Tile(quantise(q[mine] - pivot), packed)
             if shrink and hi - lo > shrink:
-                top = np.partition(near + bound, shrink, axis=1)[:, shrink]  # one more than k: the row itself may be there
-                radius[a + mine] = np.minimum(radius[a + mine], top * (1 + 1e-6) + 1e-9)
-            do(a + mine, (lo, hi), near, bound)
+                new = np.flatnonzero(np.isinf(radius[a + mine]))
+                if len(new):
+                    near, bound = _bounds(tuple(x[new] for x in tile.a), tile.b, tile.dots[new])
+                    top = np.partition(near + bound, shrink, axis=1)[:, shrink]  # one more than k: the row itself may be there
+                    radius[a + mine[new]] = top * (1 + 1e-6) + 1e-9
+            do(a + mine, (lo, hi), tile)
 
 
 class Nearest:
@@ -361,8 +392,8 @@ class Nearest:
         self.square = np.full((len(ids), k), np.inf)
         self.near = np.full((len(ids), k), np.iinfo(np.int64).max)
 
-    def __call__(self, mine: np.ndarray, span: tuple, near: np.ndarray, bound: np.ndarray, keep: np.ndarray | None = None) -> None:
-        hit = near - bound <= self.radius[mine][:, None]
+    def __call__(self, mine: np.ndarray, span: tuple, tile: Tile, keep: np.ndarray | None = None) -> None:
+        hit = tile.within(self.radius[mine])
         if keep is not None:
             hit &= keep
         i, j = np.nonzero(hit)

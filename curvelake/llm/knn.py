@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvelake.llm.blocks import BlockIndex, BlockSettings, Candidates, Nearest, build_index, complete_vectors, distinct_vectors, lists, matrix, numbers, one_a_id, routed, visit, within_shards
+from curvelake.llm.blocks import BlockIndex, BlockSettings, Candidates, Nearest, Tile, build_index, complete_vectors, distinct_vectors, lists, matrix, numbers, one_a_id, routed, visit, within_shards
 from curvelake.session import checkpoint
 
 _FOUND = "id bigint, radius double, near array<bigint>, square array<double>"
@@ -66,11 +66,13 @@ def nearest_distinct(index: BlockIndex, k: int) -> DataFrame:
         offered = (numbers(queries.column("cell")) >= half) & (table.column("cell")[0].as_py() < half)
         met = Nearest(found.ids, found.rows, SimpleNamespace(ids=best.ids, rows=best.queries), k, found.column("radius"))
 
-        def do(mine: np.ndarray, span: tuple, near: np.ndarray, bound: np.ndarray) -> None:
-            best(mine, span, near, bound)
+        def do(mine: np.ndarray, span: tuple, tile: Tile) -> None:
+            best(mine, span, tile)
             new = np.flatnonzero(offered[mine])
             if len(new):
-                i, j = np.nonzero(near[new] - bound[new] <= met.radius[span[0] : span[1]][None])
+                # most rows have small radii: only those that a loose row may come near are looked at
+                most = met.radius[span[0] : span[1]].max()
+                i, j = np.nonzero(tile.within(np.full(len(mine), most))[new])
                 met.merge(span[0] + j, mine[new[i]])
 
         if offered.any():
