@@ -6,6 +6,7 @@ returns a new one. Missing cells are null (NaN is turned into null when a set is
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -189,7 +190,8 @@ class Curves:
         """Values at shared points: splines of a degree, with an extrapolation outside the domain.
 
         ``extrapolation``: None (the spline goes on), ``periodic``, ``bounds``, ``zeros``, ``nan``, ``exception``, or
-        a number to fill with. One-argument sets of one coordinate.
+        a number to fill with. One-argument sets of any number of coordinates; for several arguments see
+        ``evaluate_grid``.
         """
         t = np.asarray(points, float)
         (low, high), x = self.meta.domain[0], self.meta.points
@@ -203,18 +205,35 @@ class Curves:
             t_in = np.clip(t, low, high)
         else:
             t_in = t
-        out = apply_matrix(self.df, nm.spline_matrix(x, t_in, degree or self.meta.interpolation))
+        d = self.meta.codomain
+        out = apply_matrix(self.df, np.kron(nm.spline_matrix(x, t_in, degree or self.meta.interpolation), np.eye(d)))
         fill = {"zeros": 0.0, "nan": None}.get(extrapolation, extrapolation) if extrapolation in ("zeros", "nan") or isinstance(extrapolation, (int, float)) else ...
         if fill is not ... and outside.any():
-            flags = F.array(*[F.lit(bool(o)) for o in outside])
+            flags = F.array(*[F.lit(bool(o)) for o in np.repeat(outside, d)])
             out = out.withColumn("data", F.zip_with("data", flags, lambda v, o: F.when(o, F.lit(fill).cast("double")).otherwise(v)))
         order = np.argsort(t, kind="stable")
         if len(np.unique(t)) == len(t) and (order == np.arange(len(t))).all():
             return Curves(out, self.meta.with_points(t, domain=((min(low, t[0]), max(high, t[-1])),)))
-        return Curves(out, GridMeta.regular(len(t), 0.0, float(max(1, len(t) - 1))))
+        return Curves(out, replace(GridMeta.regular(len(t), 0.0, float(max(1, len(t) - 1))), codomain=d))
 
     to_grid = evaluate
 
+    def evaluate_grid(self, axes, extrapolation: str | None = None, degree: int | tuple[int, ...] | None = None) -> Curves:
+        """Tensor splines of sets of one or more arguments on the product of new ``axes``, an array of points for each argument.
+
+        ``degree`` may differ by argument. ``extrapolation``: None (the spline goes on), ``periodic`` or ``bounds``.
+        """
+        if len(axes) != len(self.meta.axes):
+            raise ValueError("one array of points is needed for each argument")
+        degrees = degree if isinstance(degree, tuple) else (degree or self.meta.interpolation,) * len(axes)
+        m = np.ones((1, 1))
+        for old, new, (low, high), k in zip(self.meta.axes, axes, self.meta.domain, degrees):
+            t = np.asarray(new, float)
+            t = low + np.mod(t - low, high - low) if extrapolation == "periodic" else np.clip(t, low, high) if extrapolation == "bounds" else t
+            m = np.kron(m, nm.spline_matrix(np.array(old), t, k))
+        meta = GridMeta.of(tuple(np.asarray(a, float) for a in axes), tuple((min(lo, float(np.min(a))), max(hi, float(np.max(a)))) for (lo, hi), a in zip(self.meta.domain, axes)), self.meta.codomain)
+        return Curves(apply_matrix(self.df, np.kron(m, np.eye(self.meta.codomain))), meta)
+
     def evaluate_each(self, at: str, out: str = "value", extrapolation: str | None = None) -> DataFrame:
         """The frame with ``out``: linear values of each curve at its own points, an ``array<double>`` column ``at``."""
         (low, high), x = self.meta.domain[0], self.meta.points
@@ -362,14 +381,34 @@ class Irregular:
     def var(self, correction: int = 0) -> DataFrame:
         return self.common_points(F.var_samp if correction else F.var_pop)
 
-    def to_grid(self) -> DataFrame:
-        """``(id, t, v)``: every id at every point that occurs, missing where it has no measurement.
+    def to_curves(self, most_points: int = 10_000) -> Curves:
+        """On the grid of all points that occur, missing where a curve has no measurement; of repeated points the smallest value counts.
 
-        The result has ids times points rows by definition; it stays a DataFrame and is made by one join.
+        The grid is known to the driver, so more than ``most_points`` points are refused.
         """
-        ids, points = self.df.select("id").distinct(), self.df.select("t").distinct()
-        every = ids.crossJoin(points)
-        return every.join(self.df.groupBy("id", "t").agg(F.first("v").alias("v")), ["id", "t"], "left")
+        points = sorted(r["t"] for r in self.df.select("t").distinct().limit(most_points + 1).collect())
+        if len(points) > most_points:
+            raise ValueError(f"a grid of more than {most_points} points; evaluate at chosen points instead")
+        meta = GridMeta.of(points, self.domain)
+        at = F.broadcast(self.df.sparkSession.createDataFrame([(k, t) for k, t in enumerate(points)], "pos int, t double"))
+        cells = self.df.join(at, "t").groupBy("id", "pos").agg(F.min("v").alias("v"))
+        return Curves.from_long(cells, meta)
+
+    def to_grid(self) -> DataFrame:
+        """``(id, t, v)``: every id at every point that occurs, missing where it has no measurement."""
+        curves = self.to_curves()
+        return curves.long().select("id", F.get(constant(curves.meta.points), F.col("pos")).alias("t"), "v")
+
+    def shift(self, delta: float | Column) -> Irregular:
+        """f(t + delta): every point moves by -delta; ``delta`` may be a column of the frame."""
+        return Irregular(self.df.withColumn("t", F.col("t") - (delta if isinstance(delta, Column) else F.lit(float(delta)))))
+
+    def compose(self, inverse: Callable[[Column], Column]) -> Irregular:
+        """f(g(t)) for a monotone g: points move to where g takes them from, which ``inverse`` gives as a column function."""
+        return Irregular(self.df.withColumn("t", inverse(F.col("t"))))
+
+    def where(self, condition) -> Irregular:
+        return Irregular(self.df.where(condition), self.domain)
 
     def trapezoid(self) -> DataFrame:
         """``(id, integral)`` of the broken line through each curve's own points."""
@@ -488,6 +527,28 @@ class BasisCurves:
     def __neg__(self):
         return self * -1.0
 
+    def concatenate(self, *others: BasisCurves) -> BasisCurves:
+        if any(o.basis != self.basis for o in others):
+            raise ValueError("the sets have different bases")
+        return BasisCurves(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [o.df for o in others], self.df), self.basis)
+
+    def where(self, condition) -> BasisCurves:
+        return BasisCurves(self.df.where(condition), self.basis)
+
+    def shift(self, delta: float, points=None) -> BasisCurves:
+        """f(t + delta) where that lies in the domain, the nearest end elsewhere, projected onto the basis from a fine grid."""
+        t = np.linspace(*self.basis.domain, 501) if points is None else np.asarray(points, float)
+        matrix = self.basis.fit_matrix(t) @ self.basis(np.clip(t + delta, *self.basis.domain))
+        return BasisCurves(apply_matrix(self.df, matrix, "coef", "coef"), self.basis)
+
+    def compose(self, inner: Curves) -> Curves:
+        """f(g(t)) for each id on the grid of g, from a fine grid of f."""
+        return self.to_grid().compose(inner)
+
+    def sum(self) -> DataFrame:
+        """``(k, value)``: summed coefficients."""
+        return self.df.select(F.posexplode("coef").alias("k", "c")).groupBy("k").agg(F.sum("c").alias("value"))
+
     def mean(self) -> DataFrame:
         """``(k, value)``: mean coefficients."""
         return self.df.select(F.posexplode("coef").alias("k", "c")).groupBy("k").agg(F.avg("c").alias("value"))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from curvelake.columns import constant
 from curvelake.frames import Curves
 from curvelake.operators.metrics import distances_to, in_blocks, k_neighbours
-from curvelake.operators.ranks import WINDOW_ROWS, rank_counts
+from curvelake.operators.ranks import WINDOW_ROWS, first_rows, quantiles, rank_counts
 from curvelake.operators.stats import moments
+from curvelake.session import checkpoint
 
 #: reference curves that the quadratic band depth accepts
 BAND_LIMIT = 10_000
@@ -102,15 +103,12 @@ def distance_depth(curves: Curves, centre=None, p: float = 2) -> DataFrame:
     return distances_to(curves, centre, "d", p).select("id", (1 / (1 + F.col("d"))).alias("depth"))
 
 
-def stahel_donoho(curves: Curves) -> DataFrame:
-    """``(id, pos, outlyingness)``: distance to the median over the median distance, at each point.
-
-    Medians are exact aggregates by grid point, merged from the tasks' value counts.
-    """
-    cells = curves.long().where("v is not null")
-    middle = cells.groupBy("pos").agg(F.median("v").alias("m"))
+def stahel_donoho(curves: Curves, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """``(id, pos, outlyingness)``: distance to the median over the median distance, at each point; medians are exact."""
+    cells, rows = curves.long().where("v is not null"), curves.df.count()
+    middle = quantiles(cells, [0.5], rows, window_rows).select("pos", F.get("q", F.lit(0)).alias("m"))
     off = cells.join(F.broadcast(middle), "pos").withColumn("off", F.abs(F.col("v") - F.col("m")))  # a row a grid point
-    spread = off.groupBy("pos").agg(F.median("off").alias("mad"))
+    spread = quantiles(off.select("pos", F.col("off").alias("v")), [0.5], rows, window_rows).select("pos", F.get("q", F.lit(0)).alias("mad"))
     return off.join(F.broadcast(spread), "pos").select("id", "pos", F.when(F.col("off") == 0, 0.0).otherwise(F.try_divide("off", "mad")).alias("outlyingness"))
 
 
@@ -121,7 +119,7 @@ def projection_depth(curves: Curves) -> DataFrame:
 
 def deepest(depths: DataFrame, k: int) -> DataFrame:
     """The k deepest ids; depths are rounded first and ties go to the smaller id."""
-    return depths.orderBy(F.round("depth", DEPTH_DIGITS).desc(), F.col("id")).limit(k)
+    return first_rows(depths, [F.round("depth", DEPTH_DIGITS).desc(), F.col("id")], k)
 
 
 def depth_median(curves: Curves, depths: DataFrame | None = None) -> Curves:
@@ -159,7 +157,7 @@ def outliergram(curves: Curves, factor: float = 1.5) -> DataFrame:
     a = F.lit(-2.0) / (F.col("n") * (F.col("n") - 1))
     middle = F.lit(2.0) * (F.col("n") + 1) / (F.col("n") - 1)
     both = both.withColumn("distance", a + middle * F.col("mei") + F.col("n") * F.col("n") * a * F.col("mei") * F.col("mei") - F.col("mbd"))
-    quartiles = both.agg(F.percentile("distance", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    quartiles = quantiles(both.select(F.lit(0).alias("pos"), F.col("distance").alias("v")), [0.25, 0.75], curves.df.count()).select("q")
     limit = F.get("q", F.lit(1)) + factor * (F.get("q", F.lit(1)) - F.get("q", F.lit(0)))
     return both.join(F.broadcast(quartiles)).select("id", "mbd", "mei", "distance", (F.col("distance") > limit).alias("is_outlier"))
 
@@ -194,20 +192,40 @@ def fast_mcd(points: np.ndarray, seed: int = 0, starts: int = 200) -> tuple[np.n
     return points[pick].mean(0), np.cov(points[pick].T, bias=True) + 1e-12 * np.eye(d)
 
 
+def _concentrated(points: DataFrame, n: int, centre: np.ndarray, scatter: np.ndarray, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Concentration steps over all points: moments of the half nearest to the centre, until they stay."""
+    a, b = F.col("mean_outlyingness"), F.col("variation")
+    for _ in range(rounds):
+        inverse = np.linalg.inv(scatter)
+        x, y = a - float(centre[0]), b - float(centre[1])
+        squared = F.round(x * x * float(inverse[0, 0]) + x * y * float(2 * inverse[0, 1]) + y * y * float(inverse[1, 1]), 10)
+        half = first_rows(points.withColumn("_d", squared), [F.col("_d"), F.col("id")], (n + 3) // 2)
+        r = half.agg(F.avg(a).alias("a"), F.avg(b).alias("b"), F.var_pop(a).alias("aa"), F.var_pop(b).alias("bb"), F.covar_pop(a, b).alias("ab")).first()
+        new = np.array([r["a"], r["b"]])
+        moved = np.abs(new - centre).max()
+        centre, scatter = new, np.array([[r["aa"], r["ab"]], [r["ab"], r["bb"]]]) + 1e-12 * np.eye(2)
+        if moved < 1e-12:
+            break
+    return centre, scatter
+
+
 def ms_plot_outliers(curves: Curves, share: float = 0.993, sample: int = 20_000, seed: int = 0) -> DataFrame:
     """``(id, mean_outlyingness, variation, robust_distance, is_outlier)``.
 
-    The robust centre and scatter of the (mean, variation) points come from a sample of at most ``sample`` of them;
-    all curves are judged. The cut is the chi-square quantile of ``share`` for two dimensions, scaled by the median.
+    The robust centre and scatter of the (mean, variation) points start from about ``sample`` of them, drawn by a
+    hash, and are then concentrated over all points; all curves are judged. The cut is the chi-square quantile of ``share`` for two dimensions, scaled by the median.
     """
     points = directional_outlyingness(curves)
-    got = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).toPandas()
-    centre, scatter = fast_mcd(got[["mean_outlyingness", "variation"]].to_numpy(float), seed)
+    points = checkpoint(points.where("mean_outlyingness is not null and variation is not null"))
+    n = points.count()
+    drawn = points.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2**30)) < int(min(1.0, sample / max(1, n)) * 2**30)).orderBy("id").toPandas()
+    centre, scatter = fast_mcd(drawn[["mean_outlyingness", "variation"]].to_numpy(float), seed)
+    centre, scatter = _concentrated(points, n, centre, scatter)
     inverse = np.linalg.inv(scatter)
     a, b = F.col("mean_outlyingness") - float(centre[0]), F.col("variation") - float(centre[1])
     squared = a * a * float(inverse[0, 0]) + a * b * float(2 * inverse[0, 1]) + b * b * float(inverse[1, 1])
     scored = points.withColumn("robust_distance", squared)
-    middle = scored.agg(F.median("robust_distance").alias("m"))
+    middle = quantiles(scored.select(F.lit(0).alias("pos"), F.col("robust_distance").alias("v")), [0.5], curves.df.count()).select(F.get("q", F.lit(0)).alias("m"))
     cut = -2 * math.log(1 - share) / (-2 * math.log(0.5))
     return scored.join(F.broadcast(middle)).select("id", "mean_outlyingness", "variation", "robust_distance", (F.col("robust_distance") > cut * F.col("m")).alias("is_outlier"))
 

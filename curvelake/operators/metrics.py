@@ -2,8 +2,8 @@
 
 Norms and distances of matched curves are expressions of one row. A set of query curves is compared with all
 curves in blocks: a block of queries, of checked size, goes to every task, which compares it with its rows
-and returns only what was asked for (the k best, those in a radius). Larger query sets are taken in several
-blocks.
+and returns only what was asked for (the k best, those in a radius). Larger query sets are cut into blocks, as
+are the rows, and each pair of blocks is the work of a task.
 """
 
 from __future__ import annotations
@@ -116,28 +116,42 @@ def block_distances(q: np.ndarray, x: np.ndarray, w: np.ndarray, metric: str, p:
     return out
 
 
-def in_blocks(queries: Curves, rows: Curves, work: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, query_columns: list[str] | None = None, row_columns: list[str] | None = None) -> DataFrame:
-    """Run ``work(query frame, query matrix, row frame, row matrix)`` for every block of queries and batch of rows."""
+def in_blocks(queries: Curves, rows: Curves, work: Callable[[pd.DataFrame, np.ndarray, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, query_columns: list[str] | None = None, row_columns: list[str] | None = None, block_bytes: int | None = None) -> DataFrame:
+    """Run ``work(query frame, query matrix, row frame, row matrix)`` for every block of queries and batch of rows.
+
+    Queries of up to ``block_bytes`` go to every task. More of them, and the rows, are cut into blocks of that
+    size, and each pair of blocks is the work of one task; none passes through the driver.
+    """
+    block_bytes = BLOCK_BYTES if block_bytes is None else block_bytes
     queries._same_grid(rows)
     size = rows.meta.size
     asked = queries.df.select("id", "data", *(query_columns or []))
     data = rows.df.select("id", "data", *(row_columns or []))
-    n = asked.count()
-    blocks = max(1, -(-n * size * 8 // BLOCK_BYTES))
-    parts = []
-    for k in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
-        frame = part.toPandas()
+    blocks = max(1, -(-asked.count() * size * 8 // block_bytes))
+    if blocks == 1:  # the query set is small: it goes to every task, and the rows stay where they are
+        frame = asked.toPandas()
         q = matrix_of(frame["data"], size)
         frame = frame.drop(columns="data")
 
-        def run(batches: Iterator[pd.DataFrame], frame=frame, q=q) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b) and len(frame):
                     yield work(frame, q, b.drop(columns="data"), matrix_of(b["data"], size))
 
-        parts.append(data.mapInPandas(run, schema))
-    return reduce(DataFrame.unionByName, parts)
+        return data.mapInPandas(run, schema)
+    groups = max(1, -(-data.count() * size * 8 // block_bytes))
+    left = asked.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = data.toDF(*[f"r_{c}" for c in data.columns]).withColumn("_group", F.pmod(F.xxhash64("r_id", F.lit(1)), F.lit(groups)).cast("int"))
+    right = right.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    own, other = list(asked.columns), list(data.columns)
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.rename(columns={f"r_{c}": c for c in other})[other]
+        q, frame = matrix_of(a["data"], size), a[own].drop(columns="data").reset_index(drop=True)
+        made = [work(frame, q, c.drop(columns="data").reset_index(drop=True), matrix_of(c["data"], size)) for c in (b.iloc[k : k + 4096] for k in range(0, len(b), 4096))] if len(a) else []
+        return pd.concat(made) if made else pd.DataFrame({x.split()[0]: [] for x in schema.split(", ")})
+
+    return left.groupBy("_block", "_group").cogroup(right.groupBy("_block", "_group")).applyInPandas(pair, schema)
 
 
 def k_neighbours(queries: Curves, rows: Curves, k: int, metric: str = "l2", p: float = 2, skip_self: bool = True, carry: list[str] | None = None) -> DataFrame:

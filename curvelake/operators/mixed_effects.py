@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from curvelake.basis import Basis
 from curvelake.frames import BasisCurves, Irregular
 from curvelake.numerics import report_unfinished
+from curvelake.operators.stats import added
 from curvelake.session import checkpoint
 
 
@@ -78,7 +79,8 @@ def fit_mixed_effects(curves: Irregular, basis: Basis, max_iter: int = 100, tol:
                     sums += np.r_[1, len(t), (cov + np.outer(mean, mean)).ravel(), (x.T @ w[:, :-1]).ravel(), x.T @ w[:, -1], noise]
             yield pd.DataFrame({"s": [sums]})
 
-        total = sum((np.array(r["s"]) for r in grouped.mapInPandas(part, "s array<double>").toLocalIterator()), np.zeros(3 + 2 * p * p + p))
+        total = added(grouped.mapInPandas(part, "s array<double>"), "s")
+        total = np.zeros(3 + 2 * p * p + p) if total is None else total
         n, m = total[0], total[1]
         if not n:
             raise ValueError("no curve has a value")

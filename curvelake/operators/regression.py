@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from curvelake.basis import Basis
 from curvelake.columns import apply_matrix, constant
 from curvelake.frames import Curves
-from curvelake.functions.kernels import COLUMNS
+from curvelake.functions.kernels import ARRAYS
 from curvelake.meta import GridMeta
 from curvelake.operators.classification import _weight
-from curvelake.operators.metrics import k_neighbours, radius_neighbours
+from curvelake.operators.metrics import block_distances, in_blocks, k_neighbours, radius_neighbours
 from curvelake.operators.reduction import fpca, fpls
-from curvelake.operators.stats import moments
+from curvelake.operators.stats import added, moments
 
 
 @dataclass(frozen=True)
@@ -68,11 +68,11 @@ def linear_regression(
                 z, yy, ww = z[ok], b["y"].to_numpy()[ok], b["w"].to_numpy()[ok]
                 gram += z.T @ (z * ww[:, None])
                 right += z.T @ (yy * ww)
-        yield pd.DataFrame({"g": [gram.ravel()], "r": [right]})
+        yield pd.DataFrame({"s": [np.r_[gram.ravel(), right]]})
 
-    gram, right = np.zeros((p, p)), np.zeros(p)
-    for r in rows.mapInPandas(part, "g array<double>, r array<double>").toLocalIterator():
-        gram, right = gram + np.array(r["g"]).reshape(p, p), right + np.array(r["r"])
+    sums = added(rows.mapInPandas(part, "s array<double>"), "s")
+    sums = np.zeros(p * p + p) if sums is None else sums
+    gram, right = sums[: p * p].reshape(p, p), sums[p * p :]
     if smoothing and basis is not None:
         gram[p - n_z :, p - n_z :] += smoothing * basis.penalty(order)
     c = np.linalg.lstsq(gram, right, rcond=1e-12)[0]
@@ -122,9 +122,17 @@ def historical_regression(response: Curves, predictor: Curves, n_intervals: int
 
 def kernel_regression(queries: Curves, train: Curves, y: str, bandwidth: float, kernel: str = "normal") -> DataFrame:
     """``(id, predicted)``: Nadaraya-Watson over L2 distances; null where no training curve has a weight."""
-    found = radius_neighbours(queries, train, float("inf"), skip_self=False, carry=[y])
-    w = COLUMNS[kernel](F.col("distance") / bandwidth)
-    return found.withColumn("w", w).groupBy(F.col("query").alias("id")).agg(F.try_divide(F.sum(F.col("w") * F.col(y)), F.sum("w")).alias("predicted"))
+    w = queries.weights()
+
+    def summed(frame, q, b, x):
+        k = ARRAYS[kernel](block_distances(q, x, w, "l2") / bandwidth)
+        target = b[y].to_numpy(float)
+        ok = np.isfinite(target)
+        k = np.where(np.isnan(k), 0, k)[:, ok]
+        return pd.DataFrame({"id": frame["id"].to_numpy(), "top": k @ target[ok], "bottom": k.sum(1)})
+
+    sums = in_blocks(queries, train, summed, f"id {dict(queries.df.dtypes)['id']}, top double, bottom double", row_columns=[y])
+    return sums.groupBy("id").agg(F.try_divide(F.sum("top"), F.sum("bottom")).alias("predicted"))
 
 
 def knn_regress(queries: Curves, train: Curves, y: str, k: int = 5, metric: str = "l2", weights: str = "uniform") -> DataFrame:

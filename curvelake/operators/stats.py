@@ -6,17 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvelake.columns import constant
 from curvelake.frames import Curves
 from curvelake.numerics import report_unfinished
 from curvelake.operators.metrics import distances_to
+from curvelake.operators.ranks import running_total
 
 
-#: tasks that add up the parts of the others before the driver does
-MERGE_TASKS = 8
+#: tasks that add up the parts of the others before the driver does, round by round
+MERGE_TASKS = (64, 8)
 
 
 def pointwise(curves: Curves, by: list[str] | None = None, **statistics: Column) -> DataFrame:
@@ -90,7 +91,10 @@ def moments(curves: Curves, condition: Column | None = None) -> tuple[int, np.nd
             yield pd.DataFrame({"n": [done[0]], "mean": [done[1]], "scatter": [done[2].ravel()]})
 
     schema = "n bigint, mean array<double>, scatter array<double>"
-    few = rows.mapInPandas(part, schema).repartition(MERGE_TASKS).mapInPandas(merge, schema).collect()  # a row a merging task
+    few = rows.mapInPandas(part, schema)
+    for n in MERGE_TASKS:
+        few = few.repartition(n).mapInPandas(merge, schema)
+    few = few.collect()  # a row a merging task
     return add_moments(((r["n"], r["mean"], r["scatter"]) for r in few), size)
 
 
@@ -105,6 +109,23 @@ def add_moments(parts, size: int) -> tuple[int, np.ndarray, np.ndarray]:
     return n, mean, scatter
 
 
+def added(parts: DataFrame, column: str) -> np.ndarray | None:
+    """Sum of an ``array<double>`` column, one row a task, added up in rounds; None without rows."""
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for b in batches:
+            for x in b[column]:
+                total = np.array(x, float) if total is None else total + x
+        if total is not None:
+            yield pd.DataFrame({column: [total]})
+
+    for n in MERGE_TASKS:
+        parts = parts.select(column).repartition(n).mapInPandas(merge, f"{column} array<double>")
+    rows = parts.collect()  # a row a merging task
+    return sum(np.array(r[column]) for r in rows) if rows else None
+
+
 def covariance(curves: Curves, correction: int = 0) -> np.ndarray:
     n, _, scatter = moments(curves)
     return scatter / max(1, n - correction)
@@ -120,17 +141,9 @@ def covariance_frame(curves: Curves, correction: int = 0) -> DataFrame:
 def cumulative_sum(curves: Curves) -> DataFrame:
     """``(id, pos, value)``: sums over the curves up to each id, in the order of ids.
 
-    Ids are cut into ranges; a range is summed by itself and moved by the totals of those before it.
+    Cells are range-partitioned by point and id; a range is summed by itself and moved by the totals of those before it.
     """
-    cells = curves.long().select("id", "pos", "v")
-    edges = curves.df.stat.approxQuantile("id", [i / 16 for i in range(1, 16)], 0.01) if dict(curves.df.dtypes)["id"] in ("int", "bigint", "double") else []
-    part = sum((F.when(F.col("id") > F.lit(e), 1).otherwise(0) for e in edges), F.lit(0))
-    cells = cells.withColumn("part", part)
-    sums = cells.groupBy("pos", "part").agg(F.sum("v").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy("pos").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    inside = Window.partitionBy("pos", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    out = cells.join(F.broadcast(sums.select("pos", "part", before.alias("before"))), ["pos", "part"])  # at most 16 rows a grid point
-    return out.select("id", "pos", (F.col("before") + F.sum("v").over(inside)).alias("value"))
+    return running_total(curves.long().select("id", "pos", "v"), "pos", "id", "v").select("id", "pos", F.col("upto").alias("value"))
 
 
 def spread(curves: Curves) -> float:
