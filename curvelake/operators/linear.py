@@ -19,6 +19,11 @@ def matrix_operator(curves: Curves, matrix: np.ndarray, points=None) -> Curves:
     return Curves(apply_matrix(curves.df, matrix), meta)
 
 
+def identity_matrix(size: int) -> np.ndarray:
+    """The matrix of the operator that leaves curves as they are."""
+    return np.eye(size)
+
+
 def differential_operator_matrix(points, weights) -> np.ndarray:
     """Sum of w_i(t) D^i on a grid; a weight is a number or a function of the points."""
     if not len(weights):

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvelake.columns import constant
-from curvelake.frames import Curves, Irregular
+from curvelake.frames import BasisCurves, Curves, Irregular
 
 TINY = 2.220446049250313e-16
 
@@ -68,9 +69,23 @@ def r2(true: Curves, pred: Curves, weight: str | None = None, raw: bool = False)
     return _finish(cells.groupBy("pos").agg(_mean(e * e).alias("a"), _second(y).alias("b")).select("pos", _ratio(F.col("a"), F.col("b")).alias("score")), true, raw)
 
 
+def basis_score(true: BasisCurves, pred: BasisCurves, kind: str = "squared", points: int = 501) -> DataFrame:
+    """``score`` of curves in bases, on a fine grid of their domain: a kind of ``pointwise_error``, ``r2`` or ``explained``."""
+    at = np.linspace(*true.basis.domain, points)
+    a, b = true.to_grid(at), pred.to_grid(at)
+    return {"r2": r2, "explained": explained_variance}[kind](a, b) if kind in ("r2", "explained") else pointwise_error(a, b, kind)
+
+
 def irregular_error(true: Irregular, pred: Irregular, kind: str = "squared") -> DataFrame:
-    """``score``: the average over each curve's own range by the trapezoid rule, then over curves."""
-    off = true.combine(pred, lambda y, p: (y - p) * (y - p) if kind == "squared" else F.abs(y - p))
+    """``score``: the average over each curve's own range by the trapezoid rule, then over curves.
+
+    kind: as of ``pointwise_error``.
+    """
+    error = {
+        "squared": lambda y, p: (y - p) * (y - p), "absolute": lambda y, p: F.abs(y - p),
+        "percentage": lambda y, p: F.abs(y - p) / F.greatest(F.abs(y), F.lit(TINY)), "squared_log": lambda y, p: F.pow(F.log1p(y) - F.log1p(p), F.lit(2.0)),
+    }[kind]
+    off = true.combine(pred, error)
     span = off.df.groupBy("id").agg((F.max("t") - F.min("t")).alias("span"), F.avg("v").alias("flat"))
     each = off.trapezoid().join(span, "id").select(F.when(F.col("span") > 0, F.col("integral") / F.col("span")).otherwise(F.col("flat")).alias("e"))
     return each.agg(F.avg("e").alias("score"))

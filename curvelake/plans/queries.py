@@ -267,9 +267,9 @@ def restrict_domain(spark, d):
 
 @query(f"""with {U}, k as (select id, pos, v, last_value(case when v is not null then (pos, v) end ignore nulls) over (partition by id order by pos) as l,
     last_value(case when v is not null then (pos, v) end ignore nulls) over (partition by id order by pos desc) as r from u)
-    select id, pos, round(case when l is null then r[2] when r is null or r[1] = l[1] then l[2] else l[2] + (r[2] - l[2]) * (pos - l[1]) / (r[1] - l[1]) end + 0.0000123, 4) as v from k""")
+    select id, pos, round(case when l is null then r[2] when r is null or r[1] = l[1] then l[2] else l[2] + (r[2] - l[2]) * (pos - l[1]) / (r[1] - l[1]) end, 9) as v from k""")
 def fill_missing_cells(spark, d):
-    return ms.fill_missing(user_hours(spark, d)).long().select("id", "pos", _r(F.col("v") + 0.0000123, 4).alias("v"))
+    return ms.fill_missing(user_hours(spark, d)).long().select("id", "pos", _r("v", 9).alias("v"))
 
 
 @query(f"with {E} select id, pos, round(exp(v), 6) as e, round(abs(v), 6) as a, round(2 * v - 1, 6) as l from e")
@@ -373,12 +373,6 @@ def classify_depth(spark, d):
     return cl.maximum_depth(_queries(e), e, "label")
 
 
-@query()
-def classify_trimmed(spark, d):
-    e = embeddings(spark, d)
-    return cl.dtm_classify(e, e, "label", 0.2)
-
-
 @query()
 def classify_quadratic(spark, d):
     e = embeddings(spark, d)
@@ -507,11 +501,6 @@ def basis_integral(spark, d):
     return embeddings(spark, d).to_basis(_WAVES).integrate().select("id", _r("integral").alias("integral"))
 
 
-@query()
-def basis_derivative(spark, d):
-    return embeddings(spark, d).to_basis(_SPLINES).derivative().to_grid(np.linspace(0, 1, 21)).df
-
-
 @query(f"""with {S}, {_matrix(np.eye(12) - sm.NadarayaWatson(1.5).hat(S_GRID.points))}, r as (select id, i, sum(v * c) as e from s join m using (pos) group by 1, 2)
     select round(-avg(e * e) * {float(sm.PENALTIES["gcv"](sm.NadarayaWatson(1.5).hat(S_GRID.points)))!r} / 1e6, 4) as score from r""")
 def smooth_validation(spark, d):
@@ -599,11 +588,6 @@ def irregular_trapezoid(spark, d):
     return user_stream(spark, d).trapezoid().select("id", _r("integral", 4).alias("integral"))
 
 
-@query()
-def irregular_simpson(spark, d):
-    return user_stream(spark, d).integrate()
-
-
 @query(f"with {O} select id, t, round(v, 2) as v from o where t between 1000 and 2000")
 def irregular_restrict(spark, d):
     return customer_orders(spark, d).restrict(1000, 2000).df.select("id", "t", _r("v", 2).alias("v"))

@@ -7,10 +7,11 @@ import pytest
 
 import __spark_entry__ as entry
 from curvelake.core import queries as core
+from curvelake.plans import further
 from curvelake.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"
-KNOWN = core.ORACLE | plans.ORACLE
+KNOWN = core.ORACLE | plans.ORACLE | further.ORACLE
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test data is not here")
 
 
