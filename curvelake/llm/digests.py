@@ -8,7 +8,7 @@ below and up to each estimate: the reported rank error is exact.
 
 Curves stay whole on their way: a task takes the cells of a batch apart by coordinate, station and grid
 point in memory, so a cell is sent once, not once a group, and a group of any size is the work of all
-tasks. What leaves a task is a digest, or 14 counts, a group.
+tasks. What leaves a task is a digest, or a few counts, a group.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvelake.session import checkpoint
@@ -38,7 +38,7 @@ class DigestSettings:
     task_buffer: int = 2_000_000
     #: digests that are merged at once
     fan_in: int = 64
-    #: groups whose estimates are sent to all tasks for the counting pass; more are joined to the values
+    #: groups whose estimates are sent to all tasks for a counting pass; more groups take more passes
     most_broadcast: int = 100_000
 
 
@@ -112,41 +112,55 @@ class _Digester:
 
 
 class _Counter:
-    """Values below and up to each estimate, by key, of one task."""
+    """Values below and up to each estimate, and the nearest values on both sides with their counts, by key, of one task."""
 
     def __init__(self, keys: list[str], estimates: dict, percentiles: int):
-        self.keys, self.sorted, self.counts = keys, {}, {}
-        for key, e in estimates.items():
-            order = np.argsort(e, kind="stable")
-            self.sorted[key] = (np.asarray(e, float)[order], order)
-        self.k = percentiles
+        self.keys, self.estimates, self.counts, self.k = keys, {x: np.asarray(e, float) for x, e in estimates.items()}, {}, percentiles
 
     def add(self, key: tuple, values: np.ndarray) -> None:
-        self.add_weighted(key, values, None)
+        if key in self.estimates:
+            self._count(key, np.sort(values), None)
 
-    def add_weighted(self, key: tuple, values: np.ndarray, weights: np.ndarray | None) -> None:
-        if key not in self.sorted:
+    def add_weighted(self, key: tuple, values: np.ndarray, weights: np.ndarray) -> None:
+        if key in self.estimates:
+            order = np.argsort(values, kind="stable")
+            self._count(key, values[order], np.r_[0, np.cumsum(weights[order])])
+
+    def _count(self, key: tuple, v: np.ndarray, upto: np.ndarray | None) -> None:
+        rank = (lambda i: i) if upto is None else (lambda i: upto[i])
+        e = self.estimates[key]
+        left, right = np.searchsorted(v, e, "left"), np.searchsorted(v, e, "right")
+        ends = np.r_[-np.inf, v, np.inf]
+        low, high = ends[left], ends[right + 1]
+        n_low = np.where(left > 0, rank(left) - rank(np.searchsorted(v, low, "left")), 0)
+        n_high = np.where(right < len(v), rank(np.searchsorted(v, high, "right")) - rank(right), 0)
+        new = np.array([rank(left), rank(right), low, n_low, high, n_high], float)
+        old = self.counts.get(key)
+        if old is None:
+            self.counts[key] = new
             return
-        e, order = self.sorted[key]
-        below = np.cumsum(np.bincount(np.searchsorted(e, values, "right"), weights, self.k + 1))[: self.k]
-        upto = np.cumsum(np.bincount(np.searchsorted(e, values, "left"), weights, self.k + 1))[: self.k]
-        got = self.counts.setdefault(key, np.zeros((2, self.k), np.int64))
-        got[0, order] += np.rint(below).astype(np.int64)
-        got[1, order] += np.rint(upto).astype(np.int64)
+        old[:2] += new[:2]
+        for at, further in ((2, np.greater), (4, np.less)):
+            better = further(new[at], old[at])
+            old[at + 1] = np.where(better, new[at + 1], old[at + 1] + np.where(new[at] == old[at], new[at + 1], 0))
+            old[at] = np.where(better, new[at], old[at])
 
     def full(self) -> bool:
         return False
 
     def emit(self) -> Iterator[pa.RecordBatch]:
         if self.counts:
-            longs = pa.list_(pa.int64())
             names, made = list(zip(*self.counts)), list(self.counts.values())
+            kinds = [pa.list_(pa.float64() if k in (2, 4) else pa.int64()) for k in range(6)]
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(n, pa.string()) for n in names], pa.array([c[0] for c in made], longs), pa.array([c[1] for c in made], longs)], names=[*self.keys, "below", "upto"]
+                [*[pa.array(n, pa.string()) for n in names], *[pa.array([c[k] if k in (2, 4) else np.rint(c[k]).astype(np.int64) for c in made], kinds[k]) for k in range(6)]], names=[*self.keys, *_COUNTS],
             )
             self.counts.clear()
 
 
+_COUNTS = ("below", "upto", "low", "n_low", "high", "n_high")
+
+
 def _split(codes: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The values of every code (0 and up; others are left out)."""
     kept = codes >= 0
@@ -294,60 +308,74 @@ def estimates(merged: DataFrame, keys: list[str], percentiles: tuple = PERCENTIL
     return merged.mapInPandas(solve, f"{kind}, n bigint, estimates array<double>")
 
 
-def _known(found: DataFrame, keys: list[str], s: DigestSettings) -> dict | None:
-    """The estimates by key, or None if there are too many groups to send them to all tasks."""
-    if found.limit(s.most_broadcast + 1).count() > s.most_broadcast:
-        return None
-    return {tuple(r[k] for k in keys): r["estimates"] for r in found.select(*keys, "estimates").collect()}
-
-
 def _certificates(counted: DataFrame, keys: list[str], percentiles: tuple) -> DataFrame:
-    """``counted (*keys, n, estimates, below, upto)`` as a row a percentile."""
-    at = lambda c, i: F.get(c, F.lit(i))
-    each = F.array(*[F.struct(F.lit(float(q)).alias("percentile"), at("estimates", i).alias("value"), at("below", i).alias("rank_below"), at("upto", i).alias("rank_upto")) for i, q in enumerate(percentiles)])
-    wanted = F.col("percentile") * (F.col("n") - 1)
-    # an estimate between two values has no rank of its own: it stands between rank_below - 1 and rank_below
-    low = F.when(F.col("rank_below") < F.col("rank_upto"), F.col("rank_below")).otherwise(F.col("rank_below") - 1)
-    high = F.when(F.col("rank_below") < F.col("rank_upto"), F.col("rank_upto") - 1).otherwise(F.col("rank_below"))
-    error: Column = F.greatest(F.lit(0.0), low - wanted, wanted - high) / F.col("n")
-    return counted.select(*keys, "n", F.explode(each).alias("e")).select(*keys, "e.percentile", "n", "e.value", "e.rank_below", "e.rank_upto").withColumn("rank_error", error)
+    """``counted (*keys, n, k, estimate, below, upto, low, n_low, high, n_high)`` as certified rows.
 
-
-def _summed(parts: DataFrame, found: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """``(*keys, n, estimates, below, upto)`` from the counts of tasks."""
-    flat = parts.select(*keys, *[F.get(c, F.lit(i)).alias(f"{c}{i}") for c in ("below", "upto") for i in range(k)])
-    sums = flat.groupBy(*keys).agg(*[F.sum(f"{c}{i}").alias(f"{c}{i}") for c in ("below", "upto") for i in range(k)])
-    sums = sums.select(*[F.col(x).alias(f"_{x}") for x in keys], *[F.array(*[f"{c}{i}" for i in range(k)]).alias(c) for c in ("below", "upto")])
+    Of the estimate and the two values next to it, the one nearest to the wanted rank stands.
+    """
+    wanted = F.get(F.array(*[F.lit(float(q)) for q in percentiles]), F.col("k")) * (F.col("n") - 1)
+    # an estimate between two values has no rank of its own: it stands between rank_below - 1 and rank_below
+    inside = F.col("below") < F.col("upto")
+    choices = [
+        (F.lit(0), F.col("estimate"), F.col("below"), F.col("upto"), F.when(inside, F.col("below")).otherwise(F.col("below") - 1), F.when(inside, F.col("upto") - 1).otherwise(F.col("below"))),
+        (F.lit(1), F.col("low"), F.col("below") - F.col("n_low"), F.col("below"), F.col("below") - F.col("n_low"), F.col("below") - 1),
+        (F.lit(2), F.col("high"), F.col("upto"), F.col("upto") + F.col("n_high"), F.col("upto"), F.col("upto") + F.col("n_high") - 1),
+    ]
+    error = lambda first, last: F.greatest(F.lit(0.0), first - wanted, wanted - last) / F.col("n")
+    each = F.array(*[F.struct(error(first, last).alias("rank_error"), turn.alias("turn"), value.alias("value"), below.alias("rank_below"), upto.alias("rank_upto")) for turn, value, below, upto, first, last in choices])
+    best = F.array_min(F.filter(each, lambda x: F.abs(x["value"]) < float("inf")))
+    named = counted.select(*keys, F.get(F.array(*[F.lit(float(q)) for q in percentiles]), F.col("k")).alias("percentile"), "n", best.alias("b"))
+    return named.select(*keys, "percentile", "n", "b.value", "b.rank_below", "b.rank_upto", "b.rank_error")
+
+
+def _certify(found: DataFrame, keys: list[str], percentiles: tuple, s: DigestSettings, count: Callable[[dict], DataFrame]) -> DataFrame:
+    """Count against the estimates of ``found``, sent to all tasks, in as many passes as their number needs."""
+    found = checkpoint(found)
+    passes = max(1, -(-found.count() // s.most_broadcast))
+    turn = F.pmod(F.xxhash64(*keys), F.lit(passes))
+    parts = None
+    for k in range(passes):
+        known = {tuple(r[x] for x in keys): r["estimates"] for r in found.where(turn == k).select(*keys, "estimates").collect()}
+        one = count(known)
+        parts = one if parts is None else parts.unionByName(one)
+    flat = parts.select(*keys, F.posexplode(F.arrays_zip(*_COUNTS)).alias("k", "c")).select(*keys, "k", "c.*")
+    sums = flat.groupBy(*keys, "k").agg(F.sum("below").alias("below"), F.sum("upto").alias("upto"))
+    for side, best in (("low", F.max), ("high", F.min)):
+        same = flat.groupBy(*keys, "k", side).agg(F.sum(f"n_{side}").alias("n"))
+        ends = same.groupBy(*keys, "k").agg((F.max_by if best is F.max else F.min_by)(F.struct(F.col(side), "n"), side).alias("e"))
+        ends = ends.select(*[F.col(x).alias(f"_{x}") for x in (*keys, "k")], F.col(f"e.{side}").alias(side), F.col("e.n").alias(f"n_{side}"))
+        sums = _null_safe(sums, ends, [*keys, "k"])
+    named = found.select(*[F.col(x).alias(f"_{x}") for x in keys], "n", F.posexplode("estimates").alias("_k", "estimate"))
+    return _certificates(_null_safe(sums, named, [*keys, "k"]), keys, percentiles)
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     on = F.lit(True)
     for x in keys:
         on = on & F.col(x).eqNullSafe(F.col(f"_{x}"))
-    return found.join(sums, on).select(*keys, "n", "estimates", "below", "upto")  # a row a group on either side
+    return left.join(right, on).drop(*[f"_{x}" for x in keys])  # a row a group and percentile on either side
+
+
+def _counts_kind(keys: list[str]) -> str:
+    return ", ".join(f"{x} string" for x in keys) + ", below array<bigint>, upto array<bigint>, low array<double>, n_low array<bigint>, high array<double>, n_high array<bigint>"
 
 
 def certified(values: DataFrame, found: DataFrame, keys: list[str], value_column: str = "value", percentiles: tuple = PERCENTILES, settings: DigestSettings | None = None) -> DataFrame:
     """``(*keys, percentile, n, value, rank_below, rank_upto, rank_error)``: the counting pass.
 
-    ``rank_below`` and ``rank_upto`` count the group's values less than, and not above, the estimate. The wanted
-    rank is ``percentile * (n - 1)``; ``rank_error`` is how far, as a share of n, it lies outside the ranks
-    ``rank_below .. rank_upto - 1`` that the estimate takes (0 if inside; an estimate between two values takes
+    ``value`` is the estimate, or the value of the group next to it if that is nearer to the wanted rank, which is
+    ``percentile * (n - 1)``. ``rank_below`` and ``rank_upto`` count the group's values less than, and not above,
+    it. ``rank_error`` is how far, as a share of n, the wanted rank lies outside the ranks
+    ``rank_below .. rank_upto - 1`` that the value takes (0 if inside; an estimate between two values takes
     the place between them).
     """
     s, k = settings or DigestSettings(), len(percentiles)
-    found = checkpoint(found)
     rows = _strings(values, keys, value_column)
-    known = _known(found, keys, s)
-    if known is not None:
-        work = _collect(lambda t, into: _of_values(t, keys, into), lambda: _Counter(keys, known, k))
-        parts = rows.mapInArrow(work, ", ".join(f"{x} string" for x in keys) + ", below array<bigint>, upto array<bigint>")
-        return _certificates(_summed(parts, found, keys, k), keys, percentiles)
-    named = found.select(*[F.col(x).alias(f"_{x}") for x in keys], "n", "estimates")
-    on = F.lit(True)
-    for x in keys:
-        on = on & F.col(x).eqNullSafe(F.col(f"_{x}"))
-    at = lambda i: F.get("estimates", F.lit(i))
-    sums = [F.array(*[F.count_if(c(i)) for i in range(k)]).alias(n) for n, c in (("below", lambda i: F.col("value") < at(i)), ("upto", lambda i: F.col("value") <= at(i)))]
-    rows = rows.where("value is not null and not isnan(value) and abs(value) < double('infinity')")
-    return _certificates(rows.join(named, on).groupBy(*keys, "n", "estimates").agg(*sums), keys, percentiles)
+
+    def count(known: dict) -> DataFrame:
+        return rows.mapInArrow(_collect(lambda t, into: _of_values(t, keys, into), lambda: _Counter(keys, known, k)), _counts_kind(keys))
+
+    return _certify(found, keys, percentiles, s, count)
 
 
 def grid_points(grid_meta: DataFrame) -> dict:
@@ -392,13 +420,11 @@ def curve_digests(curves: DataFrame, meta: dict, by_part: bool = False, settings
 def certified_curves(curves: DataFrame, meta: dict, found: DataFrame, percentiles: tuple = PERCENTILES, settings: DigestSettings | None = None) -> DataFrame:
     """The counting pass over ``curves_of``, with the result of ``certified``."""
     s, k = settings or DigestSettings(), len(percentiles)
-    found = checkpoint(found)
-    known = _known(found, CURVE_KEYS, s)
-    if known is None:
-        return certified(curve_cells(curves, meta), found, CURVE_KEYS, percentiles=percentiles, settings=s)
-    work = _collect(lambda t, into: _of_curves(t, meta, False, into), lambda: _Counter(CURVE_KEYS, known, k))
-    parts = curves.mapInArrow(work, ", ".join(f"{x} string" for x in CURVE_KEYS) + ", below array<bigint>, upto array<bigint>")
-    return _certificates(_summed(parts, found, CURVE_KEYS, k), CURVE_KEYS, percentiles)
+
+    def count(known: dict) -> DataFrame:
+        return curves.mapInArrow(_collect(lambda t, into: _of_curves(t, meta, False, into), lambda: _Counter(CURVE_KEYS, known, k)), _counts_kind(CURVE_KEYS))
+
+    return _certify(found, CURVE_KEYS, percentiles, s, count)
 
 
 def curve_cells(curves: DataFrame, meta: dict) -> DataFrame:

@@ -81,3 +81,10 @@ def test_curves_without_cells_or_meta(spark):
     keys = ["dataset", "grouping", "key"]
     got = certified_curves(curves, meta, estimates(merge_digests(curve_digests(curves, meta), keys), keys)).collect()
     assert {(r["dataset"], r["grouping"], r["key"], r["n"]) for r in got} == {("station_days", "coordinate", None, 2)}
+
+
+def test_repeated_values_are_hit(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 2, 20_000).round(0)
+    got = percentiles(spark.createDataFrame([("ties", float(v)) for v in x], "grouping string, value double").repartition(5)).collect()
+    assert all(r["value"] in x and r["rank_error"] <= 0.0001 and r["rank_below"] == (x < r["value"]).sum() and r["rank_upto"] == (x <= r["value"]).sum() for r in got)
