@@ -338,6 +338,7 @@ def _certify(found: DataFrame, keys: list[str], percentiles: tuple, s: DigestSet
         known = {tuple(r[x] for x in keys): r["estimates"] for r in found.where(turn == k).select(*keys, "estimates").collect()}
         one = count(known)
         parts = one if parts is None else parts.unionByName(one)
+    parts = checkpoint(parts)
     flat = parts.select(*keys, F.posexplode(F.arrays_zip(*_COUNTS)).alias("k", "c")).select(*keys, "k", "c.*")
     sums = flat.groupBy(*keys, "k").agg(F.sum("below").alias("below"), F.sum("upto").alias("upto"))
     for side, best in (("low", F.max), ("high", F.min)):
