@@ -202,6 +202,29 @@ class CustomBasis(Basis):
         return np.array(self.points)
 
 
+@dataclass(frozen=True)
+class GridBasis(Basis):
+    """One function a grid point, 1 there and 0 at the others, joined by straight lines: coefficients are values."""
+
+    points: tuple[float, ...] = ()
+
+    def __post_init__(self):
+        if len(self.points) < 2 or any(b <= a for a, b in zip(self.points, self.points[1:])):
+            raise ValueError("a grid basis needs two or more increasing points")
+        object.__setattr__(self, "n_basis", len(self.points))
+        object.__setattr__(self, "domain", (self.points[0], self.points[-1]))
+
+    def values(self, t, derivative=0):
+        x = np.array(self.points)
+        v = np.eye(len(x))
+        for _ in range(derivative):
+            v = nm.difference_matrix(x) @ v
+        return nm.linear_matrix(x, t) @ v
+
+    def breaks(self):
+        return np.array(self.points)
+
+
 @dataclass(frozen=True)
 class TensorBasis:
     """Products of one-argument bases, for surfaces; the last basis varies fastest."""

@@ -127,3 +127,14 @@ class Empirical(Covariance):
         from curvelake.numerics import linear_matrix
 
         return linear_matrix(self.points, x) @ self.values @ linear_matrix(self.points, y).T
+
+
+@dataclass(frozen=True)
+class EmpiricalBasis(Covariance):
+    """The sample covariance of curves in a basis, from that of their coefficients: B(x) C B(y)'."""
+
+    basis: object
+    coefficients: np.ndarray
+
+    def matrix(self, x, y):
+        return self.basis(x) @ self.coefficients @ self.basis(y).T

@@ -189,9 +189,29 @@ def gauss_legendre(spans, n: int = 12) -> tuple[np.ndarray, np.ndarray]:
     return ((b - a) / 2 * node + (a + b) / 2).ravel(), ((b - a) / 2 * weight).ravel()
 
 
-def weighted_lstsq(design, right, weights=None, penalty=None) -> np.ndarray:
-    """Solution of (B'WB + P) c = B'W y; rank-deficient systems get the least-norm solution."""
+def square_root(matrix) -> np.ndarray:
+    """R with R'R = the matrix, symmetric and without negative eigenvalues beyond rounding."""
+    value, vector = np.linalg.eigh(np.asarray(matrix, float))
+    return np.sqrt(np.maximum(value, 0))[:, None] * vector.T
+
+
+def weighted_lstsq(design, right, weights=None, penalty=None, method: str = "normal") -> np.ndarray:
+    """Solution of (B'WB + P) c = B'W y; rank-deficient systems get the least-norm solution.
+
+    ``method``: ``normal`` solves these equations; ``qr`` and ``svd`` decompose the stacked system of sqrt(W) B and
+    sqrt(P) instead, which keeps twice the digits.
+    """
     design, right = np.asarray(design, float), np.asarray(right, float)
+    if method in ("qr", "svd"):
+        if weights is not None:
+            root = np.diag(np.sqrt(weights)) if np.ndim(weights) == 1 else square_root(weights)
+            design, right = root @ design, root @ right
+        if penalty is not None:
+            design, right = np.vstack([design, square_root(penalty)]), np.concatenate([right, np.zeros((design.shape[1], *right.shape[1:]))])
+        if method == "svd":
+            return np.linalg.pinv(design) @ right
+        q, r = np.linalg.qr(design)
+        return np.linalg.solve(r, q.T @ right)
     left = design.T if weights is None else design.T @ (np.diag(weights) if np.ndim(weights) == 1 else weights)
     gram = left @ design if penalty is None else left @ design + penalty
     try:

@@ -29,6 +29,12 @@ def assign(curves: Curves, centres: np.ndarray, p: float = 2) -> DataFrame:
     return nearest_of(curves, list(range(len(centres))), centres, p).withColumnRenamed("predicted", "cluster")
 
 
+def centre_distances(curves: Curves, centres: np.ndarray, p: float = 2) -> DataFrame:
+    """``(id, distances)``: the distance of each curve to every centre, in their order."""
+    off = lambda c: F.zip_with("data", constant(c), lambda x, y: x - y)
+    return curves.df.select("id", F.array(*[lp_norm_column(off(c), curves.weights(), p) for c in np.asarray(centres, float)]).alias("distances"))
+
+
 def lloyd_step(curves: Curves, centres: np.ndarray, p: float = 2) -> tuple[DataFrame, np.ndarray]:
     labels = assign(curves, centres, p)
     return labels, _means(curves, labels.select("id", "cluster"), centres)

@@ -95,8 +95,23 @@ def matrix_of(column: pd.Series, size: int) -> np.ndarray:
     return np.stack([np.full(size, np.nan) if r is None else np.asarray(r, float) for r in column])
 
 
-def block_distances(q: np.ndarray, x: np.ndarray, w: np.ndarray, metric: str, p: float = 2) -> np.ndarray:
-    """(queries, rows) distances; L1, L2 and others by differences, in slices of bounded memory."""
+def norm_induced(norm: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable:
+    """The metric of a norm: ``norm(rows, weights)`` of the differences of queries and rows."""
+    return lambda q, x, w: np.stack([norm(row - x, w) for row in q]) if len(q) else np.zeros((0, len(x)))
+
+
+def transformed(change: Callable[[np.ndarray], np.ndarray], metric="l2") -> Callable:
+    """A metric of changed curves: ``change`` maps rows of values to rows of values on the same grid."""
+    return lambda q, x, w: block_distances(change(q), change(x), w, metric)
+
+
+def block_distances(q: np.ndarray, x: np.ndarray, w: np.ndarray, metric: str | Callable, p: float = 2) -> np.ndarray:
+    """(queries, rows) distances; L1, L2 and others by differences, in slices of bounded memory.
+
+    ``metric`` may be a function of (queries, rows, quadrature weights), as ``norm_induced`` and ``transformed`` make.
+    """
+    if callable(metric):
+        return np.asarray(metric(q, x, w), float)
     out = np.empty((len(q), len(x)))
     if metric == "angular":
         signed = (q * w) @ x.T

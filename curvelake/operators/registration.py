@@ -63,6 +63,17 @@ def invert_warping(warping: Curves) -> Curves:
     return Curves(_per_curve(warping, [], lambda b, x: [pchip(r, t, np.clip(t, r[0], r[-1])) for r in x]), warping.meta)
 
 
+def undo_warping(registered: Curves, warping: Curves) -> Curves:
+    """The curves before registration: registered ones composed with the inverse of their warpings, by id."""
+    return registered.compose(invert_warping(warping))
+
+
+def undo_shift(registered: Curves, deltas: DataFrame, extrapolation: str | None = None) -> Curves:
+    """The curves before a registration by shifts ``deltas (id, delta)``."""
+    both = registered.with_df(registered.df.join(deltas.select("id", F.col("delta").alias("_delta")), "id"))
+    return registered.with_df(both.shift(-F.col("_delta"), extrapolation).df.drop("_delta"))
+
+
 def normalise_warping(warping: Curves, low: float = 0.0, high: float = 1.0) -> Curves:
     """Values and arguments rescaled to [low, high], ends exact."""
     first, last = F.get("data", F.lit(0)), F.element_at("data", F.lit(-1))

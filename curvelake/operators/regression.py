@@ -80,6 +80,88 @@ def linear_regression(
     return LinearModel(float(c[0]) if fit_intercept else 0.0, dict(zip(scalars, map(float, c[k:]))), c[k + len(scalars) :], basis, design)
 
 
+@dataclass(frozen=True)
+class Term:
+    """A functional covariate, the basis of its coefficient function, and that function's roughness penalty."""
+
+    curves: Curves
+    basis: Basis
+    smoothing: float = 0.0
+    order: int = 2
+
+
+def linear_regression_terms(terms: list[Term], y: str, scalars: list[str] | None = None, fit_intercept: bool = True):
+    """(intercept, scalar coefficients, coefficient functions, predict) of a scalar response on several functional covariates.
+
+    The sets are joined on id; ``y`` and ``scalars`` are columns of the first one. Each term has a penalty of its
+    own. ``predict`` takes sets like the covariates, in their order, and gives ``(id, predicted)``.
+    """
+    scalars = scalars or []
+    designs = [t.curves.weights()[:, None] * t.basis(t.curves.meta.points) for t in terms]
+
+    def joined(sets: list[Curves], carry: list[str]) -> DataFrame:
+        out = None
+        for k, (c, design) in enumerate(zip(sets, designs)):
+            one = apply_matrix(c.df.select("id", "data", *(carry if k == 0 else [])), design.T, out=f"_z{k}").drop("data")
+            out = one if out is None else out.join(one, "id")
+        return out
+
+    first = [F.array(F.lit(1.0))] if fit_intercept else []
+    cells = lambda: F.concat(*first, *[F.array(F.col(s).cast("double")) for s in scalars], *[F.col(f"_z{k}") for k in range(len(terms))])
+    size = len(first) + len(scalars) + sum(t.basis.n_basis for t in terms)
+    df = joined([t.curves for t in terms], [y, *scalars])
+    rows = df.select(F.concat(cells(), F.array(F.col(y).cast("double"))).alias("data"))
+
+    def part(batches):
+        total = np.zeros((size + 1, size + 1))
+        for b in batches:
+            if len(b):
+                z = np.stack([np.full(size + 1, np.nan) if v is None else np.asarray(v, float) for v in b["data"]])
+                z = z[np.isfinite(z).all(1)]
+                total += z.T @ z
+        yield pd.DataFrame({"s": [total.ravel()]})
+
+    sums = added(rows.mapInPandas(part, "s array<double>"), "s")
+    sums = np.zeros((size + 1, size + 1)) if sums is None else sums.reshape(size + 1, size + 1)
+    gram, at = sums[:size, :size].copy(), len(first) + len(scalars)
+    spans = []
+    for t in terms:
+        n = t.basis.n_basis
+        if t.smoothing:
+            gram[at : at + n, at : at + n] += t.smoothing * t.basis.penalty(t.order)
+        spans.append((at, at + n))
+        at += n
+    c = np.linalg.lstsq(gram, sums[:size, size], rcond=1e-12)[0]
+
+    def predict(sets: list[Curves]) -> DataFrame:
+        return joined(sets, scalars).select("id", F.aggregate(F.zip_with(cells(), constant(c), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x).alias("predicted"))
+
+    return (float(c[0]) if fit_intercept else 0.0), dict(zip(scalars, map(float, c[len(first) :]))), [c[a:b] for a, b in spans], predict
+
+
+def function_on_function(response: Curves, predictor: Curves, basis: Basis, response_basis: Basis, ridge: float = 0.0):
+    """(intercept, surface, predict) of y(t) = a(t) + integral of x(s) b(s, t) ds, b in the product of two bases.
+
+    ``intercept`` has coefficients in ``response_basis``; ``surface`` is (basis, response basis). The sets are joined
+    on id; ``predict`` gives curves on the response's grid.
+    """
+    design = predictor.weights()[:, None] * basis(predictor.meta.points)
+    z = apply_matrix(predictor.df.select("id", "data"), design.T)
+    coef = apply_matrix(response.df.select("id", "data"), response_basis.fit_matrix(response.meta.points)).withColumnRenamed("data", "_y")
+    n, m = basis.n_basis, response_basis.n_basis
+    both = z.join(coef, "id").select("id", F.concat("data", "_y").alias("data"))
+    _, mean, scatter = moments(Curves(both, GridMeta.regular(n + m, 0, n + m - 1)))
+    surface = np.linalg.lstsq(scatter[:n, :n] + ridge * np.eye(n), scatter[:n, n:], rcond=1e-12)[0]
+    intercept = mean[n:] - mean[:n] @ surface
+    values = response_basis(response.meta.points)
+
+    def predict(curves: Curves) -> Curves:
+        moved = Curves(apply_matrix(curves.df, values @ surface.T @ design.T), response.meta)
+        return moved.with_df(moved.df.withColumn("data", F.zip_with("data", constant(values @ intercept), lambda a, b: a + b)))
+
+    return intercept, surface, predict
+
+
 def function_on_scalar(curves: Curves, scalars: list[str], fit_intercept: bool = True) -> np.ndarray:
     """(terms, grid): the coefficient functions of curves on scalar columns, pointwise least squares."""
     d = curves.meta.size

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelake import numerics as nm
-from curvelake.basis import BSplineBasis, ConstantBasis, FourierBasis, MonomialBasis, TensorBasis, VectorBasis
+from curvelake.basis import BSplineBasis, ConstantBasis, FourierBasis, GridBasis, MonomialBasis, TensorBasis, VectorBasis
 from curvelake.frames import Curves
 from curvelake.functions import covariances as cv
 from curvelake.meta import GridMeta
@@ -441,3 +441,84 @@ def classify_trimmed(spark, d):
 @query(f"with {E} select id, pos, round(v, 6) as v from e")
 def operator_identity(spark, d):
     return ln.matrix_operator(embeddings(spark, d), ln.identity_matrix(64)).long().select("id", "pos", _r("v").alias("v"))
+
+
+@query(f"""with {E}, {WE}, x as (select id, any_value(label) as y, sum(v * w) as a, sum(v * v * w) as b from e join w using (pos) group by id),
+    k as (select covar_pop(a, y) as ay, covar_pop(b, y) as yb, var_pop(a) as aa, var_pop(b) as bb, covar_pop(a, b) as ab, avg(a) as ma, avg(b) as mb, avg(y) as my from x),
+    c as (select *, (ay * bb - yb * ab) / (aa * bb - ab * ab) as p, (yb * aa - ay * ab) / (aa * bb - ab * ab) as q from k)
+    select id, round(my + p * (a - ma) + q * (b - mb), 6) as predicted from x, c""")
+def regress_two_functions(spark, d):
+    e = embeddings(spark, d)
+    square = Curves((e * e).df.select("id", "data"), e.meta)
+    flat = ConstantBasis((0.0, 1.0))
+    predict = rr.linear_regression_terms([rr.Term(e, flat), rr.Term(square, flat)], "label")[3]
+    return predict([e, square]).select("id", _r("predicted").alias("predicted"))
+
+
+@query(f"""with {E}, {WE}, x as (select id, sum(v * w) as z from e join w using (pos) group by id), {_matrix(_WAVES.fit_matrix(E_GRID.points))},
+    y as (select id, i as k, sum(v * c) as c from (select id, pos, v * v as v from e) join m using (pos) group by 1, 2), r as (select k, regr_slope(c, z) as b, regr_intercept(c, z) as a from y join x using (id) group by k), b(i, k, f) as (select * from {_values(*[a.ravel() for a in np.indices((64, 7))], _WAVES(E_GRID.points).ravel())})
+    select id, i as pos, round(sum((a + r.b * z) * f), 6) as v from x cross join r join b using (k) group by 1, 2""")
+def regress_function_on_function(spark, d):
+    e = embeddings(spark, d)
+    predict = rr.function_on_function(e * e, e, ConstantBasis((0.0, 1.0)), _WAVES)[2]
+    return predict(e).long().select("id", "pos", _r("v").alias("v"))
+
+
+@query(f"""with {S}, {WS}, c as (select dense_rank() over (order by id) - 1 as k, pos, v as c from s where id in (select id from s group by id order by id limit 3))
+    select s.id, cast(k as int) as cluster, round(sqrt(sum(power(v - c, 2) * w)), 4) as distance from s join c using (pos) join w using (pos) group by 1, 2""")
+def cluster_distances(spark, d):
+    from curvelake.operators.clustering import centre_distances
+
+    s = supplier_months(spark, d)
+    init = np.array([r["data"] for r in s.df.orderBy("id").limit(3).collect()])
+    return centre_distances(s, init).select("id", F.posexplode("distances").alias("cluster", "x")).select("id", "cluster", _r("x", 4).alias("distance"))
+
+
+def _largest(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.abs(rows).max(1)
+
+
+@query(f"""with {E}, q as (select * from e where id % 20 = 0), dd as (select q.id as query, e.id as neighbour, round(max(abs(q.v - e.v)), 10) as d from q join e on q.pos = e.pos where q.id <> e.id group by 1, 2),
+    k as (select *, row_number() over (partition by query order by d, neighbour) as rank from dd) select query, neighbour, rank, round(d, 6) as distance from k where rank <= 5""")
+def neighbours_own_norm(spark, d):
+    from curvelake.operators import metrics as mt
+
+    e = embeddings(spark, d)
+    return mt.k_neighbours(e.where("id % 20 = 0"), e, 5, mt.norm_induced(_largest)).select("query", "neighbour", "rank", _r("distance").alias("distance"))
+
+
+@query(f"""with {E}, {WE}, f as (select id, pos, sign(v) * sqrt(abs(v)) as v from e), q as (select * from f where id % 20 = 0), dd as (select q.id as query, f.id as neighbour, round(sqrt(sum(power(q.v - f.v, 2) * w)), 10) as d from q join f on q.pos = f.pos join w on w.pos = q.pos where q.id <> f.id group by 1, 2),
+    k as (select *, row_number() over (partition by query order by d, neighbour) as rank from dd) select query, neighbour, rank, round(d, 6) as distance from k where rank <= 5""")
+def neighbours_transformed(spark, d):
+    from curvelake.operators import metrics as mt
+
+    e = embeddings(spark, d)
+    metric = mt.transformed(lambda x: np.sign(x) * np.sqrt(np.abs(x)))
+    return mt.k_neighbours(e.where("id % 20 = 0"), e, 5, metric).select("query", "neighbour", "rank", _r("distance").alias("distance"))
+
+
+_FEW = tuple(np.linspace(0, 1, 6))
+
+
+@query("""with n as (select unnest(range(6)) as k), m as (select a.k as i, b.k as j from n a cross join n b)
+    select i, j, round(case when i = j then case when i in (0, 5) then 0.2 / 3 else 0.4 / 3 end when abs(i - j) = 1 then 0.2 / 6 else 0 end, 9) as gram from m""")
+def basis_grid(spark, d):
+    g = GridBasis(points=_FEW).gram()
+    return spark.createDataFrame([(i, j, float(g[i, j])) for i in range(6) for j in range(6)], "i int, j int, gram double").select("i", "j", (_r("gram", 9) + 0.0).alias("gram"))
+
+
+@query(f"""with {E}, {_COEF}, k as (select a.k as p, b.k as q, covar_pop(a.c, b.c) as c from c a join c b using (id) group by 1, 2), b(i, k, f) as (select * from {_values(*[a.ravel() for a in np.indices((4, 7))], _WAVES(np.array([0.1, 0.35, 0.6, 0.85])).ravel())})
+    select x.i, y.i as j, round(sum(x.f * y.f * k.c), 6) as value from k join b x on x.k = k.p join b y on y.k = k.q group by 1, 2""")
+def covariance_basis(spark, d):
+    k = cv.EmpiricalBasis(_WAVES, embeddings(spark, d).to_basis(_WAVES).coefficient_covariance())(np.array([0.1, 0.35, 0.6, 0.85]))
+    return spark.createDataFrame([(i, j, float(k[i, j])) for i in range(4) for j in range(4)], "i int, j int, value double").select("i", "j", _r("value").alias("value"))
+
+
+@query(f"with {E}, {_matrix(nm.weighted_lstsq(_SPLINES(E_GRID.points), np.eye(64), None, 1e-3 * _SPLINES.penalty(2)))} select method, id, i as k, round(sum(v * c), 5) as coef from e join m using (pos) cross join (select unnest(['qr', 'svd']) as method) group by 1, 2, 3")
+def basis_solvers(spark, d):
+    e, parts = embeddings(spark, d), None
+    for method in ("qr", "svd"):
+        matrix = nm.weighted_lstsq(_SPLINES(E_GRID.points), np.eye(64), None, 1e-3 * _SPLINES.penalty(2), method)
+        one = ln.matrix_operator(e, matrix, np.arange(10) / 10).long().select(F.lit(method).alias("method"), "id", F.col("pos").alias("k"), _r("v", 5).alias("coef"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts

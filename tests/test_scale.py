@@ -101,3 +101,40 @@ def test_irregular_curves_move_and_become_curves(spark):
     assert sorted(r["t"] for r in i.compose(lambda t: F.sqrt(t)).df.where("id = 2").collect()) == pytest.approx([1.0, 2**0.5])
     with pytest.raises(ValueError):
         i.to_curves(most_points=2)
+
+
+def test_registrations_are_undone(spark):
+    from curvelake.operators.registration import undo_shift, undo_warping
+
+    t = np.linspace(0, 1, 201)
+    meta = GridMeta.of(t)
+    f = np.stack([np.sin(3 * t), t**2])
+    warp = Curves.from_literals(spark, np.stack([t**1.5, t**0.8]), meta)
+    curves = Curves.from_literals(spark, f, meta)
+    back = np.array([r["data"] for r in undo_warping(curves.compose(warp), warp).df.orderBy("id").collect()])
+    assert np.abs(back - f).max() < 0.01
+    deltas = spark.createDataFrame([(0, 0.1), (1, 0.05)], "id bigint, delta double")
+    moved = curves.with_df(curves.df.join(deltas, "id")).shift(F.col("delta"), "bounds")
+    back = np.array([r["data"] for r in undo_shift(moved.with_df(moved.df.drop("delta")), deltas, "bounds").df.orderBy("id").collect()])
+    assert np.abs(back - f)[:, 25:].max() < 0.01
+
+
+def test_terms_have_penalties_of_their_own(spark):
+    from curvelake.basis import MonomialBasis
+    from curvelake.operators.regression import Term, linear_regression_terms
+
+    rng = np.random.default_rng(7)
+    t = np.linspace(0, 1, 21)
+    a, b = rng.normal(size=(200, 4)) @ np.stack([t**k for k in range(4)]), rng.normal(size=(200, 4)) @ np.stack([t**k for k in range(4)])
+    meta = GridMeta.of(t)
+    s = rng.normal(size=200)
+    left, right = Curves.from_literals(spark, a, meta), Curves.from_literals(spark, b, meta)
+    y = 2 + 0.5 * s + left.weights() @ (a * (1 + t)).T - left.weights() @ (b * t**2).T
+    extra = spark.createDataFrame([(i, float(y[i]), float(s[i])) for i in range(200)], "id bigint, y double, s double")
+    left = left.with_df(left.df.join(extra, "id"))
+    basis = MonomialBasis((0.0, 1.0), 3)
+    c, scalars, functions, predict = linear_regression_terms([Term(left, basis), Term(right, basis)], "y", ["s"])
+    assert abs(c - 2) < 1e-6 and abs(scalars["s"] - 0.5) < 1e-6 and np.allclose(functions[0], [1, 1, 0], atol=1e-5) and np.allclose(functions[1], [0, 0, -1], atol=1e-5)
+    assert max(abs(r["predicted"] - y[r["id"]]) for r in predict([left, right]).collect()) < 1e-6
+    stiff = linear_regression_terms([Term(left, basis, 1e9), Term(right, basis)], "y", ["s"])[2]
+    assert abs(stiff[0][2]) < 1e-4 < abs(stiff[1][2])
