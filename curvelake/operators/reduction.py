@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvelake.basis import Basis
-from curvelake.columns import apply_matrix
+from curvelake.columns import apply_matrix, constant
 from curvelake.frames import BasisCurves, Curves
 from curvelake.numerics import difference_matrix, fix_signs, simpson_weights
 from curvelake.operators.stats import moments
@@ -228,6 +228,24 @@ def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
     return float(top / low) if low > 0 else 0.0
 
 
+def independence_statistic(x: np.ndarray, y: np.ndarray) -> float:
+    """Squared distance covariance over the product of the mean distances, in n log n steps but for their means."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    n = len(x)
+
+    def mean_distance(v: np.ndarray) -> float:
+        s = np.sort(v)
+        return float(2 * ((2 * np.arange(n) - n + 1) * s).sum() / n**2)
+
+    product = mean_distance(x) * mean_distance(y)
+    if not product > 0:
+        return 0.0
+    x, y = x - x.mean(), y - y.mean()
+    a, b = _distance_sums(x), _distance_sums(y)
+    squared = _distance_products(x, y) / n**2 - 2 * float(a @ b) / n**3 + a.sum() * b.sum() / n**4
+    return float(squared / product)
+
+
 def mutual_information(x: np.ndarray, y: np.ndarray, k: int = 3, seed: int = 0) -> float:
     """Nearest-neighbour estimate of the mutual information of a number and a class, from sorted values."""
     rng = np.random.default_rng(seed)
@@ -297,26 +315,71 @@ def maxima_hunting(curves: Curves, label: str, order: int = 1, max_points: int |
     return sorted(keep, key=lambda i: (-d[i], i))[:max_points]
 
 
-def recursive_maxima_hunting(curves: Curves, label: str, max_features: int = 5, threshold: float = 0.2, redundancy: float = 0.9, **options) -> list[int]:
-    """Repeatedly take the most dependent point, subtract its value from the curves, and drop points redundant with it."""
+def uniform_correction(best: int, scatter: np.ndarray) -> np.ndarray:
+    """Weights by which the value at the chosen point is taken from every point: 1 everywhere."""
+    return np.ones(len(scatter))
+
+
+def sample_correction(best: int, scatter: np.ndarray) -> np.ndarray:
+    """Of a Gaussian process with the covariance of the sample: the regression of each point on the chosen one."""
+    return scatter[:, best] / max(scatter[best, best], 1e-300)
+
+
+def gaussian_correction(covariance: np.ndarray):
+    """As ``sample_correction``, of a process with a given covariance on the grid, conditioned on the points chosen so far."""
+    now = np.array(covariance, float)
+
+    def correct(best: int, scatter: np.ndarray) -> np.ndarray:
+        share = now[:, best] / max(now[best, best], 1e-300)
+        now[:] = now - np.outer(share, now[best])
+        return share
+
+    return correct
+
+
+def independence_stop(n: int, significance: float = 0.05):
+    """Stop where the distance covariance passes a test of independence: n V^2 / S against the squared normal quantile."""
+    from statistics import NormalDist
+
+    limit = NormalDist().inv_cdf(1 - significance / 2) ** 2
+    return lambda strongest, statistic: n * statistic <= limit
+
+
+def recursive_maxima_hunting(
+    curves: Curves, label: str, max_features: int = 5, threshold: float = 0.2, redundancy: float = 0.9, correction=uniform_correction, stop=None, similarity=None, **options
+) -> list[int]:
+    """Repeatedly take the most dependent point, take its value from the curves, and drop points redundant with it.
+
+    ``correction(point, centred products)`` gives the share of the chosen value that each point loses (uniform, of the
+    sample, or of a given Gaussian process). ``stop(strongest, statistic)`` ends the search, by default below
+    ``threshold``; the statistic is the squared distance covariance over the product of the mean distances.
+    ``similarity(products, point)`` tells how redundant points are, by default their squared correlation.
+    """
     chosen, masked, now = [], set(), curves
     for _ in range(max_features):
         d = dependence(now, label, **options)
         d[list(masked)] = -np.inf
         best = int(d.argmax())
-        if not d[best] > threshold:
+        if not np.isfinite(d[best]):
+            break
+        if stop is None:
+            if not d[best] > threshold:
+                break
+        elif stop(d[best], dependence(now.with_df(now.df.withColumn("data", F.array(F.get("data", F.lit(best)))), axes=((0.0,),), domain=((0.0, 0.0),)), label, independence_statistic)[0]):
             break
         chosen.append(best)
-        _, _, scatter = moments(curves)
+        _, _, scatter = moments(now)
         size = np.sqrt(np.maximum(np.diag(scatter), 1e-300))
-        close = (scatter[best] / size / size[best]) ** 2 > redundancy
+        alike = (scatter[best] / size / size[best]) ** 2 if similarity is None else similarity(scatter, best)
+        close = np.asarray(alike) > redundancy
         for step in (1, -1):
             i = best
-            while 0 <= i < len(d) and close[i]:
+            while 0 <= i < len(d) and (close[i] or i == best):
                 masked.add(i)
                 i += step
-        masked.add(best)
-        now = now.map(lambda x: x).with_df(now.df.withColumn("data", F.transform("data", lambda x: x - F.get(F.col("data"), F.lit(best)))))  # noqa: B023
+        share = correction(best, scatter)
+        held = now.df.withColumn("_held", F.get("data", F.lit(best)))
+        now = now.with_df(held.withColumn("data", F.zip_with("data", constant(share), lambda x, s: x - s * F.col("_held"))).drop("_held"))
     return chosen
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from curvelake.columns import constant, dot
 from curvelake.frames import Curves
-from curvelake.numerics import difference_matrix, linear_matrix, pchip, report_unfinished
+from curvelake.numerics import difference_matrix, linear_matrix, pchip, report_unfinished, simpson_weights
 from curvelake.operators.metrics import matrix_of
 from curvelake.operators.stats import moments
 from curvelake.session import checkpoint
@@ -235,3 +235,52 @@ def phase_distance(warping: Curves) -> DataFrame:
     """``(id, distance)``: arc between a warping and the identity."""
     root = normalise_warping(warping).derivative().map(lambda x: F.sqrt(F.greatest(x, F.lit(0.0))))
     return root.integrate().select("id", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("integral")))).alias("distance"))
+
+
+def amplitude_distance(a: Curves, b: Curves, penalty: float = 0.0, grid: int = 7) -> DataFrame:
+    """``(id, distance)``: distance of the square-root slopes of the curves of one id, b aligned to a, the domain scaled to [0, 1]."""
+    a._same_grid(b)
+    low, high = a.meta.domain[0]
+    t = (a.meta.points - low) / (high - low)
+    w, slope, size = simpson_weights(t), difference_matrix(t), a.meta.size
+    root = lambda v: np.sign(v) * np.sqrt(np.abs(v))
+    kind = f"id {dict(a.df.dtypes)['id']}, distance double"
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for f, g in zip(matrix_of(batch["data"], size), matrix_of(batch["_other"], size)):
+                moved = np.interp(align_to_template(g, f, t, penalty, grid), t, g)
+                out.append(float(np.sqrt(np.dot(w, (root(slope @ f) - root(slope @ moved)) ** 2))))
+            yield pd.DataFrame({"id": batch["id"], "distance": np.array(out, float)})
+
+    return a.df.select("id", "data").join(b.df.select("id", F.col("data").alias("_other")), "id").mapInPandas(run, kind)
+
+
+def warping_mean(warpings: Curves, tol: float = 1e-6, max_iter: int = 50) -> np.ndarray:
+    """The mean of warpings on the sphere of their square-root slopes, on their grid.
+
+    Each round is one aggregation of the tangent vectors; it ends when their mean is shorter than ``tol``.
+    """
+    t, (low, high) = warpings.meta.points, warpings.meta.domain[0]
+    unit = normalise_warping(warpings)
+    w = unit.weights()
+    slopes = unit.derivative().map(lambda x: F.sqrt(F.greatest(x, F.lit(0.0))))
+    slopes = slopes.with_df(checkpoint(slopes.df.where(F.forall("data", lambda x: x.isNotNull())).select("id", "data")))
+    mean = np.ones(len(t))
+    for _ in range(max_iter):
+        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("data"), w * mean))))
+        rows = slopes.df.withColumn("_a", angle).withColumn("_s", F.when(F.col("_a") > 1e-9, F.col("_a") / F.sin("_a")).otherwise(F.lit(1.0)))
+        tangent = rows.select(F.posexplode(F.zip_with("data", constant(mean), lambda x, m: F.col("_s") * (x - F.cos("_a") * m))).alias("pos", "v"))
+        v = np.array([r["v"] for r in tangent.groupBy("pos").agg(F.avg("v").alias("v")).orderBy("pos").collect()])
+        if not len(v):
+            raise ValueError("no warping is complete")
+        length = float(np.sqrt(np.dot(w, v * v)))
+        if length < tol:
+            break
+        mean = np.cos(length) * mean + np.sin(length) * v / length
+    else:
+        report_unfinished("the mean warping", max_iter, length, tol)
+    step = np.diff(t) / (t[-1] - t[0])
+    made = np.r_[0, np.cumsum((mean[1:] ** 2 + mean[:-1] ** 2) / 2 * step)]
+    return low + (high - low) * made / made[-1]

@@ -138,3 +138,46 @@ def test_terms_have_penalties_of_their_own(spark):
     assert max(abs(r["predicted"] - y[r["id"]]) for r in predict([left, right]).collect()) < 1e-6
     stiff = linear_regression_terms([Term(left, basis, 1e9), Term(right, basis)], "y", ["s"])[2]
     assert abs(stiff[0][2]) < 1e-4 < abs(stiff[1][2])
+
+
+def test_elastic_distances_and_means(spark):
+    from curvelake.operators.registration import amplitude_distance, warping_mean
+
+    t = np.linspace(0, 1, 101)
+    meta = GridMeta.of(t)
+    f = np.sin(2 * np.pi * t)
+    a = Curves.from_literals(spark, np.stack([f, f]), meta)
+    b = Curves.from_literals(spark, np.stack([np.interp(t**1.3, t, f), 2 * f]), meta)
+    got = {r["id"]: r["distance"] for r in amplitude_distance(a, b).collect()}
+    assert got[0] < 0.3 * got[1]
+    mean = warping_mean(Curves.from_literals(spark, np.stack([t**1.5, t**1.5]), meta))
+    assert np.abs(mean - t**1.5).max() < 0.01
+    both = warping_mean(Curves.from_literals(spark, np.stack([t + 0.1 * np.sin(np.pi * t), t - 0.1 * np.sin(np.pi * t)]), meta))
+    assert np.abs(both - t).max() < 0.02
+
+
+def test_recursive_maxima_with_corrections_and_stops(spark):
+    from curvelake.operators import reduction as rd
+
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, 300)
+    x = np.cumsum(rng.normal(0, 0.15, (300, 30)), axis=1)
+    x[:, 8:] += 0.9 * y[:, None]
+    curves = Curves.from_literals(spark, x, GridMeta.regular(30))
+    curves = curves.with_df(curves.df.join(spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "id bigint, y int"), "id"))
+    for correction in (rd.uniform_correction, rd.sample_correction, rd.gaussian_correction(np.cov(x.T))):
+        got = rd.recursive_maxima_hunting(curves, "y", 2, correction=correction)
+        assert 8 <= got[0] <= 20 and len(set(got)) == len(got)
+    assert len(rd.recursive_maxima_hunting(curves, "y", 1, stop=rd.independence_stop(300))) == 1
+    noise = curves.with_df(spark.createDataFrame([(i, int(v), rng.normal(size=5).tolist()) for i, v in enumerate(y)], "id bigint, y int, data array<double>"), axes=((0.0, 1.0, 2.0, 3.0, 4.0),), domain=((0.0, 4.0),))
+    assert rd.recursive_maxima_hunting(noise, "y", 3, stop=rd.independence_stop(300, 1e-6)) == []
+
+
+def test_independence_statistic_equals_its_definition():
+    from curvelake.operators.reduction import independence_statistic
+
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=40).round(1), rng.normal(size=40)
+    a, b = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
+    centred = lambda d: d - d.mean(0) - d.mean(1)[:, None] + d.mean()
+    assert independence_statistic(x, y) == pytest.approx((centred(a) * centred(b)).mean() / (a.mean() * b.mean()))
