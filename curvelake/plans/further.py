@@ -359,11 +359,11 @@ def scores_labels(spark, d):
 
 # -- registration ---------------------------------------------------------------------------------
 @query(f"""with {S}, p as (select id, arg_max(pos, (v, -pos)) + 1.0 as peak from s group by id), c as (select avg(peak) as c from p), pts as (select p.id, g.pos, least(greatest(g.pos + 1 + peak - c, 1), 12) as x from p, c, (select unnest(range(12)) as pos) g),
-    k as (select id, pos, x, least(cast(floor(x) as int), 11) as lo from pts) select k.id, k.pos, round(a.v + (b.v - a.v) * (x - lo), 2) as v from k join s a on a.id = k.id and a.pos = lo - 1 join s b on b.id = k.id and b.pos = lo""")
+    k as (select id, pos, x, least(cast(floor(x) as int), 11) as lo from pts) select k.id, k.pos, round(a.v + (b.v - a.v) * (x - lo), 5) as v from k join s a on a.id = k.id and a.pos = lo - 1 join s b on b.id = k.id and b.pos = lo""")
 def landmark_shifted(spark, d):
     s = supplier_months(spark, d)
     peak = F.array_position("data", F.array_max("data")).cast("double")
-    return rg.landmark_shift(s.with_df(s.df.withColumn("peak", peak)), "peak", extrapolation="bounds").long().select("id", "pos", _r("v", 2).alias("v"))
+    return rg.landmark_shift(s.with_df(s.df.withColumn("peak", peak)), "peak", extrapolation="bounds").long().select("id", "pos", _r("v", 5).alias("v"))
 
 
 @query(f"""with {S}, {WS}, n as (select count(distinct id) as n from s), lo as (select id, pos, v, cast(floor(least(pos + 1.3, 12)) as int) as k, least(pos + 1.3, 12) as x from s),
