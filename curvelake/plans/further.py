@@ -17,6 +17,7 @@ from curvelake.operators import classification as cl
 from curvelake.operators import features as ft
 from curvelake.operators import inference as nf
 from curvelake.operators import linear as ln
+from curvelake.operators import reduction as rd
 from curvelake.operators import regression as rr
 from curvelake.operators import registration as rg
 from curvelake.operators import scoring as sc
@@ -522,3 +523,58 @@ def basis_solvers(spark, d):
         one = ln.matrix_operator(e, matrix, np.arange(10) / 10).long().select(F.lit(method).alias("method"), "id", F.col("pos").alias("k"), _r("v", 5).alias("coef"))
         parts = one if parts is None else parts.unionByName(one)
     return parts
+
+
+# -- reduction, discrimination, tests -------------------------------------------------------------
+@query(f"with {E} select id, pos, round(v, 6) as v from e")
+def components_inverse(spark, d):
+    e = embeddings(spark, d)
+    whole = rd.fpca(e, min(64, e.df.count()))
+    return whole.inverse_transform(whole.transform(e)).long().select("id", "pos", _r("v").alias("v"))
+
+
+@query(f"with {E}, {WE}, x as (select pos, var_samp(v) as s from e group by pos) select round(sum(s * w), 6) as variance from x join w using (pos)")
+def components_variance(spark, d):
+    e = embeddings(spark, d)
+    return spark.createDataFrame([(float(rd.fpca(e, min(64, e.df.count())).variances.sum()),)], "variance double").select(_r("variance").alias("variance"))
+
+
+@query(f"""with {E}, {WE}, m as (select pos, avg(v) as m from e group by pos), y as (select avg(label) as my from (select distinct id, label from e)), b as (select pos, sqrt(greatest(any_value(w), 0)) as root, sum((v - m) * (label - my)) * sqrt(greatest(any_value(w), 0)) as b from e join m using (pos) join w using (pos), y group by pos),
+    u as (select pos, root, b / sqrt(sum(b * b) over ()) as u, sqrt(sum(b * b) over ()) as size from b), z as (select id, sum(root * (v - m) * u) as z, any_value(size) as size from e join m using (pos) join u using (pos) group by id)
+    select id, round(my + z * size / sum(z * z) over (), 6) as predicted from z, y""")
+def components_least_squares_first(spark, d):
+    e = embeddings(spark, d)
+    made = rd.fpls(e, ["label"], 1).predict(e)
+    value = [c for c in made.columns if c != "id"][0]
+    x = F.get(value, F.lit(0)) if dict(made.dtypes)[value].startswith("array") else F.col(value)
+    return made.select("id", _r(x).alias("predicted"))
+
+
+@query(f"""with {E}, n as (select label, count(distinct id) as n from e group by 1), m as (select label, pos, avg(v) as m from e group by 1, 2), t as (select count(distinct id) as t from e),
+    s as (select e.id, m.label, round(ln(any_value(n.n) * 1.0 / any_value(t)) - 50 * sum(power(v - m, 2)), 8) as s from e join m using (pos) join n on n.label = m.label, t group by 1, m.label) select id, arg_min(label, (-s, label)) as predicted from s group by id""")
+def classify_quadratic_known(spark, d):
+    e = embeddings(spark, d)
+    return cl.quadratic_discriminant(e, e, "label", covariance=lambda c: 0.01 * np.eye(len(c)))
+
+
+@query(f"""with {E}, x as (select id, label >= 5 as side, max(v) filter (where pos = 0) as a, max(v) filter (where pos = 1) as b from e group by 1, 2), g as (select side, count(*) as n, avg(a) as a, avg(b) as b, var_pop(a) * count(*) as aa, var_pop(b) * count(*) as bb, covar_pop(a, b) * count(*) as ab from x group by side),
+    p as (select sum(n) as n, sum(aa) / (sum(n) - 2) as aa, sum(bb) / (sum(n) - 2) as bb, sum(ab) / (sum(n) - 2) as ab, max(n) filter (where side) * max(n) filter (where not side) as k, max(a) filter (where side) - max(a) filter (where not side) as da, max(b) filter (where side) - max(b) filter (where not side) as db from g)
+    select round(k * 1.0 / n * (da * da * bb - 2 * da * db * ab + db * db * aa) / (aa * bb - ab * ab), 5) as t2 from p""")
+def hotelling_two_points(spark, d):
+    e = embeddings(spark, d).restrict(0.0, 1.5 / 63)
+    return spark.createDataFrame([(float(nf.hotelling_t2(e.where("label < 5"), e.where("label >= 5"))),)], "t2 double").select(_r("t2", 5).alias("t2"))
+
+
+@query(f"""with {E}, p as (select a.pos, a.id as i, b.id as j, abs(a.v - b.v) as x, abs(a.label - b.label) * 1.0 as y from e a join e b using (pos) where a.id <> b.id), n as (select count(distinct id) as n from e),
+    r as (select pos, i, sum(x) as rx, sum(y) as ry from p group by 1, 2), t as (select pos, sum(rx) as tx, sum(ry) as ty from r group by pos),
+    u as (select p.pos, x - a.rx / (n - 2) - b.rx / (n - 2) + tx / ((n - 1) * (n - 2)) as x, y - a.ry / (n - 2) - b.ry / (n - 2) + ty / ((n - 1) * (n - 2)) as y from p join r a on a.pos = p.pos and a.i = p.i join r b on b.pos = p.pos and b.i = p.j join t on t.pos = p.pos, n),
+    d as (select pos, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 6) as dependence from u group by pos) select pos, dependence from d""")
+def dependence_by_point(spark, d):
+    got = rd.dependence(embeddings(spark, d), "label")
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(got)], "pos int, dependence double").select("pos", _r("dependence").alias("dependence"))
+
+
+@query(ORACLE["dependence_by_point"].replace(" select pos, dependence from d", """, near as (select pos, dependence as x, max(dependence) over w as top, min(dependence) over w as low from d window w as (order by pos rows between 1 preceding and 1 following))
+    select cast(row_number() over (order by -x, pos) - 1 as int) as rank, pos from near where x >= top and x > low order by 1 limit 5"""))
+def selection_maxima(spark, d):
+    return spark.createDataFrame([(i, p) for i, p in enumerate(rd.maxima_hunting(embeddings(spark, d), "label", max_points=5))], "rank int, pos int")

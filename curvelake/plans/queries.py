@@ -532,11 +532,6 @@ def selection_kernel_space(spark, d):
     return spark.createDataFrame([(i, p) for i, p in enumerate(rd.rkhs_selection(two, "y", 3))], "rank int, pos int")
 
 
-@query()
-def selection_maxima(spark, d):
-    return spark.createDataFrame([(i, p) for i, p in enumerate(rd.maxima_hunting(embeddings(spark, d), "label", max_points=5))], "rank int, pos int")
-
-
 @query()
 def regress_linear(spark, d):
     e = embeddings(spark, d)
