@@ -13,7 +13,7 @@ from curvelake.frames import Curves
 from curvelake.operators.depth import DEPTH_DIGITS, _simplicial, deepest, modified_band_depth
 from curvelake.operators.metrics import block_distances, k_neighbours, matrix_of, radius_neighbours
 from curvelake.operators.ranks import rank_counts
-from curvelake.operators.stats import moments
+from curvelake.operators.stats import moments_by
 
 
 def _weight(kind: str) -> Column:
@@ -159,12 +159,12 @@ def dd_classify(queries: Curves, train: Curves, label: str, degree: int = 1, sam
 
 
 def quadratic_discriminant(queries: Curves, train: Curves, label: str, regularizer: float = 0.0, covariance=None) -> DataFrame:
-    """``(id, predicted)``: the Gaussian class of the largest score; class moments come from one aggregation each.
+    """``(id, predicted)``: the Gaussian class of the largest score; the moments of all classes come from one pass.
 
     ``covariance`` may turn the sample covariance of a class into another matrix (for example of a kernel family).
     """
-    names = [r[0] for r in train.df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).collect()]
-    fits = [moments(train, F.col(label) == F.lit(g)) for g in names]
+    fits = moments_by(train, label)
+    names, fits = list(fits), list(fits.values())
     n = sum(f[0] for f in fits)
     parts = []
     for count, mean, scatter in fits:

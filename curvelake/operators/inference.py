@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvelake.frames import Curves
-from curvelake.operators.stats import moments
+from curvelake.operators.stats import moments, moments_by
 
 
 def _groups(curves: Curves, label: str) -> dict:
     """(n, mean, scatter) of every group: one row a task of grid-sized sums each."""
-    names = [r[0] for r in curves.df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).collect()]
-    if len(names) < 2:
+    groups = moments_by(curves, label)
+    if len(groups) < 2:
         raise ValueError("at least two groups are needed")
-    return {g: moments(curves, F.col(label) == F.lit(g)) for g in names}
+    return groups
 
 
 def v_statistic(means: list[np.ndarray], sizes, weights, p: float = 2) -> float:

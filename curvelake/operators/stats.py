@@ -98,6 +98,44 @@ def moments(curves: Curves, condition: Column | None = None) -> tuple[int, np.nd
     return add_moments(((r["n"], r["mean"], r["scatter"]) for r in few), size)
 
 
+def moments_by(curves: Curves, label: str) -> dict:
+    """``moments`` of every class, by its name in order: one pass, one matrix a task and class; curves without a class are left out."""
+    size = curves.meta.size
+    df = curves.df.where(F.col(label).isNotNull() & F.forall("data", lambda x: x.isNotNull()))
+    schema = f"g {dict(df.select(label).dtypes)[label]}, n bigint, mean array<double>, scatter array<double>"
+
+    def rows(sums: dict) -> pd.DataFrame:
+        return pd.DataFrame({"g": list(sums), "n": [s[0] for s in sums.values()], "mean": [s[1] for s in sums.values()], "scatter": [s[2].ravel() for s in sums.values()]})
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for b in batches:
+            for g, own in b.groupby("g", sort=False):
+                x = np.stack(own["data"])
+                c = x - x.mean(0)
+                one = (len(x), x.mean(0), c.T @ c)
+                sums[g] = add_moments([sums[g], one], size) if g in sums else one
+        if sums:
+            yield rows(sums)
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for b in batches:
+            for r in b.itertuples(index=False):
+                one = (r.n, np.asarray(r.mean, float), np.asarray(r.scatter, float))
+                sums[r.g] = add_moments([sums[r.g], one], size) if r.g in sums else one
+        if sums:
+            yield rows(sums)
+
+    few = df.select(F.col(label).alias("g"), "data").mapInPandas(part, schema)
+    for n in MERGE_TASKS:
+        few = few.repartition(n).mapInPandas(merge, schema)
+    found: dict = {}
+    for r in few.collect():  # a row a class and merging task
+        found.setdefault(r["g"], []).append((r["n"], r["mean"], r["scatter"]))
+    return {g: add_moments(found[g], size) for g in sorted(found)}
+
+
 def add_moments(parts, size: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Counts, means and centred sums of products of several parts, added up."""
     n, mean, scatter = 0, np.zeros(size), np.zeros((size, size))
