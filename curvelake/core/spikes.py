@@ -281,17 +281,27 @@ def _judged(t: pa.Table, s: ChartSettings) -> pa.Table:
     begins = (back == 1) & own_day & ~rests
     n_runs, n_repeats = np.bincount(xg[begins], minlength=groups), np.bincount(xg[begins & (on > 1)], minlength=groups)
 
-    # every own delivery between the charted readings before and after its date
-    mine = np.flatnonzero(own)
+    # the chart's state at the date of every own delivery: before the first move of the day, or after the last of the segment
     key, stride = xg * 2**32 + (xday + 2**31), 2**32
-    start = np.searchsorted(key, group[mine] * stride + (day[mine] + 2**31), "left")
-    stop = np.searchsorted(key, group[mine] * stride + (day[mine] + 2**31), "right")
+    at_day = group * stride + (day + 2**31)
+    start = np.searchsorted(key, at_day, "left")
+    done = np.cumsum(move)
+    n_before = np.where(start > 0, done[np.maximum(start - 1, 0)] if len(done) else 0, 0)
+    at = np.minimum(n_before, max(len(moved) - 1, 0))
+    same = (n_before < len(moved)) & ((mg[at] if len(moved) else np.zeros(len(at), int)) == group)
+    row_mean = np.where(same, state_mean[at] if len(moved) else 0, mean[group])
+    row_scale = np.where(same, state_scale[at] if len(moved) else 0, scale[group])
+
+    # a charted delivery stands in the chart itself; others are put between the charted readings before and after their date
+    seen = own[which[np.flatnonzero(take)]]
+    mine = np.flatnonzero(own & ~charted)
+    stop = np.searchsorted(key, at_day[mine], "right")
     edge = np.searchsorted(xg, np.arange(groups + 1))
-    b_at, b_row = _spans(np.maximum(start - _SIDE, edge[group[mine]]), start)
+    b_at, b_row = _spans(np.maximum(start[mine] - _SIDE, edge[group[mine]]), start[mine])
     a_at, a_row = _spans(stop, np.minimum(stop + _SIDE, edge[group[mine] + 1]))
     row_of = np.full(len(rows), -1)
     row_of[mine] = np.arange(len(mine))
-    c_at = np.flatnonzero(usable & own[which])
+    c_at = np.flatnonzero(usable & (row_of >= 0)[which])
     c_row = row_of[which[c_at]]
     part = np.r_[b_row, c_row, a_row]
     order = np.argsort(part, kind="stable")
@@ -299,33 +309,29 @@ def _judged(t: pa.Table, s: ChartSettings) -> pa.Table:
     value = np.r_[x[b_at], flat[c_at], x[a_at]][order]
     when = np.r_[hour[b_at], day[which[c_at]] * s.cells + pos[c_at], hour[a_at]][order]
     cell = np.r_[np.full(len(b_at), -1), c_at, np.full(len(a_at), -1)][order]
-
     one, pair = _departures(value, when, part, s.reach)
-    leaves = np.maximum(one, np.maximum(pair, np.r_[0, pair[:-1]] if len(pair) else pair))
-    # the chart's state at the date: before the first move of the day, or after the last of the segment
-    done = np.cumsum(move)
-    n_before = np.where(start > 0, done[np.maximum(start - 1, 0)] if len(done) else 0, 0)
-    still = n_before < len(moved)
-    at = np.minimum(n_before, max(len(moved) - 1, 0))
-    same = still & ((mg[at] if len(moved) else np.zeros(len(at), int)) == group[mine])
-    row_mean = np.where(same, state_mean[at] if len(moved) else 0, mean[group[mine]])
-    row_scale = np.where(same, state_scale[at] if len(moved) else 0, scale[group[mine]])
-    pg = group[mine][part]
-    with np.errstate(invalid="ignore", divide="ignore"):
-        suspected = np.log(leaves / unit[pg] + s.offset) > row_mean[part] + s.control_limit * row_scale[part]
-    suspected &= (leaves > 0) & (cell >= 0)
-
+    put = np.maximum(one, np.maximum(pair, np.r_[0, pair[:-1]] if len(pair) else pair))
     linked = np.r_[False, (part[1:] == part[:-1]) & (np.diff(when) <= s.reach)] if len(part) else np.zeros(0, bool)
     up, down = _counters(value, linked)
     # at the ends of a delivery's stretch the run goes on in the charted readings
-    run_start, run_end = np.arange(len(value)) - up + 1, np.arange(len(value)) + down - 1
     at_x = np.r_[b_at, np.full(len(c_at), -1), a_at][order]
-    extra_back = np.where((at_x >= 0) & (cell < 0), back[np.maximum(at_x, 0)] - up if len(back) else 0, 0)
-    extra_on = np.where((at_x >= 0) & (cell < 0), on[np.maximum(at_x, 0)] - down if len(on) else 0, 0)
+    outer = at_x >= 0
     total = up + down - 1
     if len(value):
-        total = total + np.maximum(extra_back[run_start], 0) + np.maximum(extra_on[run_end], 0)
-    frozen = (cell >= 0) & (total >= s.shortest_frozen)
+        more_back = np.where(outer, back[np.maximum(at_x, 0)] - up if len(back) else 0, 0)
+        more_on = np.where(outer, on[np.maximum(at_x, 0)] - down if len(on) else 0, 0)
+        total = total + np.maximum(more_back[np.arange(len(value)) - up + 1], 0) + np.maximum(more_on[np.arange(len(value)) + down - 1], 0)
+    inner = cell >= 0
+    cell = np.r_[np.flatnonzero(take)[seen], cell[inner]]
+    leaves = np.r_[leaves[seen], put[inner]]
+    total = np.r_[(back + on - 1)[seen], total[inner]]
+    value = np.r_[x[seen], value[inner]]
+    row = which[cell]
+    pg = group[row]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        suspected = np.log(leaves / unit[pg] + s.offset) > row_mean[row] + s.control_limit * row_scale[row]
+    suspected &= leaves > 0
+    frozen = total >= s.shortest_frozen
     for name, values in s.natural.items():
         of = coordinate[pg] == name if len(pg) else np.zeros(0, bool)
         if of.any():
@@ -441,6 +447,8 @@ def implausible_cells(curves: DataFrame, sources: DataFrame, settings: ChartSett
         out = rows.select("id", coordinate.alias("coordinate"), F.posexplode("cells").alias("pos", "x"))
         return out.where(_beyond(F.col("x"), F.col("coordinate"), s.limits)).select("id", "pos", F.lit("impossible").alias("reason"))
 
-    undated = flat.where("source_key is not null and day is null").select("id", "cells", "source_key").join(kinds, "source_key", "left")
-    nowhere = flat.where("source_key is null").select("id", "cells")
+    # asked of the columns as they are, so that files without nulls need not be read
+    cells = F.col("data_matrix").cast("array<double>").alias("cells")
+    undated = curves.where("source_id is not null and obs_date is null").select(F.col("id").cast("long").alias("id"), cells, F.col("source_id").cast("long").alias("source_key")).join(kinds, "source_key", "left")
+    nowhere = curves.where("source_id is null").select(F.col("id").cast("long").alias("id"), cells)
     return cases.unionByName(plain(undated, F.col("coordinate"))).unionByName(plain(nowhere, F.lit(None).cast("string")))
