@@ -12,7 +12,7 @@ from curvelake.llm.mixing import mix, quality_weight, source_name, text_quality
 from curvelake.llm.packing import pack, pack_summary
 from curvelake.llm.tokens import with_token_counts
 from curvelake.llm.visual import distinct_forms, look_same_pairs
-from curvelake.session import table
+from curvelake.session import checkpoint, table
 
 
 def _percentiles(spark: SparkSession, d: str, by_part: bool) -> DataFrame:
@@ -54,8 +54,8 @@ def p6_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_check(spark: SparkSession, d: str) -> DataFrame:
     """Of each pack size: the documents packed, and whether all tokens of each are, no pack is over its capacity and only longer documents are cut."""
-    sizes = with_token_counts(table(spark, d, "documents"), "doc_id", "text")
-    packed = pack(sizes, table(spark, d, "pack_sizes"))
+    sizes = checkpoint(with_token_counts(table(spark, d, "documents"), "doc_id", "text"))
+    packed = checkpoint(pack(sizes, table(spark, d, "pack_sizes")))
     each = packed.groupBy("pack_name", "capacity", "doc_id").agg(F.sum("n_tokens").alias("packed"), F.count(F.lit(1)).alias("parts")).join(sizes.select(F.col("id").alias("doc_id"), "n_tokens"), "doc_id")
     docs = each.groupBy("pack_name", "capacity").agg(
         F.count(F.lit(1)).alias("documents"), F.bool_and(F.col("packed") == F.col("n_tokens")).alias("whole"), F.bool_and((F.col("parts") == 1) | (F.col("n_tokens") > F.col("capacity"))).alias("cut_if_longer"))
@@ -74,7 +74,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_check(spark: SparkSession, d: str) -> DataFrame:
     """Of each source in the mix: its target share, and whether its tokens stay within the budget, short of it by less than one document's tokens."""
-    sized, targets = _weighted(spark, d), table(spark, d, "mix_targets")
+    sized, targets = checkpoint(_weighted(spark, d)), table(spark, d, "mix_targets")
     chosen, report = mix(sized, targets)
     most = sized.groupBy(source_name(F.col("source")).alias("source")).agg(F.max("n_tokens").alias("longest"))
     repeats = chosen.groupBy("source").agg(F.max("repeats").alias("repeats"))
