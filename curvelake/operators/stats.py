@@ -148,20 +148,9 @@ def add_moments(parts, size: int) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def added(parts: DataFrame, column: str) -> np.ndarray | None:
-    """Sum of an ``array<double>`` column, one row a task, added up in rounds; None without rows."""
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for b in batches:
-            for x in b[column]:
-                total = np.array(x, float) if total is None else total + x
-        if total is not None:
-            yield pd.DataFrame({column: [total]})
-
-    for n in MERGE_TASKS:
-        parts = parts.select(column).repartition(n).mapInPandas(merge, f"{column} array<double>")
-    rows = parts.collect()  # a row a merging task
-    return sum(np.array(r[column]) for r in rows) if rows else None
+    """Sum of an ``array<double>`` column, one row a task, cell by cell; None without rows."""
+    cells = parts.select(F.posexplode(column).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()  # a row a cell
+    return np.array([r["v"] for r in cells], float) if cells else None
 
 
 def covariance(curves: Curves, correction: int = 0) -> np.ndarray:
