@@ -120,45 +120,64 @@ def align_to_template(f: np.ndarray, template: np.ndarray, t: np.ndarray, penalt
 
     Slopes between neighbouring grid points are ratios of steps up to ``grid``.
     """
+    return align_rows(np.asarray(f, float)[None], template, t, penalty, grid)[0]
+
+
+def align_rows(f: np.ndarray, template: np.ndarray, t: np.ndarray, penalty: float = 0.0, grid: int = 7) -> np.ndarray:
+    """``align_to_template`` of every row of f; a step of the recursion takes all rows of a slice of bounded memory."""
     n = len(t)
+    steps = [(a, b) for a in range(1, grid + 1) for b in range(1, grid + 1) if np.gcd(a, b) == 1]
+    rows = max(1, 4_000_000 // (n * sum(a for a, _ in steps)))
+    return np.concatenate([_align(f[k : k + rows], template, t, penalty, steps) for k in range(0, len(f), rows)]) if len(f) else np.zeros((0, n))
+
+
+def _align(f: np.ndarray, template: np.ndarray, t: np.ndarray, penalty: float, steps: list[tuple[int, int]]) -> np.ndarray:
+    n, rows = len(t), len(f)
     slope = difference_matrix(t)
     root = lambda v: np.sign(v) * np.sqrt(np.abs(v))
-    q1, q2 = root(slope @ template), root(slope @ f)
-    steps = [(a, b) for a in range(1, grid + 1) for b in range(1, grid + 1) if np.gcd(a, b) == 1]
-    cost, back = np.full((n, n), np.inf), np.zeros((n, n), int)
+    q1, q2 = root(slope @ template), root(slope @ f.T)  # grid points before rows
+    moved = []  # of each step, the slopes of f at its parts, scaled by it
+    for a, b in steps:
+        parts = []
+        for m in range(a):
+            at = np.arange(n - b) + m * (b / a)
+            low = np.minimum(at.astype(int), n - 2)
+            parts.append(np.sqrt(b / a) * (q2[low] + (q2[low + 1] - q2[low]) * (at - low)[:, None]))
+        moved.append(parts)
+    cost, back = np.full((n, n, rows), np.inf), np.zeros((n, n, rows), np.int32)
     cost[0, 0] = 0
     step = (t[-1] - t[0]) / (n - 1)
     for i in range(1, n):
         for k, (a, b) in enumerate(steps):
-            if i - a < 0:
+            if i - a < 0 or b >= n:
                 continue
-            j = np.arange(b, n)
-            ratio = b / a
-            total = np.zeros(len(j))
+            total = np.zeros((n - b, rows))
             for m in range(a):
-                at = j - b + m * ratio
-                low = np.minimum(at.astype(int), n - 2)
-                v = q2[low] + (q2[low + 1] - q2[low]) * (at - low)
-                total += (q1[i - a + m] - np.sqrt(ratio) * v) ** 2 + penalty * (1 - np.sqrt(ratio)) ** 2
-            new = cost[i - a, j - b] + total * step
-            better = new < cost[i, j]
-            cost[i, j[better]], back[i, j[better]] = new[better], k
-    i, j, path = n - 1, n - 1, [(n - 1, n - 1)]
-    while i > 0 or j > 0:
-        a, b = steps[back[i, j]] if np.isfinite(cost[i, j]) else (min(1, i), min(1, j))
-        i, j = max(0, i - a), max(0, j - b)
-        path.append((i, j))
-    path = np.array(path[::-1])
-    return np.interp(t, t[path[:, 0]], t[path[:, 1]])
+                total += (q1[i - a + m] - moved[k][m]) ** 2 + penalty * (1 - np.sqrt(b / a)) ** 2
+            new = cost[i - a, : n - b] + total * step
+            better = new < cost[i, b:]
+            cost[i, b:][better], back[i, b:][better] = new[better], k
+    out = np.empty((rows, n))
+    for r in range(rows):
+        i, j, path = n - 1, n - 1, [(n - 1, n - 1)]
+        while i > 0 or j > 0:
+            a, b = steps[back[i, j, r]] if np.isfinite(cost[i, j, r]) else (min(1, i), min(1, j))
+            i, j = max(0, i - a), max(0, j - b)
+            path.append((i, j))
+        path = np.array(path[::-1])
+        out[r] = np.interp(t, t[path[:, 0]], t[path[:, 1]])
+    return out
 
 
 def elastic_warpings(curves: Curves, template: np.ndarray, penalty: float = 0.0, grid: int = 7) -> Curves:
     t = curves.meta.points
-    return Curves(_per_curve(curves, [], lambda b, x: [align_to_template(r, template, t, penalty, grid) for r in x]), curves.meta)
+    return Curves(_per_curve(curves, [], lambda b, x: align_rows(x, template, t, penalty, grid)), curves.meta)
 
 
 def elastic_registration(curves: Curves, template: np.ndarray | None = None, penalty: float = 0.0, grid: int = 7) -> Curves:
-    template = karcher_mean(curves, penalty, grid=grid) if template is None else template
+    if template is None:  # its rounds read the curves again and again
+        curves = curves.with_df(checkpoint(curves.df))
+        template = karcher_mean(curves, penalty, grid=grid)
     return curves.compose(elastic_warpings(curves, template, penalty, grid))
 
 

@@ -1,5 +1,7 @@
 """Ways of the operators that larger sets take, on small fixtures."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from curvelake.frames import Curves, Irregular
 from curvelake.meta import GridMeta
 from curvelake.operators import depth as dp
 from curvelake.operators import metrics as mt
+from curvelake.operators import registration as rg
 from curvelake.operators.ranks import first_rows, quantiles, running_total
 from curvelake.operators.regression import kernel_regression
 from curvelake.operators.stats import cumulative_sum, moments
@@ -181,3 +184,13 @@ def test_independence_statistic_equals_its_definition():
     a, b = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
     centred = lambda d: d - d.mean(0) - d.mean(1)[:, None] + d.mean()
     assert independence_statistic(x, y) == pytest.approx((centred(a) * centred(b)).mean() / (a.mean() * b.mean()))
+
+
+def test_many_curves_are_aligned_at_once():
+    t = np.linspace(0, 1, 12)
+    f, goal = np.random.default_rng(3).normal(size=(5000, 12)), np.sin(6 * t)
+    began = time.process_time()
+    got = rg.align_rows(f, goal, t)
+    assert time.process_time() - began < 20  # one curve after another took 20 ms each
+    assert all(np.array_equal(got[i], rg.align_to_template(f[i], goal, t)) for i in (0, 1, 4999))
+    assert (np.diff(got, axis=1) >= 0).all() and np.allclose(got[:, [0, -1]], [0, 1])
