@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 
 from curvelake.columns import constant
 from curvelake.frames import Curves
-from curvelake.operators.metrics import distances_to, in_blocks, k_neighbours
+from curvelake.operators.metrics import BLOCK_BYTES, distances_to, in_blocks, k_neighbours, matrix_of
 from curvelake.operators.ranks import WINDOW_ROWS, first_rows, quantiles, rank_counts
 from curvelake.operators.stats import moments
 from curvelake.session import checkpoint
 
-#: reference curves that the quadratic band depth accepts
-BAND_LIMIT = 10_000
 DEPTH_DIGITS = 10
 
 
@@ -72,29 +70,110 @@ def modified_epigraph_index(curves: Curves) -> DataFrame:
     return _averaged(cells, curves, (F.col("n") - F.col("below") - 1) / F.col("n"), "mei")
 
 
-def band_depth(curves: Curves, reference: Curves | None = None) -> DataFrame:
+def _packed_signs(positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
+    """Rows of 64-bit words: where a row is above, then where it is below."""
+    def words(bits: np.ndarray) -> np.ndarray:
+        packed = np.packbits(bits, axis=1)
+        return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+
+    return np.hstack([words(positive), words(negative)])
+
+
+def _free_pairs(words: np.ndarray, count: np.ndarray, other: np.ndarray, other_count: np.ndarray) -> int:
+    """Pairs of the rows of two sets that are nowhere on the same side."""
+    out = 0
+    step = max(1, 4_000_000 // max(1, other.size))
+    for k in range(0, len(words), step):
+        clash = np.zeros((len(words[k : k + step]), len(other)), bool)
+        for c in range(words.shape[1]):
+            clash |= (words[k : k + step, c, None] & other[None, :, c]) != 0
+        out += int(count[k : k + step] @ (~clash @ other_count))
+    return out
+
+
+def pairs_around(left: np.ndarray, right: np.ndarray | None, row: np.ndarray) -> int:
+    """Pairs of one row of each set (of two rows of ``left`` without ``right``) whose band holds the whole row.
+
+    Two rows off ``row`` everywhere hold it only if one is above exactly where the other is below, so such pairs are counted by
+    their signs; only rows that meet it somewhere are compared with the others. NaN lies on no side.
+    """
+    d = left.shape[1]
+    sets, alike = [], []
+    for q in [left] if right is None else [left, right]:
+        above, below = q.T > row[:, None], q.T < row[:, None]
+        sides = np.packbits(above, axis=0), np.packbits(below, axis=0)
+        on = (sides[0] | sides[1] == np.packbits(np.ones((d, 1), bool), axis=0)).all(0)
+        none = ~on & ~(sides[0] | sides[1]).any(0)  # on no side anywhere: such a row makes a free pair with every other
+        alike.append(int(none.sum()))
+        if d <= 16:
+            code = sides[0][0].astype(np.int64) if d <= 8 else sides[0][0].astype(np.int64) << 8 | sides[0][1]
+            signs, n = None, np.bincount(code[on] >> (-d % 8), minlength=1 << d)
+        else:
+            signs, n = np.unique(sides[0][:, on].T, axis=0, return_counts=True)
+        rest = ~none
+        some = (~on & rest).any()
+        sets.append((above, below, rest, on, signs, n, some))
+    if any(x[-1] for x in sets):
+        sets = [(_packed_signs(above.T[rest], below.T[rest]), ~on[rest], signs, n) for above, below, rest, on, signs, n, _ in sets]
+    else:
+        none = np.zeros((0, 1), np.uint64), np.zeros(0, bool)
+        sets = [(*none, signs, n) for *_, signs, n, _ in sets]
+    sizes = [len(left), len(left if right is None else right)]
+    apart = sizes[0] * sizes[1] - (sizes[0] - alike[0]) * (sizes[1] - alike[-1]) if right is not None else alike[0] * (sizes[0] - alike[0]) + alike[0] * (alike[0] - 1) // 2
+    (words, met, signs, n), (theirs, their_met, their_signs, their_n) = sets[0], sets[-1]
+    if signs is None:
+        opposite = int(n @ their_n[::-1])
+    else:
+        at = {s.tobytes(): int(k) for s, k in zip(their_signs, their_n)}
+        turned = ~signs & np.packbits(np.ones((1, d), bool), axis=1)
+        opposite = sum(int(k) * at.get(s.tobytes(), 0) for s, k in zip(turned, n))
+    touching, touching_n = np.unique(words[met], axis=0, return_counts=True)
+    every, every_n = (np.unique(theirs, axis=0, return_counts=True) if len(touching) > 8 else (theirs, np.ones(len(theirs), int)))
+    if right is None:
+        own = _free_pairs(touching, touching_n, touching, touching_n)  # ordered pairs; none is free with itself
+        mixed = _free_pairs(touching, touching_n, every, every_n) - own
+        return apart + (opposite + own) // 2 + mixed
+    touched, touched_n = np.unique(theirs[their_met], axis=0, return_counts=True)
+    mine, mine_n = np.unique(words[~met], axis=0, return_counts=True)
+    return apart + opposite + _free_pairs(touching, touching_n, every, every_n) + _free_pairs(touched, touched_n, mine, mine_n)
+
+
+def band_depth(curves: Curves, reference: Curves | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(id, depth)``: share of the pairs of reference curves whose band holds the whole curve.
 
-    The work is quadratic in the reference set for each curve, so that set is limited to ``BAND_LIMIT`` curves;
-    the modified band depth has no such limit.
+    The work is one pass over the reference set for each curve, and more only where curves meet. A reference set beyond
+    ``block_bytes`` is cut into blocks; each pair of blocks is the work of a task for every part of the curves.
     """
     reference = reference or curves
-    n = reference.df.count()
-    if n > BAND_LIMIT:
-        raise ValueError(f"band depth takes at most {BAND_LIMIT} reference curves; use the modified band depth")
+    curves, reference = curves.with_df(checkpoint(curves.df.select("id", "data"))), reference.with_df(checkpoint(reference.df.select("id", "data")))
+    n, size = reference.df.count(), curves.meta.size
     if curves.meta.codomain != 1:
         raise NotImplementedError("band depth is defined for one coordinate")
-
-    def work(frame, q, b, x):
-        out = []
-        for row in x:
-            above, under = (q > row).astype(np.float32), (q < row).astype(np.float32)
-            clash = (above @ above.T + under @ under.T) > 0
-            free = len(q) * len(q) - int(clash.sum()) - int((~clash.diagonal()).sum())
-            out.append(free / (len(q) * (len(q) - 1)) if len(q) > 1 else 1.0)
-        return pd.DataFrame({"id": b["id"], "depth": out})
-
-    return in_blocks(reference, curves, work, f"id {dict(curves.df.dtypes)['id']}, depth double")
+    kind = f"id {dict(curves.df.dtypes)['id']}, "
+    blocks = max(1, -(-n * size * 8 // block_bytes))
+    if blocks == 1:
+        def work(frame, q, b, x):
+            q = np.asfortranarray(q)
+            return pd.DataFrame({"id": b["id"], "depth": [pairs_around(q, None, row) / (n * (n - 1) / 2) if n > 1 else 1.0 for row in x]})
+
+        spread = curves.with_df(curves.df.repartition(max(1, min(200, curves.df.count() // 500))))
+        return in_blocks(reference, spread, work, kind + "depth double", block_bytes=block_bytes)
+    blocks *= 2  # a task holds two
+    groups = max(1, -(-curves.df.count() * size * 8 // block_bytes))
+    pairs = [(p, q) for p in range(blocks) for q in range(p, blocks)]
+    table = lambda: F.broadcast(curves.df.sparkSession.createDataFrame(pairs, "p int, q int"))  # bounded by the blocks
+    rows = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    left = reference.df.select("data", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own")).join(table(), F.expr("own = p or own = q")).withColumn("g", rows)
+    right = curves.df.select(F.col("id").alias("r_id"), F.col("data").alias("r_data")).withColumn("g", F.pmod(F.xxhash64("r_id", F.lit(1)), F.lit(groups)).cast("int")).crossJoin(table())
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, q = matrix_of(b["r_data"], size), np.asfortranarray(matrix_of(a["data"], size))
+        p_is = (a["own"] == a["p"]).to_numpy()
+        one = len(a) == 0 or a["p"].iloc[0] == a["q"].iloc[0]
+        return pd.DataFrame({"id": b["r_id"], "pairs": [(pairs_around(q, None, r) if one else pairs_around(q[p_is], q[~p_is], r)) if len(q) else 0 for r in x]})
+
+    found = left.groupBy("p", "q", "g").cogroup(right.groupBy("p", "q", "g")).applyInPandas(pair, kind + "pairs bigint")
+    return found.groupBy("id").agg((F.sum("pairs") / (n * (n - 1) / 2)).alias("depth"))
 
 
 def distance_depth(curves: Curves, centre=None, p: float = 2) -> DataFrame:

@@ -194,3 +194,17 @@ def test_many_curves_are_aligned_at_once():
     assert time.process_time() - began < 20  # one curve after another took 20 ms each
     assert all(np.array_equal(got[i], rg.align_to_template(f[i], goal, t)) for i in (0, 1, 4999))
     assert (np.diff(got, axis=1) >= 0).all() and np.allclose(got[:, [0, -1]], [0, 1])
+
+
+def test_band_depth_of_many_curves(spark):
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=(60, 3)), rng.integers(0, 3, (60, 4)).astype(float), rng.integers(0, 2, (50, 20)).astype(float).cumsum(0)):
+        n = len(x)
+        c = Curves.from_literals(spark, x, GridMeta.regular(x.shape[1]))
+        low, high = np.minimum(x[:, None], x[None]), np.maximum(x[:, None], x[None])
+        want = [float(((low <= r) & (r <= high)).all(-1)[np.triu_indices(n, 1)].mean()) for r in x]
+        for size in (10**6, 20 * x.shape[1] * 8):  # one block, and pairs of blocks
+            assert [r["depth"] for r in dp.band_depth(c, block_bytes=size).orderBy("id").collect()] == pytest.approx(want)
+    many = np.random.default_rng(5).normal(size=(10_500, 6))
+    got = dp.band_depth(Curves.from_literals(spark, many[:40], GridMeta.regular(6)), Curves.from_literals(spark, many, GridMeta.regular(6)))
+    assert got.count() == 40
