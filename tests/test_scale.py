@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from curvelake.frames import Curves, Irregular
 from curvelake.meta import GridMeta
+from curvelake.operators import clustering as ct
 from curvelake.operators import depth as dp
 from curvelake.operators import metrics as mt
 from curvelake.operators import registration as rg
@@ -208,3 +209,21 @@ def test_band_depth_of_many_curves(spark):
     many = np.random.default_rng(5).normal(size=(10_500, 6))
     got = dp.band_depth(Curves.from_literals(spark, many[:40], GridMeta.regular(6)), Curves.from_literals(spark, many, GridMeta.regular(6)))
     assert got.count() == 40
+
+
+def test_agglomeration_of_many_curves(spark):
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(size=(60, 3)), rng.normal(size=(60, 3)) * 0.3 + 5 * rng.integers(0, 3, (60, 1))])
+    full = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for linkage, joined in (("average", np.mean), ("single", np.min), ("complete", np.max)):
+        groups = {i: [i] for i in range(len(x))}
+        while len(groups) > 5:
+            _, i, j = min((joined(full[np.ix_(a, b)]), i, j) for i, a in groups.items() for j, b in groups.items() if i < j)
+            groups[i] += groups.pop(j)
+        want = sorted(sorted(g) for g in groups.values())
+        for room in (10**8, 8 * len(x) ** 2 // 30):  # without and with kept sums
+            got = ct.merged(x, 5, linkage, room)
+            assert sorted(np.flatnonzero(got == m).tolist() for m in np.unique(got)) == want
+    many = np.random.default_rng(8).normal(size=(3100, 2)).round(3) + 40 * (np.arange(3100) % 3)[:, None]
+    labels = ct.agglomerate(Curves.from_literals(spark, many, GridMeta.regular(2)), 3).collect()
+    assert {(r["id"] % 3, r["cluster"]) for r in labels} == {(0, 0), (1, 1), (2, 2)} and len(labels) == 3100
