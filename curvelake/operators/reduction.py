@@ -6,13 +6,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvelake.basis import Basis
 from curvelake.columns import apply_matrix, constant
 from curvelake.frames import BasisCurves, Curves
-from curvelake.numerics import difference_matrix, fix_signs, simpson_weights
+from curvelake.numerics import difference_matrix, fix_signs, report_unfinished, simpson_weights
 from curvelake.operators.stats import moments
 
 
@@ -122,27 +122,136 @@ def fpls(curves: Curves, responses: list[str], k: int) -> PartialLeastSquares:
     return PartialLeastSquares(mean[:t], mean[t:], rotation * root[:, None], (rotation @ q.T) * root[:, None])
 
 
-def diffusion_map(curves: Curves, kernel, n_components: int = 2, alpha: float = 0.0, n_steps: int = 1, limit: int = 5_000) -> DataFrame:
+class _Distances:
+    """L2 distances of all pairs, made block by block in the tasks; every task gets the curves, none the pairs."""
+
+    def __init__(self, spark: SparkSession, x: np.ndarray, cells: int = 4_000_000):
+        self.spark, self.n = spark, len(x)
+        self.rows = max(1, min(self.n, cells // max(1, self.n)))
+        self.columns = spark.sparkContext.broadcast(np.ascontiguousarray(x.T))
+
+    def each(self, work, **sent) -> list:
+        """``work(start, distances of some rows to all, **sent)`` for every block of rows, in their order."""
+        columns, rows, n = self.columns, self.rows, self.n
+        held = self.spark.sparkContext.broadcast(sent)
+
+        def run(start: int):
+            x = columns.value
+            square = np.zeros((min(rows, n - start), n))
+            for c in x:  # the same in the last digit whatever the block
+                off = c[start : start + rows, None] - c[None]
+                off *= off
+                square += off
+            return work(start, np.sqrt(square, out=square), **held.value)
+
+        starts = range(0, n, rows)
+        out = self.spark.sparkContext.parallelize(starts, min(len(starts), 200)).map(run).collect()  # what a block leaves is bounded by the rows
+        held.destroy()
+        return out
+
+    def median(self, bins: int = 4096, most: int = 2_000_000) -> float:
+        """The median of the positive distances, exactly: counts in ever narrower ranges, then the values of the last."""
+        def count(start, d, low, high):
+            at = d[(d > 0) & (d >= low) & (d < high)]
+            return np.histogram(at, np.linspace(low, high, bins + 1))[0], int(((d > 0) & (d < low)).sum())
+
+        def pick(start, d, low, high):
+            return np.unique(d[(d > 0) & (d >= low) & (d < high)], return_counts=True), int(((d > 0) & (d < low)).sum())
+
+        low, high = 0.0, float(np.nextafter(max(self.each(lambda start, d: float(d.max()))), np.inf))
+        total = None
+        while True:
+            got = self.each(count, low=low, high=high)
+            counts, below = np.sum([g[0] for g in got], axis=0), sum(g[1] for g in got)
+            total = int(counts.sum()) if total is None else total
+            if not total:
+                raise ValueError("no two curves differ")
+            upto, edges = below + np.cumsum(counts), np.linspace(low, high, bins + 1)
+            first, last = np.searchsorted(upto, [(total - 1) // 2, total // 2], side="right")
+            few = int(counts[first : last + 1].sum())
+            # a margin of an edge's rounding, since the ranges of histogram and of the next count may differ by it
+            new = (float(np.nextafter(edges[first], -np.inf)), float(np.nextafter(edges[last + 1], np.inf)))
+            narrower = new[1] - new[0] < (high - low) / 2
+            low, high = new
+            if few <= most or not narrower:
+                got = self.each(pick, low=low, high=high)
+                values, times = (np.concatenate([g[0][k] for g in got]) for k in (0, 1))
+                order, below = np.argsort(values, kind="stable"), sum(g[1] for g in got)
+                middle = values[order[np.searchsorted(below + np.cumsum(times[order]), [(total - 1) // 2, total // 2], side="right")]]
+                return float(middle.sum() / 2)
+
+    def times(self, kernel, scale: float, v: np.ndarray) -> np.ndarray:
+        """The matrix of the kernel times v."""
+        return np.concatenate(self.each(lambda start, d, v: kernel(d / scale) @ v, v=v))
+
+
+def _leading(times, first: np.ndarray, k: int, extra: int = 16, rounds: int = 40, tol: float = 1e-10, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues and vectors of a symmetric matrix given by its products, by block Krylov spaces from ``first``."""
+    n = len(first)
+    width = min(n, k + extra)
+    new = np.linalg.qr(np.column_stack([first, np.random.default_rng(seed).normal(size=(n, width - 1))]))[0]
+    space, image = np.zeros((n, 0)), np.zeros((n, 0))
+    for _ in range(rounds):
+        made = times(new)
+        space, image = np.column_stack([space, new]), np.column_stack([image, made])
+        inner = space.T @ image
+        values, turns = np.linalg.eigh((inner + inner.T) / 2)
+        values, turns = values[::-1][:k], turns[:, ::-1][:, :k]
+        vectors = space @ turns
+        left = float(np.sqrt(((image @ turns - vectors * values) ** 2).sum(0)).max()) / max(1e-300, float(np.abs(values).max()))
+        if left <= tol or space.shape[1] >= n:
+            break
+        for _ in range(2):
+            made = made - space @ (space.T @ made)
+        q, size, _ = np.linalg.svd(made, full_matrices=False)
+        q = q[:, size > 1e-14][:, : n - space.shape[1]]
+        q = q - space @ (space.T @ q)
+        if not q.shape[1]:
+            break
+        new = np.linalg.qr(q)[0]
+    else:
+        report_unfinished("the diffusion map", rounds, left, tol)
+    return values, vectors
+
+
+def diffusion_map(curves: Curves, kernel, n_components: int = 2, alpha: float = 0.0, n_steps: int = 1, scale: str | float = 1.0, dense_rows: int = 2_000) -> DataFrame:
     """``(id, embedding)``: eigenvectors of the Markov matrix of a kernel over the L2 distances of all curves.
 
-    The eigenproblem is dense in the number of curves, so a set holds at most ``limit`` of them.
+    ``kernel`` maps an array of distances to their weights, one by one; distances are first divided by ``scale``, which
+    may be ``"median"``, that of all positive ones. Up to ``dense_rows`` curves the matrix is made at once; of more its blocks are
+    made in tasks, for every product with it, and the leading vectors are found from such products.
     """
-    from curvelake.operators.metrics import block_distances
-
     if n_components < 1 or not 0 <= alpha <= 1 or n_steps < 0:
         raise ValueError("wrong parameters of a diffusion map")
-    got = curves.df.select("id", "data").orderBy("id").limit(limit + 1).toPandas()
-    if len(got) > limit or n_components >= len(got):
-        raise ValueError(f"a diffusion map takes between {n_components + 1} and {limit} curves")
+    spark = curves.df.sparkSession
+    got = curves.df.select("id", "data").orderBy("id").toPandas()
+    if n_components >= len(got):
+        raise ValueError(f"a diffusion map takes at least {n_components + 1} curves")
     x = np.stack(got["data"])
-    k = kernel(block_distances(x, x, curves.weights(), "l2"))
-    d = k.sum(1) ** alpha
-    k = k / d[:, None] / d[None]
-    d = k.sum(1)
-    values, vectors = np.linalg.eigh(k / np.sqrt(d[:, None] * d[None]))
-    pick = np.argsort(values)[::-1][1 : n_components + 1]
-    right = fix_signs((vectors[:, pick] / np.sqrt(d / d.sum())[:, None]).T).T * values[pick] ** n_steps
-    return curves.df.sparkSession.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(got["id"].tolist(), right)], f"id {dict(curves.df.dtypes)['id']}, embedding array<double>")
+    if len(x) <= dense_rows:
+        from curvelake.operators.metrics import block_distances
+
+        off = block_distances(x, x, curves.weights(), "l2")
+        k = kernel(off / (np.median(off[off > 0]) if scale == "median" else scale))
+        d = k.sum(1) ** alpha
+        k = k / d[:, None] / d[None]
+        d = k.sum(1)
+        values, vectors = np.linalg.eigh(k / np.sqrt(d[:, None] * d[None]))
+        pick = np.argsort(values)[::-1][1 : n_components + 1]
+        values, vectors = values[pick], vectors[:, pick]
+    else:
+        pairs = _Distances(spark, x * np.sqrt(np.maximum(curves.weights(), 0)))
+        by = pairs.median() if scale == "median" else scale
+        times = lambda v: pairs.times(kernel, by, v)
+        ones = np.ones(len(x))
+        share = times(ones) ** -alpha if alpha else ones
+        d = share * times(share)
+        root = share / np.sqrt(d)
+        values, vectors = _leading(lambda v: root[:, None] * times(root[:, None] * v), np.sqrt(d), n_components + 1)
+        values, vectors = values[1:], vectors[:, 1:]
+        pairs.columns.destroy()
+    right = fix_signs((vectors / np.sqrt(d / d.sum())[:, None]).T).T * values**n_steps
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(got["id"].tolist(), right)], f"id {dict(curves.df.dtypes)['id']}, embedding array<double>")
 
 
 def rkhs_selection(curves: Curves, label: str, k: int) -> list[int]:

@@ -522,7 +522,7 @@ def components_least_squares(spark, d):
 
 @query()
 def map_diffusion(spark, d):
-    return rd.diffusion_map(supplier_months(spark, d), lambda x: np.exp(-((x / np.median(x[x > 0])) ** 2)))
+    return rd.diffusion_map(supplier_months(spark, d), lambda x: np.exp(-(x**2)), scale="median")
 
 
 @query()

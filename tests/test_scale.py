@@ -11,6 +11,7 @@ from curvelake.meta import GridMeta
 from curvelake.operators import clustering as ct
 from curvelake.operators import depth as dp
 from curvelake.operators import metrics as mt
+from curvelake.operators import reduction as rd
 from curvelake.operators import registration as rg
 from curvelake.operators.ranks import first_rows, quantiles, running_total
 from curvelake.operators.regression import kernel_regression
@@ -227,3 +228,18 @@ def test_agglomeration_of_many_curves(spark):
     many = np.random.default_rng(8).normal(size=(3100, 2)).round(3) + 40 * (np.arange(3100) % 3)[:, None]
     labels = ct.agglomerate(Curves.from_literals(spark, many, GridMeta.regular(2)), 3).collect()
     assert {(r["id"] % 3, r["cluster"]) for r in labels} == {(0, 0), (1, 1), (2, 2)} and len(labels) == 3100
+
+
+def test_diffusion_map_from_blocks(spark):
+    x = np.random.default_rng(9).normal(size=(150, 4)).round(2) * [3, 2, 1, 1]
+    c = Curves.from_literals(spark, x, GridMeta.regular(4))
+    for alpha, scale, kernel in ((0.0, "median", lambda v: np.exp(-(v**2))), (0.5, 2.0, lambda v: 1 / (1 + v))):
+        whole, parts = (
+            np.array([r["embedding"] for r in rd.diffusion_map(c, kernel, 2, alpha, 1, scale, rows).orderBy("id").collect()])
+            for rows in (1000, 10)
+        )
+        assert np.abs(whole - parts).max() < 1e-8 * np.abs(whole).max()
+    d = np.sqrt((((x[:, None] - x[None]) ** 2) @ c.weights()))
+    pairs = rd._Distances(spark, x * np.sqrt(c.weights()), 3000)
+    for bins, most in ((4096, 10**6), (16, 100), (2, 1)):
+        assert pairs.median(bins, most) == pytest.approx(np.median(d[d > 0]), rel=1e-12)
